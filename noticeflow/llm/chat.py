@@ -7,7 +7,7 @@ escaped and the round trip repeated. Only built-in column functions are used.
 Grammar, with the default template (``Template`` changes the strings)::
 
     conversation := flag turn*            flag: "" plain, ESCAPED for escaped content
-    turn         := "### " Role ": " content "</turn>" "\\n"
+    turn         := "### " role ": " content "</turn>"     content without "### " and "</turn>"
 
 Escaping puts a backslash before every backslash, "#", "<" and, in a role, ":". A run of backslashes before
 such a character is then odd and any other run is even, so undoing it in the opposite order is exact.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 class Template:
     head: str = "### "
     after_role: str = ": "
-    end: str = "</turn>\n"
+    end: str = "</turn>"
     escaped: str = "\\e\n"  # first line of a conversation whose contents are escaped
     trained_roles: tuple[str, ...] = ("assistant",)
 
@@ -70,7 +70,7 @@ def parse(formatted: Column, t: Template = DEFAULT) -> Column:
         role = F.substring_index(rest, t.after_role, 1)
         text = F.substr(rest, F.length(role) + F.lit(len(t.after_role) + 1))
         undo = lambda c: F.when(flagged, unescape(c)).otherwise(c)
-        whole = F.startswith(p, F.lit(t.head)) & F.contains(rest, F.lit(t.after_role))
+        whole = F.startswith(p, F.lit(t.head)) & F.contains(rest, F.lit(t.after_role)) & ~F.contains(rest, F.lit(t.head))
         return F.when(whole, F.struct(undo(role).alias("role"), undo(text).alias("text")))
 
     return F.transform(pieces, turn)
@@ -93,12 +93,6 @@ def format_conversations(rows: DataFrame, template: Template = DEFAULT) -> DataF
     return out.select("conv_id", "formatted", "was_escaped", F.col("parsed").eqNullSafe(F.col("source")).alias("round_trip"), "parsed")
 
 
-def loss_text(parsed: Column, template: Template = DEFAULT) -> Column:
-    """What the loss mask covers, read back and unescaped: the texts of the trained roles, in order."""
-    kept = F.filter(parsed, lambda x: x["role"].isin(*template.trained_roles))
-    return F.array_join(F.transform(kept, lambda x: x["text"]), "")
-
-
 def loss_spans(formatted: Column, template: Template = DEFAULT) -> Column:
     """Array of (begin, length) in code points of formatted: the contents of the trained roles as they stand there."""
     t = template
@@ -117,10 +111,21 @@ def loss_spans(formatted: Column, template: Template = DEFAULT) -> Column:
     return F.aggregate(pieces, start, step, lambda s: s["spans"])
 
 
+def loss_text(formatted: Column, template: Template = DEFAULT) -> Column:
+    """What the loss mask covers, read back and unescaped: the texts of the trained roles, in order."""
+    flagged = F.startswith(formatted, F.lit(template.escaped))
+
+    def content(s: Column) -> Column:
+        c = F.substr(formatted, s["begin"] + 1, s["length"])
+        return F.when(flagged, unescape(c)).otherwise(c)
+
+    return F.array_join(F.transform(loss_spans(formatted, template), content), "")
+
+
 def digests(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """The columns that op5 returns, each derived from the formatted text read back."""
     as_lines = F.array_join(F.transform(F.col("parsed"), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = loss_text(F.col("parsed"), template)
+    loss = loss_text(F.col("formatted"), template)
     return formatted.select(
         "conv_id",
         F.size("parsed").cast("long").alias("n_turns"),

@@ -115,10 +115,12 @@ class Slice:
             self._words = starts, ends, np.searchsorted(starts, self.bounds)
         return self._words
 
+    def byte_codes(self, lower: bool = False, kind: int = 0) -> np.ndarray:
+        return BYTE_CODE[kind % 2][LOWER[self.buf] if lower else self.buf]
+
     def word_hashes(self, lower: bool = False, kind: int = 0) -> np.ndarray:
         starts, ends, _ = self.words()
-        buf = LOWER[self.buf] if lower else self.buf
-        return Rolling(BYTE_CODE[kind % 2][buf], kind).ranges(starts, ends)
+        return Rolling(self.byte_codes(lower, kind), kind).ranges(starts, ends)
 
     def doc_of_word(self) -> np.ndarray:
         first = self.words()[2]
