@@ -9,8 +9,9 @@ Grammar, with the default template (``Template`` changes the strings)::
     conversation := flag turn*            flag: "" plain, ESCAPED for escaped content
     turn         := "### " role ": " content "</turn>"     content without "### " and "</turn>"
 
-Escaping puts a backslash before every backslash, "#", "<" and, in a role, ":". A run of backslashes before
-such a character is then odd and any other run is even, so undoing it in the opposite order is exact.
+Escaping doubles every backslash and then puts one after every "#", "<" and ":", so that no control string
+is left. The run of backslashes after such a character is then odd and any other run is even, so undoing it
+in the opposite order is exact.
 
 Nulls: a null text or role is empty; a null turn sorts first; rows with a null conversation id form one
 conversation. Rows that tie in turn are ordered by role, then text. An empty table gives no rows. Extra
@@ -41,13 +42,13 @@ CONTROL = ("#", "<", ":")
 def escape(c: Column) -> Column:
     c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     for x in CONTROL:
-        c = F.replace(c, F.lit(x), F.lit("\\" + x))
+        c = F.replace(c, F.lit(x), F.lit(x + "\\"))
     return c
 
 
 def unescape(c: Column) -> Column:
     for x in reversed(CONTROL):
-        c = F.replace(c, F.lit("\\" + x), F.lit(x))
+        c = F.replace(c, F.lit(x + "\\"), F.lit(x))
     return F.replace(c, F.lit("\\\\"), F.lit("\\"))
 
 

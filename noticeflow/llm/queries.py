@@ -23,8 +23,8 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), e AS (
-  SELECT *, replace(replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<'), ':', '\:') AS esc_text,
-    replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'), ':', '\:') AS esc_role,
+  SELECT *, replace(replace(replace(replace(text, '\', '\\'), '#', '#\'), '<', '<\'), ':', ':\') AS esc_text,
+    replace(replace(replace(replace(role, '\', '\\'), '#', '#\'), '<', '<\'), ':', ':\') AS esc_role,
     contains(text, '</turn>') OR contains(text, '### ') OR contains(role, ': ') OR contains(role, '### ') OR contains(role, '</turn>') AS clash
   FROM c
 ), g AS (
