@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -57,6 +58,8 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now on disk
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, mixing, quality_rules
+from noticeflow.llm import chat, mixing, quality_rules, substrings
 from noticeflow.llm.frames import documents
 
 #: A conversation that holds the template's own control strings; added to the table's.
@@ -17,6 +18,31 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(spark.sql(extra))))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substrings.deduplicated(documents(spark, sf_dir))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), k AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w)
+), m AS (
+  SELECT h, min(doc_id) AS least FROM k GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT k.doc_id, unnest(range(p, p + 50)) AS i FROM k JOIN m USING (h) WHERE least < k.doc_id)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 OP5_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -50,5 +76,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "whole_ratio", "n_chunks", "n_bad_chunks")
 
 
-QUERIES = {"op5_chat_format": op5_chat_format, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules}
-ORACLE_SQL = {"op5_chat_format": OP5_SQL}
+QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat_format": op5_chat_format, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules}
+ORACLE_SQL = {"op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
