@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, mixing, quality_rules, substrings
+from noticeflow.llm import chat, mixing, near_dups, quality_rules, substrings
 from noticeflow.llm.frames import documents
 
 #: A conversation that holds the template's own control strings; added to the table's.
@@ -18,6 +18,32 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(spark.sql(extra))))
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.clustered(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' ')) END)) AS x
+  FROM w WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both_ways AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM both_ways JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r
+), c AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.v = d.doc_id
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = substrings.deduplicated(documents(spark, sf_dir))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -77,6 +103,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_near_dups": op3_near_dups,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules}
-ORACLE_SQL = {"op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
+ORACLE_SQL = {"op3_near_dups": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
