@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.textkit import Slice, column, ids, mix, runs, slices, text_buffers
+from noticeflow.llm.textkit import Slice, column, ids, merged, mix, runs, slices, text_buffers
 
 FIELDS = 4
 DEALT = "bucket int, uid long, n int, place binary, " + ", ".join(f"f{i} binary" for i in range(FIELDS))
-ANSWER = "uid long, kind int, place binary"
+ANSWER = "uid long, kind int, place binary, extent binary"
 RUNS = "_id long, _th long, kind int, begins binary, ends binary"
 TABLE = -1  # as n or kind: the row holds a slice's documents
 
@@ -96,9 +96,10 @@ def deal(docs: DataFrame, places: Callable[[Slice, pa.RecordBatch, np.ndarray],
     return docs.mapInArrow(run, DEALT)
 
 
-def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.ndarray]], n_buckets: int) -> DataFrame:
+def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.ndarray]], n_buckets: int, extent: int | None = None) -> DataFrame:
     """Answers by slice. choose() gets the fields of all places of a partition, with the bucket last, and gives
-    for each kind of answer which places get it."""
+    for each kind of answer which places get it. extent: the field (one byte) that tells how many places after a
+    place belong to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, counts, buckets = [], [], []
@@ -118,7 +119,7 @@ def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.n
                 for k, f in enumerate(fs):
                     if f is not None:
                         fields[k].append(f)
-        out: list[tuple[int, int, bytes]] = [(uid, TABLE, t) for uid, t in tables]
+        out: list[tuple[int, int, bytes, bytes | None]] = [(uid, TABLE, t, None) for uid, t in tables]
         if uids:
             total = sum(counts)
             arrays = [np.frombuffer(b"".join(f), np.uint8).reshape(total, -1) for f in fields if f]
@@ -130,10 +131,11 @@ def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.n
                 hit = np.flatnonzero(mask)
                 cuts = np.searchsorted(row[hit], np.arange(len(uids) + 1))
                 for r in np.flatnonzero(np.diff(cuts)):
-                    out.append((uids[r], kind, at[hit[cuts[r] : cuts[r + 1]]].tobytes()))
+                    own = hit[cuts[r] : cuts[r + 1]]
+                    out.append((uids[r], kind, at[own].tobytes(), None if extent is None else arrays[extent][own].tobytes()))
         for i in range(0, len(out), 5000):
-            u, k, p = zip(*out[i : i + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], ["uid", "kind", "place"])
+            u, k, p, e = zip(*out[i : i + 5000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(k, pa.int32()), pa.array(p, pa.binary()), pa.array(e, pa.binary())], ["uid", "kind", "place", "extent"])
 
     return dealt.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, ANSWER)
 
@@ -143,22 +145,32 @@ def resolve(answers: DataFrame, n_partitions: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, bytes] = {}
-        found: dict[tuple[int, int], list[bytes]] = {}
+        found: dict[tuple[int, int], list[tuple[bytes, bytes | None]]] = {}
         for batch in batches:
-            for uid, kind, place in zip(*(column(batch, c).to_pylist() for c in ("uid", "kind", "place")), strict=True):
+            for uid, kind, place, extent in zip(*(column(batch, c).to_pylist() for c in ("uid", "kind", "place", "extent")), strict=True):
                 if kind == TABLE:
                     tables[uid] = place
                 else:
-                    found.setdefault((uid, kind), []).append(place)
+                    found.setdefault((uid, kind), []).append((place, extent))
         out: list[tuple] = []
         for (uid, kind), parts in found.items():
             table = tables[uid]
             n = int(np.frombuffer(table, np.int64, 1)[0])
             doc_ids, ths, first = np.frombuffer(table, np.int64, n, 8), np.frombuffer(table, np.int64, n, 8 + 8 * n), np.frombuffer(table, np.int64, -1, 8 + 16 * n)
-            at = np.unique(np.frombuffer(b"".join(parts), np.uint32)).astype(np.int64)
-            cuts = np.searchsorted(at, first)
+            at = np.frombuffer(b"".join(p for p, _ in parts), np.uint32).astype(np.int64)
+            if parts[0][1] is None:
+                lo, hi = runs(np.unique(at))
+            else:
+                lo, hi = at, at + np.frombuffer(b"".join(e for _, e in parts), np.uint8) + 1
+            cut = first[np.searchsorted(first, lo, "right")]  # a run of places ends with its document
+            while (over := hi > cut).any():
+                lo, hi = np.r_[lo, cut[over]], np.r_[np.minimum(hi, cut), hi[over]]
+                cut = first[np.searchsorted(first, lo, "right")]
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], hi[order]
+            cuts = np.searchsorted(lo, first)
             for d in np.flatnonzero(np.diff(cuts)):
-                begin, end = runs(at[cuts[d] : cuts[d + 1]] - first[d])
+                begin, end = merged(lo[cuts[d] : cuts[d + 1]] - first[d], hi[cuts[d] : cuts[d + 1]] - first[d])
                 out.append((int(doc_ids[d]), int(ths[d]), kind, begin.astype(np.uint32).tobytes(), end.astype(np.uint32).tobytes()))
         for i in range(0, len(out), 5000):
             c = list(zip(*out[i : i + 5000], strict=True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, mixing, near_dups, quality_rules, substrings
+from noticeflow.llm import chat, mixing, near_dups, quality_rules, substrings, suffixes
 from noticeflow.llm.frames import documents
 
 #: A conversation that holds the template's own control strings; added to the table's.
@@ -92,6 +92,34 @@ FROM g
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixes.deduplicated(documents(spark, sf_dir))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, md5(x[p:p + 399]) AS h FROM (SELECT doc_id, x, unnest(range(1, n - 398)) AS p FROM d)
+), again AS (
+  SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), hit AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prior FROM w SEMI JOIN again USING (h)
+), runs AS (
+  SELECT doc_id, p, sum(CASE WHEN prior IS NULL OR p > prior + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM hit
+), spans AS (
+  SELECT doc_id, r, min(p) AS b, max(p) + 399 AS e FROM runs GROUP BY doc_id, r
+), pieces AS (
+  SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) + 1 AS f, b - 1 AS t, e - b + 1 AS cut FROM spans
+  UNION ALL SELECT doc_id, max(e) + 1, NULL, 0 FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(sum(cut), 0) AS BIGINT) AS n_removed, CAST(coalesce(count(t), 0) AS BIGINT) AS n_spans,
+  sha256(coalesce(unhex(string_agg(CASE WHEN f IS NULL THEN hex(x) WHEN f > coalesce(t, n) THEN '' ELSE hex(x[f:coalesce(t, n)]) END, '' ORDER BY f)), ''::BLOB)) AS kept_sha256
+FROM d LEFT JOIN pieces USING (doc_id) GROUP BY d.doc_id, n, x
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(documents(spark, sf_dir))
     return m.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
@@ -103,7 +131,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op3_near_dups": op3_near_dups,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules}
-ORACLE_SQL = {"op3_near_dups": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
+ORACLE_SQL = {"op6_suffix_dedup": OP6_SQL, "op3_near_dups": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
