@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, mixing, near_dups, quality_rules, substrings, suffixes
+from noticeflow.llm import chat, decontamination, mixing, near_dups, quality_rules, substrings, suffixes, toxicity
 from noticeflow.llm.frames import documents
 
 #: A conversation that holds the template's own control strings; added to the table's.
@@ -130,7 +130,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "whole_ratio", "n_chunks", "n_bad_chunks")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontamination.judged(documents(spark, sf_dir), items)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.scored(docs, toxicity.fit(docs, labels))
+
+
 QUERIES = {
+    "op8_decontamination": op8_decontamination,
+    "op10_toxicity": op10_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op3_near_dups": op3_near_dups,
     "op4_substring_dedup": op4_substring_dedup,
