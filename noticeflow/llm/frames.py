@@ -74,3 +74,16 @@ def attached(docs: DataFrame, small: DataFrame, size: Column, how: str) -> DataF
     else:
         small = small.hint("shuffle_merge")
     return docs.join(small, ["_id", "_th"], how)
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """keyed(docs) with all other columns, whatever their names, as one struct ``rest`` that travels along."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(
+        F.struct(*others).alias("rest"), F.col(text_col).cast("string").alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th"),
+    )
+
+
+def unpacked(df: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    return df.select(*(F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in columns))

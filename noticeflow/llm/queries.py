@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, decontamination, mixing, near_dups, quality_rules, substrings, suffixes, toxicity
+from noticeflow.llm import chat, decontamination, mixing, near_dups, quality_net, quality_rules, substrings, suffixes, toxicity, url_filter
 from noticeflow.llm.frames import documents
 
 #: A conversation that holds the template's own control strings; added to the table's.
@@ -18,6 +18,21 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(spark.sql(extra))))
 
 
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judged(pages, URL_RULES, url_filter.fit(url_filter.seed_urls())).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    net = quality_net.fit(docs, labels.where(~quality_net.held_out(F.col("doc_id"))))
+    return quality_net.scored(docs, net).select("doc_id", quality_net.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.clustered(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -142,6 +157,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_quality_classifier": op2_quality_classifier,
     "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,

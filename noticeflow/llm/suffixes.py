@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.exchange import Places, as_uint64, deal, decide, resolve
-from noticeflow.llm.frames import attached, keyed, partitions, saved
+from noticeflow.llm.frames import attached, keyed, packed, partitions, saved, unpacked
 from noticeflow.llm.substrings import ranges
 from noticeflow.llm.textkit import BYTE_CODE, Rolling, Slice, column, merged, mix, runs, slices, text_buffers
 
@@ -270,13 +270,44 @@ def spans(found: DataFrame, more: DataFrame, length: int) -> DataFrame:
     return by_doc.mapInArrow(join, "_id long, _th long, begins binary, ends binary")
 
 
+def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+    """What to cut from each text that has repeats, for docs with _id and _th; saved."""
+    n = partitions(docs)
+    found = saved(groups(docs, length, n))
+    return saved(spans(found, merged_groups(docs, found, length, n), length))
+
+
+def left_over(s: Slice, d: int, begins: np.ndarray, ends: np.ndarray) -> bytes:
+    """The bytes of a slice's document outside the spans."""
+    left, right = np.r_[0, ends] + s.bounds[d], np.r_[begins, s.lengths[d]] + s.bounds[d]
+    return b"".join(s.buf[x:y].tobytes() for x, y in zip(left, right, strict=True))
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs, all columns, with repeated strings cut from text; of a character that a cut splits nothing stays."""
+    rows = packed(docs)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = column(batch, "text")
+            data, offsets = text_buffers(col)
+            for s in slices(data, offsets):
+                texts = col.slice(s.i, s.n).to_pylist()
+                for d, (b, e) in enumerate(zip(column(batch, "begins").slice(s.i, s.n).to_pylist(), column(batch, "ends").slice(s.i, s.n).to_pylist(), strict=True)):
+                    if b is not None:
+                        texts[d] = left_over(s, d, *ranges(b, e)).decode("utf-8", "ignore")
+                part = batch.slice(s.i, s.n).select(["rest", "text"])
+                yield part.set_column(1, "text", pa.array(texts, pa.string()))
+
+    gone = repeated_spans(rows, length)
+    joined = attached(rows, gone, F.length("begins") * 2, "left").select("rest", "text", "begins", "ends")
+    return unpacked(joined.mapInArrow(cut, rows.select("rest", "text").schema), docs.columns)
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and the spans cut."""
     docs = keyed(docs)
-    n = partitions(docs)
-    found = saved(groups(docs, length, n))
-    more = merged_groups(docs, found, length, n)
-    gone = saved(spans(found, more, length))
+    gone = repeated_spans(docs, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,11 +315,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             doc_ids = column(batch, "doc_id")
             for s in slices(data, offsets):
                 b, e = zip(*(ranges(x, y) for x, y in zip(column(batch, "begins").slice(s.i, s.n).to_pylist(), column(batch, "ends").slice(s.i, s.n).to_pylist(), strict=True)), strict=True)
-                kept = []
-                for d in range(s.n):
-                    left = np.r_[0, e[d]] + s.bounds[d]
-                    right = np.r_[b[d], s.lengths[d]] + s.bounds[d]
-                    kept.append(b"".join(s.buf[x:y].tobytes() for x, y in zip(left, right, strict=True)))
+                kept = [left_over(s, d, b[d], e[d]) for d in range(s.n)]
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(s.i, s.n), pa.array(s.lengths), pa.array([int((y - x).sum()) for x, y in zip(b, e, strict=True)], pa.int64()), pa.array([len(x) for x in b], pa.int64()), pa.array(kept, pa.binary()),
                      pa.array([x.astype(np.int32) for x in b], pa.list_(pa.int32())), pa.array([x.astype(np.int32) for x in e], pa.list_(pa.int32()))],

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.llm.frames import packed, unpacked
 from noticeflow.llm.textkit import BYTE_CODE, LOWER, Rolling, Slice, column, mix, slices, text_buffers
 
 GRADES = 4
@@ -184,23 +185,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, grades: in
     return Model(keys[good], w, theta)
 
 
+def severities(model: Model, sieve: np.ndarray, s: Slice) -> np.ndarray:
+    """P(grade > j) of each text of a slice."""
+    f, d = features(s)
+    own, at = evidence(model.keys, f, sieve)
+    z = np.zeros(s.n)
+    if len(own):
+        pair, times = np.unique(d[own] * np.int64(len(model.keys)) + at, return_counts=True)
+        np.add.at(z, pair // len(model.keys), model.weights[pair % len(model.keys)] * np.log1p(times))
+    return model.above(z)
+
+
 def scored(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     """A row a document: expected_severity, p_toxic (P of a grade over 0), the likeliest grade, toxic (rejected)."""
     shared = docs.sparkSession.sparkContext.broadcast((model, sieve_of(model.keys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, sieve = shared.value
         for batch in batches:
             data, offsets = text_buffers(column(batch, "text"))
             doc_ids = column(batch, "doc_id")
             for s in slices(data, offsets):
-                f, d = features(s)
-                own, at = evidence(m.keys, f, sieve)
-                z = np.zeros(s.n)
-                if len(own):
-                    pair, times = np.unique(d[own] * np.int64(len(m.keys)) + at, return_counts=True)
-                    np.add.at(z, pair // len(m.keys), m.weights[pair % len(m.keys)] * np.log1p(times))
-                above = m.above(z)
+                above = severities(*shared.value, s)
                 chance = -np.diff(np.c_[np.ones(s.n), above, np.zeros(s.n)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(s.i, s.n), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(chance.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= reject)],
@@ -208,3 +213,17 @@ def scored(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORE)
+
+
+def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
+    """The rows of docs, all columns, that are not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, sieve_of(model.keys)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(column(batch, "text"))
+            for s in slices(data, offsets):
+                yield batch.slice(s.i, s.n).filter(pa.array(severities(*shared.value, s)[:, 0] < reject))
+
+    rows = packed(docs)
+    return unpacked(rows.mapInArrow(run, rows.schema), docs.columns)
