@@ -8,9 +8,11 @@
    chunks, and one class for each chunk's clusters goes on to the next chunk. Of a chunk the maximum spanning
    forest by estimated similarity is proposed: a group of m near copies gives m - 1 pairs, not all pairs.
 3. Pairs are confirmed on full sets; confirmed links make components (alternating stars).
-4. Closing: in regions that still hold several components, every pair between two of them that the signature
-   doesn't exclude (estimate at least FLOOR) is confirmed too. So each pair that shares a region is linked,
-   refuted or inside one component.
+4. Closing: in regions that still hold several components, classes with a partner in another component that the
+   signatures don't exclude (estimate at least FLOOR) are brought together with their full sets, and all such
+   pairs are confirmed or refuted in place, each in the first tree where it shares a region. So each pair that
+   shares a region is linked, refuted or inside one component. Rows stay linear in the classes; a region of more
+   than BLOCK such classes is split into blocks that are compared two by two.
 
 Two sets of similarity 0.75 share a region unless all trees miss: (1 - 0.75**3)**20 = 1.7e-5; FLOOR is 4.8
 standard deviations below 0.75.
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.frames import NO_ID, attached, keyed, partitions, saved
+from noticeflow.llm.frames import NO_ID, attached, keyed, packed, partitions, saved, unpacked
 from noticeflow.llm.textkit import Rolling, Slice, column, ids, mix, slices, text_buffers, valid_windows
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH, LEAST = 20, 6, 3
 CHUNK = 1024
+BLOCK = 2048
 PROPOSE, FLOOR = 0.68, 0.56
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -63,6 +66,15 @@ def shingle_sets(s: Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(s.n + 1))
 
 
+def region_keys(minima: np.ndarray) -> np.ndarray:
+    """For each row of minima the region it is in, tree by tree."""
+    trees = minima.reshape(len(minima), TREES, DEPTH)
+    head = np.zeros((len(minima), TREES), np.uint64)
+    for k in range(LEAST):
+        head = (head << np.uint64(16)) | trees[:, :, k].astype(np.uint64)
+    return mix(head ^ mix(np.arange(TREES, dtype=np.uint64) + np.uint64(1))).view(np.int64)
+
+
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Step 1: set size, class c, and for each tree the region (key) and the rest of its order (tail)."""
 
@@ -82,13 +94,10 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     c[full] = mix(one ^ mix(two + n[full].astype(np.uint64))).view(np.int64)
                     for k, a in enumerate(MULTIPLIERS):
                         minima[full, k] = (mix(np.minimum.reduceat(values * a, starts)) & np.uint64(0xFFFF)).astype(np.uint16)
-                trees = minima.reshape(s.n, TREES, DEPTH).astype(np.uint64)
-                head, tail = np.zeros((s.n, TREES), np.uint64), np.zeros((s.n, TREES), np.uint64)
-                for k in range(LEAST):
-                    head = (head << np.uint64(16)) | trees[:, :, k]
+                key = region_keys(minima)
+                tail = np.zeros((s.n, TREES), np.uint64)
                 for k in range(LEAST, DEPTH):
-                    tail = (tail << np.uint64(16)) | trees[:, :, k]
-                key = mix(head ^ mix(np.arange(TREES, dtype=np.uint64) + np.uint64(1))).view(np.int64)
+                    tail = (tail << np.uint64(16)) | minima.reshape(s.n, TREES, DEPTH)[:, :, k].astype(np.uint64)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * TREES), pa.array(x.ravel()))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(s.i, s.n), ths.slice(s.i, s.n), pa.array(n.astype(np.int64)), pa.array(c), lists(key), lists(tail.view(np.int64)), pa.array([r.tobytes() for r in minima], pa.binary())],
@@ -133,8 +142,8 @@ def roots(n: int, edges: list[tuple[int, int]]) -> list[int]:
     return sorted({top(x) for x in range(n)})
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(c, comp, minima, last) of consecutive rows of one region, at most about CHUNK each; last: the region ends."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(key, c, comp, minima, last) of consecutive rows of one region, at most about CHUNK each; last: the region ends."""
     held: list[tuple] = []
     key = None
     for batch in batches:
@@ -148,16 +157,16 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             if i == j:
                 continue
             if held and keys[i] != key:
-                yield *(np.concatenate(x) for x in zip(*held, strict=True)), True
+                yield int(key), *(np.concatenate(x) for x in zip(*held, strict=True)), True
                 held = []
             key = keys[i]
             for a in range(i, j, CHUNK):
                 held.append((c[a : min(a + CHUNK, j)], comp[a : min(a + CHUNK, j)], m[a : min(a + CHUNK, j)].copy()))
                 if sum(len(h[0]) for h in held) >= CHUNK:
-                    yield *(np.concatenate(x) for x in zip(*held, strict=True)), False
+                    yield int(key), *(np.concatenate(x) for x in zip(*held, strict=True)), False
                     held = []
     if held:
-        yield *(np.concatenate(x) for x in zip(*held, strict=True)), True
+        yield int(key), *(np.concatenate(x) for x in zip(*held, strict=True)), True
 
 
 def _emit(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +179,7 @@ def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: spanning pairs of each region."""
     out: list[tuple[int, int]] = []
     carry: tuple | None = None
-    for c, _, m, last in _regions(batches):
+    for _, c, _, m, last in _regions(batches):
         if carry is not None:
             c, m = np.r_[carry[0], c], np.concatenate([carry[1], m])
         c, at = np.unique(c, return_index=True)
@@ -185,28 +194,83 @@ def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(out)
 
 
-def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4: pairs between components of each region that their signatures don't exclude."""
-    out: list[tuple[int, int]] = []
+def first_here(m: np.ndarray, i: int, others: np.ndarray, key: int) -> np.ndarray:
+    """Of the others those that share no earlier region with i than that of this key."""
+    mine, theirs = m[i].reshape(TREES, DEPTH)[:, :LEAST], m[others].reshape(len(others), TREES, DEPTH)[:, :, :LEAST]
+    first = np.argmax((theirs == mine).all(2), axis=1)
+    return region_keys(m[i : i + 1])[0][first] == key
+
+
+def open_pairs(m: np.ndarray, comp: np.ndarray, key: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each i with the j whose pair is to be looked at here: other component, not excluded, not seen in an earlier tree."""
+    _, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(sizes) < 2:
+        return
+    largest = np.argmax(sizes)
+    for i in np.flatnonzero(which != largest):
+        other = np.flatnonzero((which == largest) | (which > which[i]))
+        near = other[(m[other] == m[i]).mean(1) >= FLOOR]
+        if len(near):
+            near = near[first_here(m, i, near, key)]
+        if len(near):
+            yield i, near
+
+
+def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 4: the rows (key, c) that have a pair to look at."""
     held: list[tuple] = []
-    for c, comp, m, last in _regions(batches):
+    for key, c, comp, m, last in _regions(batches):
         held.append((c, comp, m))
         if not last:
             continue
         c, comp, m = (np.concatenate(x) for x in zip(*held, strict=True))
         held = []
-        names, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            continue
-        largest = np.argmax(sizes)
-        for i in np.flatnonzero(which != largest):
-            other = np.flatnonzero((which == largest) | (which > which[i]))
-            near = other[(m[other] == m[i]).mean(1) >= FLOOR]
-            out += [(int(c[i]), int(c[j])) for j in near]
-        if len(out) > 20000:
-            yield from _emit(out)
-            out = []
-    yield from _emit(out)
+        need = np.zeros(len(c), bool)
+        for i, near in open_pairs(m, comp, key):
+            need[i] = True
+            need[near] = True
+        if need.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(need.sum()), key)), pa.array(c[need])], ["key", "c"])
+
+
+def settle(percent: int):
+    """Step 4: links between components, from rows of one region (or two of its blocks) with their sets."""
+
+    def region(rows: list[tuple]) -> list[tuple[int, int]]:
+        key, _, _, c, comp, block, m, sets = (list(x) for x in zip(*rows, strict=True))
+        c, comp, block = np.array(c), np.array(comp), np.array(block)
+        m = np.frombuffer(b"".join(m), np.uint16).reshape(len(c), -1)
+        sizes = np.array([len(x) // 8 for x in sets])
+        _, token = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        starts = np.r_[0, np.cumsum(sizes)]
+        flag = np.zeros(int(token.max()) + 1, np.int64)
+        out, one_block = [], len(set(block)) < 2 or rows[0][1] == rows[0][2]
+        for i, near in open_pairs(m, comp, key[0]):
+            near = near[(comp[near] != comp[i]) & (one_block | (block[near] != block[i]))]
+            if not len(near):
+                continue
+            own = token[starts[i] : starts[i + 1]]
+            flag[own] = 1
+            shared = np.array([flag[token[starts[j] : starts[j + 1]]].sum() for j in near])
+            flag[own] = 0
+            for j in near[100 * shared >= percent * (sizes[i] + sizes[near] - shared)]:
+                if comp[i] != comp[j]:
+                    out.append((int(c[i]), int(c[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(column(batch, x).to_pylist() for x in ("key", "p", "q", "c", "comp", "block", "minima", "shingles")), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    yield from _emit(region(held))
+                    held = []
+                held.append(row)
+        if held:
+            yield from _emit(region(held))
+
+    return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +328,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable, its own included), n_links (confirmed links of
-    its class), kept (doc_id = component_id; of several such rows, one)."""
+    its class, of a spanning set), kept (doc_id = component_id; null ids count as equal)."""
     docs = keyed(docs)
     n = partitions(docs)
     sig = saved(signed(docs, words))
@@ -274,26 +338,34 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     shared = saved(trees.withColumn("many", F.count("*").over(Window.partitionBy("key")) > 1).where("many").select("c", "key", "tail"))
     signatures = saved(sig.join(shared.select("c").distinct(), "c", "left_semi").select("c", "minima").dropDuplicates(["c"]))
 
-    def read_regions(step, comp: DataFrame | None) -> DataFrame:
+    def read_regions(step, schema: str, comp: DataFrame | None = None) -> DataFrame:
         rows = shared.join(signatures, "c")
         rows = rows.withColumn("comp", F.col("c")) if comp is None else rows.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         if comp is not None:  # regions within one component are done
             w = Window.partitionBy("key")
             rows = rows.withColumn("several", F.min("comp").over(w) < F.max("comp").over(w)).where("several")
         rows = rows.select("key", "tail", "c", "comp", "minima").repartition(n, "key").sortWithinPartitions("key", "tail", "c")
-        return rows.mapInArrow(step, "a long, b long").distinct()
+        return rows.mapInArrow(step, schema)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").select("c", F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th"))
-        return saved(confirmed(pairs, saved(full_sets(docs, saved(wanted), words)), percent))
+    def sets_of(c: DataFrame) -> DataFrame:
+        wanted = c.distinct().join(classes, "c").select("c", F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th"))
+        return saved(full_sets(docs, saved(wanted), words))
 
-    pairs = saved(read_regions(propose, None))
-    links = linked(pairs)
+    pairs = saved(read_regions(propose, "a long, b long").distinct())
+    links = saved(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c"))), percent))
     comp = components(links)
-    more = saved(read_regions(close, comp).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(linked(more))
-        comp = components(links)
+    left = saved(read_regions(open_rows, "key long, c long", comp))
+    if not left.isEmpty():
+        blocks = F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK).cast("int")
+        dealt = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "block")
+        rows = dealt.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(signatures, "c").join(sets_of(left.select("c")), "c")
+        rows = rows.select("key", "p", "q", "c", "comp", "block", "minima", "shingles").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "c")
+        more = saved(rows.mapInArrow(settle(percent), "a long, b long").distinct())
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
     ends = classes.select("c", F.col("rep._id").alias("least")).join(comp, "c", "left").join(degree, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     named = ends.groupBy("comp").agg(F.min("least").alias("component")).join(ends, "comp").select("c", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -301,3 +373,19 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     component = F.coalesce("component", "_id")
     null = lambda c: F.when(c != NO_ID, c)
     return rows.select(null(F.col("_id")).alias("doc_id"), "n_shingles", null(component).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("_id") == component).alias("kept"), "_th")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, of which one stays of each component; texts without words all stay."""
+    found = saved(clustered(docs, words, percent))
+    stay = found.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_th", "component_id", "n_shingles")
+    winners = stay.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("_id", "_th")).alias("w")).select("w.*")
+    winners = saved(winners.unionByName(stay.where("n_shingles = 0").select("_id", "_th").distinct()))
+    rows = packed(docs)
+    out = attached(rows, winners, F.lit(0), "left_semi")
+    twice = found.where("n_shingles > 0").groupBy("doc_id", "_th").count().where("count > 1")
+    if not twice.isEmpty():  # rows that agree in id and text: one stays
+        again = saved(twice.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_th").withColumn("again", F.lit(True)))
+        marked = attached(out, again, F.lit(1), "left")
+        out = marked.where("again is null").drop("again").unionByName(marked.where("again").drop("again").dropDuplicates(["_id", "_th"]))
+    return unpacked(out, docs.columns)
