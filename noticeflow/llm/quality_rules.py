@@ -55,12 +55,12 @@ def base_counts(s: Slice) -> dict[str, np.ndarray]:
 
     # lines: between newlines and document bounds; those with a word that equal an earlier line of the document
     newline = np.flatnonzero(buf == 10)
-    begin = np.sort(np.r_[bounds[:-1], newline + 1])
+    begin = np.unique(np.r_[bounds[:-1], newline + 1])
     line_doc = np.searchsorted(bounds, begin, "right") - 1
     ok = line_doc < s.n
     begin, line_doc = begin[ok], line_doc[ok]
-    cut = np.sort(np.r_[newline, bounds[1:]])
-    end = cut[np.searchsorted(cut, begin)]
+    after = np.r_[newline, len(buf)]
+    end = np.minimum(after[np.searchsorted(newline, begin)], bounds[line_doc + 1])
     worded = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, line_doc = begin[worded], end[worded], line_doc[worded]
     rolling = Rolling(s.byte_codes())
