@@ -14,6 +14,8 @@ A string of ``length`` bytes that starts at two places of the corpus is found at
    suffixes that begin with it, is right to j + 1. No suffixes of different shards are compared. The round
    in which a boundary between neighbours appears gives their common prefix; neighbours with none after
    length / step rounds share ``length`` bytes: an interval of repeated strings.
+   A group of more than HOT texts is split first: its strings by their offset from the anchor, CLASS offsets each,
+   and by the bytes that all strings of such a class hold; equal parts are one text a task with a count.
 3. The bytes that repeated strings cover are cut.
 
 Texts end with letters that occur once, so that no match crosses documents.
@@ -39,9 +41,10 @@ from noticeflow.llm.textkit import BYTE_CODE, Rolling, Slice, column, merged, mi
 
 LENGTH = 400
 PANEL, SHARD = 1 << 20, 1 << 18
+HOT, CLASS = 512, 25
 CHUNK = 1 << 23
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, begins array<int>, ends array<int>"
-WHOLE, SEVERAL = 0, 1  # kinds: all strings of the segment repeat; its group has several texts
+WHOLE, SEVERAL, MANY = 0, 1, 2  # kinds: all strings of the segment repeat; its group has several texts; or more than HOT
 
 
 def minimizers(g: np.ndarray, w: int) -> np.ndarray:
@@ -61,8 +64,8 @@ def minimizers(g: np.ndarray, w: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def segments(s: Slice, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last string of each segment, its anchor's hash and a hash of its text and shape."""
+def segments(s: Slice, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last string of each segment, its anchor's hash and a hash of its text and shape, and its anchor."""
     rolling = Rolling(s.byte_codes())
     k = length // 2
     g = rolling.windows(k)
@@ -72,19 +75,19 @@ def segments(s: Slice, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         ok[max(0, x - length + 1) : x] = False
     at = np.flatnonzero(ok)
     if not len(at):
-        return at, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return at, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64), at
     anchor = a[at]
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(at) != 1)])
     begin, end, anchor = at[new], at[np.r_[new[1:] - 1, len(at) - 1]], anchor[new]
     shape = ((anchor - begin) * length + (end - begin)).astype(np.uint64)
-    return begin, end, g[anchor], mix(rolling.ranges(begin, end + length) ^ mix(shape + np.uint64(1)))
+    return begin, end, g[anchor], mix(rolling.ranges(begin, end + length) ^ mix(shape + np.uint64(1))), anchor
 
 
 def groups(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """Step 1: runs of strings of both kinds by document."""
 
     def places(s: Slice, _: pa.RecordBatch, __: np.ndarray) -> tuple[Places, np.ndarray]:
-        begin, end, h, text = segments(s, length)
+        begin, end, h, text, _ = segments(s, length)
         return Places(begin, h >> np.uint64(32), [h, text, (end - begin).astype(np.uint8)]), s.bounds
 
     def choose(fields: list[np.ndarray]) -> dict[int, np.ndarray]:
@@ -98,7 +101,9 @@ def groups(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
         whole, several = np.zeros(len(h), bool), np.zeros(len(h), bool)
         whole[order] = copies[one] > 1
         several[order] = new_text & (texts[group] > 1) & lone[group]
-        return {WHOLE: whole, SEVERAL: several}
+        many = np.zeros(len(h), bool)
+        many[order] = texts[group] > HOT
+        return {WHOLE: whole, SEVERAL: several & ~many, MANY: several & many}
 
     if length // 2 + 1 > 256:
         raise ValueError("length is 510 at most: the number of strings of a segment takes one byte")
@@ -201,55 +206,88 @@ def merged_groups(docs: DataFrame, found: DataFrame, length: int, n_buckets: int
     """Step 2: runs of repeated strings by document, a row for each segment that has any."""
     step = next(k for k in range(max(1, length // 8), 0, -1) if length % k == 0)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(column(batch, "text"))
-            who, th = column(batch, "_id").to_numpy(), column(batch, "_th").to_numpy()
-            for s in slices(data, offsets):
-                begin, end, h, _ = segments(s, length)
-                doc = np.searchsorted(s.bounds, begin, "right") - 1
-                of = np.searchsorted(doc, np.arange(s.n + 1))
-                chosen = []
-                for d, (b, e) in enumerate(zip(column(batch, "begins").slice(s.i, s.n).to_pylist(), column(batch, "ends").slice(s.i, s.n).to_pylist(), strict=True)):
-                    b, e = ranges(b, e)
-                    own = np.arange(of[d], of[d + 1])
-                    at = begin[own] - s.bounds[d]
-                    run = np.searchsorted(b, at, "right") - 1
-                    chosen.append(own[(run >= 0) & (at < e[run])])
-                chosen = np.concatenate(chosen)
-                if len(chosen):
-                    at = doc[chosen]
-                    route = (h[chosen] >> np.uint64(32)) % np.uint64(n_buckets)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(route.astype(np.int32)), pa.array(h[chosen].view(np.int64)), pa.array(who[s.i : s.j][at]), pa.array(th[s.i : s.j][at]), pa.array((begin[chosen] - s.bounds[at]).astype(np.int32)),
-                         pa.array([s.buf[x : y + length].tobytes() for x, y in zip(begin[chosen], end[chosen], strict=True)], pa.binary())],
-                        ["bucket", "h", "_id", "_th", "at", "bytes"],
-                    )
+    def chosen_segments(s: Slice, batch: pa.RecordBatch):
+        """The segments of a slice in the runs that the batch names, with the document of each."""
+        begin, end, h, _, anchor = segments(s, length)
+        doc = np.searchsorted(s.bounds, begin, "right") - 1
+        of = np.searchsorted(doc, np.arange(s.n + 1))
+        keep = [np.zeros(0, np.int64)]
+        for d, (b, e) in enumerate(zip(column(batch, "begins").slice(s.i, s.n).to_pylist(), column(batch, "ends").slice(s.i, s.n).to_pylist(), strict=True)):
+            b, e = ranges(b, e)
+            own = np.arange(of[d], of[d + 1])
+            at = begin[own] - s.bounds[d]
+            run = np.searchsorted(b, at, "right") - 1
+            keep.append(own[(run >= 0) & (at < e[run])])
+        keep = np.concatenate(keep)
+        return begin[keep], end[keep], h[keep], anchor[keep], doc[keep]
+
+    def parts(begin: np.ndarray, end: np.ndarray, h: np.ndarray, anchor: np.ndarray, doc: np.ndarray, s: Slice):
+        """The segments split by classes of offsets, keyed by the bytes that all strings of a class hold."""
+        low, high = (anchor - end) // CLASS, (anchor - begin) // CLASS
+        times = high - low + 1
+        own = np.repeat(np.arange(len(begin)), times)
+        j = low[own] + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+        first, last = np.maximum(begin[own], anchor[own] - j * CLASS - CLASS + 1), np.minimum(end[own], anchor[own] - j * CLASS)
+        core = Rolling(s.byte_codes()).ranges(anchor[own] - j * CLASS, anchor[own] - j * CLASS - CLASS + 1 + length)
+        return first, last, mix(h[own] ^ mix(core + j.astype(np.uint64))), doc[own]
+
+    def cut(split: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = text_buffers(column(batch, "text"))
+                who, th = column(batch, "_id").to_numpy(), column(batch, "_th").to_numpy()
+                texts: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}  # equal texts of a group: one row a batch
+                for s in slices(data, offsets):
+                    begin, end, h, anchor, doc = chosen_segments(s, batch)
+                    if split and len(begin):
+                        begin, end, h, doc = parts(begin, end, h, anchor, doc, s)
+                    for x, y, key, d in zip(begin, end, h.view(np.int64), doc, strict=True):
+                        texts.setdefault((int(key), s.buf[x : y + length].tobytes()), []).append((int(who[s.i + d]), int(th[s.i + d]), int(x - s.bounds[d])))
+                rows = [(key, text, [np.array(c).tobytes() for c in zip(*places, strict=True)]) for (key, text), places in texts.items()]
+                for i in range(0, len(rows), 2000):
+                    key, text, places = zip(*rows[i : i + 2000], strict=True)
+                    route = (np.array(key).view(np.uint64) >> np.uint64(32)) % np.uint64(n_buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int32)), pa.array(key, pa.int64()), pa.array(text, pa.binary()), *(pa.array([p[k] for p in places], pa.binary()) for k in range(3))], ["bucket", "h", "bytes", "ids", "ths", "at"])
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), schema=pa.schema([("h", pa.int64()), ("_id", pa.int64()), ("_th", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())]))
-        h = rows["h"].to_numpy()
-        order = np.argsort(h, kind="stable")
-        data, offsets = text_buffers(rows["bytes"])
-        who, th, at = rows["_id"].to_numpy(), rows["_th"].to_numpy(), rows["at"].to_numpy()
-        i = 0
-        while i < len(order):
-            j, size = i, 0
-            while j < len(order) and (size < PANEL or h[order[j]] == h[order[j - 1]]):
-                size += offsets[order[j] + 1] - offsets[order[j]]
-                j += 1
-            panel = order[i:j]
-            i = j
-            starts = repeated([data[offsets[r] : offsets[r + 1]] for r in panel], length, step)
-            out = [(int(who[r]), int(th[r]), *(x.astype(np.uint32).tobytes() for x in runs(p + at[r]))) for r, p in zip(panel, starts, strict=True) if len(p)]
-            if out:
-                c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["_id", "_th", "begins", "ends"])
-
-    several = found.where(F.col("kind") == SEVERAL).select("_id", "_th", "begins", "ends")
-    texts = attached(docs, several, F.length("begins") * 2, "inner").select("_id", "_th", "text", "begins", "ends")
-    dealt = texts.mapInArrow(cut, "bucket int, h long, _id long, _th long, at int, bytes binary")
-    return dealt.repartitionById(n_buckets, F.col("bucket")).select("h", "_id", "_th", "at", "bytes").mapInArrow(run, "_id long, _th long, begins binary, ends binary")
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(column(batch, c).to_pylist() for c in ("h", "bytes", "ids", "ths", "at")), strict=True):
+                if size >= PANEL and row[0] != held[-1][0]:  # rows come by group: a panel holds whole groups
+                    yield from panel(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[1])
+        if held:
+            yield from panel(held)
+
+    def panel(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        same: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        for h, text, *places in rows:
+            same.setdefault((h, text), []).extend(zip(*(np.frombuffer(p, np.int64).tolist() for p in places), strict=True))
+        starts = repeated([np.frombuffer(text, np.uint8) for _, text in same], length, step)
+        out = []
+        for ((_, text), places), found in zip(same.items(), starts, strict=True):
+            found = found if len(places) == 1 else np.arange(len(text) - length + 1)  # several places: all of it repeats
+            if len(found):
+                begin, end = runs(found)
+                out += [(a, b, (begin + c).astype(np.uint32).tobytes(), (end + c).astype(np.uint32).tobytes()) for a, b, c in places]
+        if out:
+            c = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["_id", "_th", "begins", "ends"])
+
+    def dealt(kind: int) -> DataFrame:
+        chosen = attached(docs, found.where(F.col("kind") == kind).select("_id", "_th", "begins", "ends"), F.length("begins") * 2, "inner")
+        return chosen.select("_id", "_th", "text", "begins", "ends").mapInArrow(cut(kind == MANY), "bucket int, h long, bytes binary, ids binary, ths binary, at binary")
+
+    texts = dealt(SEVERAL)
+    if not found.where(F.col("kind") == MANY).isEmpty():
+        texts = texts.unionByName(dealt(MANY))
+    rows = texts.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("h").select("h", "bytes", "ids", "ths", "at")
+    return rows.mapInArrow(run, "_id long, _th long, begins binary, ends binary")
 
 
 def spans(found: DataFrame, more: DataFrame, length: int) -> DataFrame:
