@@ -16,7 +16,6 @@ gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,25 +59,27 @@ def features(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(owner)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """grade label and distinct features with their counts of each labelled text. docs: text, toxic."""
+def counted(docs: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
+    """Distinct features of each text, sorted, with their counts; with keys (sorted), only those among them."""
+    shared = None if keys is None else docs.sparkSession.sparkContext.broadcast((keys, sieve_of(keys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(column(batch, "text"))
             for s in slices(data, offsets):
                 f, d = features(s)
+                if shared is not None:
+                    own, _ = evidence(shared.value[0], f, shared.value[1])
+                    f, d = f[own], d[own]
                 order = np.lexsort((f, d))
                 f, d = f[order], d[order]
                 new = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (d[1:] != d[:-1])]) if len(f) else np.zeros(0, int)
-                times = np.diff(np.r_[new, len(f)])
+                times = np.minimum(np.diff(np.r_[new, len(f)]), 65535).astype(np.uint16)
                 at = np.searchsorted(d[new], np.arange(s.n + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "toxic").slice(s.i, s.n), pa.array([f[new][a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([np.minimum(times[a:b], 65535).astype(np.uint16).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                    ["toxic", "features", "times"],
-                )
+                parts = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([parts(f[new]), parts(times)], ["features", "times"])
 
-    return docs.mapInArrow(run, "toxic int, features binary, times binary")
+    return docs.select("text").mapInArrow(run, "features binary, times binary")
 
 
 @dataclass
@@ -141,30 +142,28 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 400
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, grades: int = GRADES) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic."""
     chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    rows = counted(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
-    toxic, found = [], []
-    n = np.zeros(2, int)
-    seen: list[Counter] = [Counter(), Counter()]
-    for y, f, times in rows.toLocalIterator():
-        y = int(y > 0)
-        f = np.frombuffer(f, np.uint64)
-        toxic.append(y)
-        found.append((f, np.frombuffer(times, np.uint16)))
-        n[y] += 1
-        if y:
-            seen[1].update(f.tolist())
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    read = lambda df: [(np.frombuffer(f, np.uint64), np.frombuffer(t, np.uint16)) for f, t in df.toLocalIterator()]
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 60.0))
-    if not n.all():
+    # the toxic texts' features first; of the others only what those hold reaches the driver
+    bad = read(counted(texts.where("toxic > 0")))
+    if not bad:
         return empty
-    least = max(3, 0.004 * n[1])
-    keys = np.array(sorted(k for k, c in seen[1].items() if c >= least), np.uint64)
+    keys, count = np.unique(np.concatenate([f for f, _ in bad]), return_counts=True)
+    keys = keys[count >= max(3, 0.004 * len(bad))]
     if not len(keys):
         return empty
+    fine = read(counted(texts.where("toxic <= 0"), keys))
+    if not fine:
+        return empty
     sieve = sieve_of(keys)
+    found = bad + fine
+    y = np.r_[np.ones(len(bad), int), np.zeros(len(fine), int)]
     inside = [evidence(keys, f, sieve) for f, _ in found]
+    n = np.array([len(fine), len(bad)])
     a, b = np.zeros(len(keys)), np.zeros(len(keys))
-    for y, (_, at) in zip(toxic, inside, strict=True):
-        (a if y else b)[at] += 1
+    for toxic, (_, at) in zip(y, inside, strict=True):
+        (a if toxic else b)[at] += 1
     ratio = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
     z = ratio / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     good = np.flatnonzero((ratio > np.log(20)) & (z > 2.5))
@@ -173,11 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, grades: in
         return empty
     place = np.full(len(keys), -1)
     place[good] = np.arange(len(good))
-    x = np.zeros((len(toxic), len(good)), np.float32)
+    x = np.zeros((len(y), len(good)), np.float32)
     for r, ((_, times), (own, at)) in enumerate(zip(found, inside, strict=True)):
         ok = place[at] >= 0
         x[r, place[at[ok]]] = np.log1p(times[own[ok]])
-    y = np.array(toxic)
     total = x.sum(1)
     steps = np.quantile(total[y == 1], [k / (grades - 1) for k in range(1, grades - 1)])
     grade = np.where(y == 1, 1 + np.searchsorted(steps, total, "left"), 0)
