@@ -3,16 +3,17 @@
 1. Every text gives its set of distinct shingles of ``words`` words (A-Z lower-cased), hashed to 64 bits, and a
    signature of TREES * DEPTH minima. Texts with equal sets form a class; one of each goes on.
 2. Each tree orders the classes by its DEPTH minima. Those that share the first LEAST of them form a region. A
-   region of one is done. In a larger one neighbours by longest common prefix are candidates: it is read in
-   sorted order, CHUNK classes at a time, so that a dense region is worked on at the depth where it splits into
-   chunks, and one class for each chunk's clusters goes on to the next chunk. Of a chunk the maximum spanning
-   forest by estimated similarity is proposed: a group of m near copies gives m - 1 pairs, not all pairs.
+   region of one is done. In a larger one neighbours by longest common prefix are candidates. Depth adapts to the
+   region: one of more than CHUNK classes is split by its next minima, to the depth where its parts are small
+   enough, and these are dealt to different tasks; a part that is dense to the full depth is read in sorted order,
+   CHUNK classes at a time, one class for each cluster of a chunk going on to the next. Of a chunk the maximum
+   spanning forest by estimated similarity is proposed: a group of m near copies gives m - 1 pairs, not all pairs.
 3. Pairs are confirmed on full sets; confirmed links make components (alternating stars).
 4. Closing: in regions that still hold several components, classes with a partner in another component that the
    signatures don't exclude (estimate at least FLOOR) are brought together with their full sets, and all such
    pairs are confirmed or refuted in place, each in the first tree where it shares a region. So each pair that
-   shares a region is linked, refuted or inside one component. Rows stay linear in the classes; a region of more
-   than BLOCK such classes is split into blocks that are compared two by two.
+   shares a region, at whatever depth it was split, is linked, refuted or inside one component. Rows stay linear in
+   the classes; a region of more than BLOCK classes is split into blocks that are dealt and compared two by two.
 
 Two sets of similarity 0.75 share a region unless all trees miss: (1 - 0.75**3)**20 = 1.7e-5; FLOOR is 4.8
 standard deviations below 0.75.
@@ -37,8 +38,8 @@ from noticeflow.llm.textkit import Rolling, Slice, column, ids, mix, slices, tex
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH, LEAST = 20, 6, 3
-CHUNK = 1024
-BLOCK = 2048
+CHUNK = 512
+BLOCK = 1024
 PROPOSE, FLOOR = 0.68, 0.56
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -142,31 +143,30 @@ def roots(n: int, edges: list[tuple[int, int]]) -> list[int]:
     return sorted({top(x) for x in range(n)})
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(key, c, comp, minima, last) of consecutive rows of one region, at most about CHUNK each; last: the region ends."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(c, minima, last) of consecutive rows of one region, at most about CHUNK each; last: the region ends."""
     held: list[tuple] = []
     key = None
     for batch in batches:
         keys = column(batch, "key").to_numpy()
-        c, comp = column(batch, "c").to_numpy(), column(batch, "comp").to_numpy()
-        minima, _ = text_buffers(column(batch, "minima"))
-        _, offs = text_buffers(column(batch, "minima"))
+        c = column(batch, "c").to_numpy()
+        minima, offs = text_buffers(column(batch, "minima"))
         m = minima[offs[0] : offs[-1]].view(np.uint16).reshape(len(c), -1)
         cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             if i == j:
                 continue
             if held and keys[i] != key:
-                yield int(key), *(np.concatenate(x) for x in zip(*held, strict=True)), True
+                yield *(np.concatenate(x) for x in zip(*held, strict=True)), True
                 held = []
             key = keys[i]
             for a in range(i, j, CHUNK):
-                held.append((c[a : min(a + CHUNK, j)], comp[a : min(a + CHUNK, j)], m[a : min(a + CHUNK, j)].copy()))
+                held.append((c[a : min(a + CHUNK, j)], m[a : min(a + CHUNK, j)].copy()))
                 if sum(len(h[0]) for h in held) >= CHUNK:
-                    yield int(key), *(np.concatenate(x) for x in zip(*held, strict=True)), False
+                    yield *(np.concatenate(x) for x in zip(*held, strict=True)), False
                     held = []
     if held:
-        yield int(key), *(np.concatenate(x) for x in zip(*held, strict=True)), True
+        yield *(np.concatenate(x) for x in zip(*held, strict=True)), True
 
 
 def _emit(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: spanning pairs of each region."""
     out: list[tuple[int, int]] = []
     carry: tuple | None = None
-    for _, c, _, m, last in _regions(batches):
+    for c, m, last in _regions(batches):
         if carry is not None:
             c, m = np.r_[carry[0], c], np.concatenate([carry[1], m])
         c, at = np.unique(c, return_index=True)
@@ -216,19 +216,31 @@ def open_pairs(m: np.ndarray, comp: np.ndarray, key: int) -> Iterator[tuple[int,
             yield i, near
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+    """Consecutive rows of one (key, p, q): a region, or two of its blocks, of at most about BLOCK rows each."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(column(batch, x).to_pylist() for x in ("key", "p", "q", *names)), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 4: the rows (key, c) that have a pair to look at."""
-    held: list[tuple] = []
-    for key, c, comp, m, last in _regions(batches):
-        held.append((c, comp, m))
-        if not last:
-            continue
-        c, comp, m = (np.concatenate(x) for x in zip(*held, strict=True))
-        held = []
+    for rows in _blocks(batches, "c", "comp", "block", "minima"):
+        c, comp, block = (np.array(x) for x in list(zip(*rows, strict=True))[3:6])
+        m = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(c), -1)
+        key, p, q = rows[0][:3]
         need = np.zeros(len(c), bool)
         for i, near in open_pairs(m, comp, key):
-            need[i] = True
-            need[near] = True
+            near = near if p == q else near[block[near] != block[i]]
+            if len(near):
+                need[i] = True
+                need[near] = True
         if need.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(int(need.sum()), key)), pa.array(c[need])], ["key", "c"])
 
@@ -237,16 +249,16 @@ def settle(percent: int):
     """Step 4: links between components, from rows of one region (or two of its blocks) with their sets."""
 
     def region(rows: list[tuple]) -> list[tuple[int, int]]:
-        key, _, _, c, comp, block, m, sets = (list(x) for x in zip(*rows, strict=True))
-        c, comp, block = np.array(c), np.array(comp), np.array(block)
-        m = np.frombuffer(b"".join(m), np.uint16).reshape(len(c), -1)
-        sizes = np.array([len(x) // 8 for x in sets])
-        _, token = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        key, p, q = rows[0][:3]
+        c, comp, block = (np.array(x) for x in list(zip(*rows, strict=True))[3:6])
+        m = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(c), -1)
+        sizes = np.array([len(r[7]) // 8 for r in rows])
+        _, token = np.unique(np.frombuffer(b"".join(r[7] for r in rows), np.uint64), return_inverse=True)
         starts = np.r_[0, np.cumsum(sizes)]
         flag = np.zeros(int(token.max()) + 1, np.int64)
-        out, one_block = [], len(set(block)) < 2 or rows[0][1] == rows[0][2]
-        for i, near in open_pairs(m, comp, key[0]):
-            near = near[(comp[near] != comp[i]) & (one_block | (block[near] != block[i]))]
+        out = []
+        for i, near in open_pairs(m, comp, key):
+            near = near[(comp[near] != comp[i]) & ((p == q) | (block[near] != block[i]))]
             if not len(near):
                 continue
             own = token[starts[i] : starts[i + 1]]
@@ -260,15 +272,8 @@ def settle(percent: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(column(batch, x).to_pylist() for x in ("key", "p", "q", "c", "comp", "block", "minima", "shingles")), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    yield from _emit(region(held))
-                    held = []
-                held.append(row)
-        if held:
-            yield from _emit(region(held))
+        for rows in _blocks(batches, "c", "comp", "block", "minima", "shingles"):
+            yield from _emit(region(rows))
 
     return run
 
@@ -335,33 +340,46 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     classes = sig.where("n_shingles > 0").groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("copies"))
     one_each = sig.where("n_shingles > 0").dropDuplicates(["c"]).select("c", "keys", "tails", "minima")
     trees = one_each.select("c", F.posexplode("keys").alias("tree", "key"), "tails").select("c", "key", F.element_at("tails", F.col("tree") + 1).alias("tail"))
-    shared = saved(trees.withColumn("many", F.count("*").over(Window.partitionBy("key")) > 1).where("many").select("c", "key", "tail"))
+    shared = saved(trees.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     signatures = saved(sig.join(shared.select("c").distinct(), "c", "left_semi").select("c", "minima").dropDuplicates(["c"]))
 
-    def read_regions(step, schema: str, comp: DataFrame | None = None) -> DataFrame:
-        rows = shared.join(signatures, "c")
-        rows = rows.withColumn("comp", F.col("c")) if comp is None else rows.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        if comp is not None:  # regions within one component are done
-            w = Window.partitionBy("key")
-            rows = rows.withColumn("several", F.min("comp").over(w) < F.max("comp").over(w)).where("several")
-        rows = rows.select("key", "tail", "c", "comp", "minima").repartition(n, "key").sortWithinPartitions("key", "tail", "c")
-        return rows.mapInArrow(step, schema)
+    def proposed() -> DataFrame:
+        small = shared.where(F.col("n") <= CHUNK).withColumn("part", F.col("key"))
+        next_one, next_two = F.shiftright("tail", 32), F.shiftright("tail", 16)
+        parts = F.count("*").over(Window.partitionBy("key", next_one))
+        large = shared.where(F.col("n") > CHUNK).withColumn("m", parts)
+        large = large.withColumn("part", F.xxhash64("key", F.when(F.col("m") <= CHUNK, next_one).otherwise(next_two), F.col("m") <= CHUNK)).drop("m")
+        rows = small.unionByName(large).join(signatures, "c").select(F.col("part").alias("key"), "tail", "c", "minima")
+        return rows.repartition(n, "key").sortWithinPartitions("key", "tail", "c").mapInArrow(propose, "a long, b long").distinct()
+
+    def in_blocks(rows: DataFrame, comp: DataFrame, size: str) -> DataFrame:
+        """Rows (key, c) with their component and signature, each for every pair of blocks that it is part of. size: of the region."""
+        dealt = rows.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "block")
+        return dealt.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(signatures, "c")
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "c")
+
+    def several(comp: DataFrame) -> DataFrame:
+        """The rows of regions that hold more than one component."""
+        of = shared.select("key", "c", "n").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        keys = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return shared.select("key", "c", "n").join(keys, "key", "left_semi")
 
     def sets_of(c: DataFrame) -> DataFrame:
         wanted = c.distinct().join(classes, "c").select("c", F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th"))
         return saved(full_sets(docs, saved(wanted), words))
 
-    pairs = saved(read_regions(propose, "a long, b long").distinct())
+    pairs = saved(proposed())
     links = saved(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c"))), percent))
     comp = components(links)
-    left = saved(read_regions(open_rows, "key long, c long", comp))
+    looked_at = together(in_blocks(several(comp), comp, "n")).select("key", "p", "q", "c", "comp", "block", "minima")
+    left = saved(looked_at.mapInArrow(open_rows, "key long, c long").distinct())
     if not left.isEmpty():
-        blocks = F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK).cast("int")
-        dealt = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "block")
-        rows = dealt.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(signatures, "c").join(sets_of(left.select("c")), "c")
-        rows = rows.select("key", "p", "q", "c", "comp", "block", "minima", "shingles").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "c")
+        counted = left.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+        rows = together(in_blocks(counted, comp, "n").join(sets_of(left.select("c")), "c")).select("key", "p", "q", "c", "comp", "block", "minima", "shingles")
         more = saved(rows.mapInArrow(settle(percent), "a long, b long").distinct())
         if not more.isEmpty():
             links = links.unionByName(more)
