@@ -1,7 +1,9 @@
-"""The index: a table keyed by id, kept as versioned Parquet directories with a pointer to the current one.
+"""The index: a table keyed by id, kept as Parquet directories that a numbered manifest lists.
 
-An upsert writes the next version and then moves the pointer, so readers see the old or the new table whole, and
-a job that dies in between leaves the old one in place.
+An upsert writes only its own rows, as a delta, and then the next manifest, so its cost follows the batch and not the
+table; readers see the old table or the new one whole, and a job that dies in between leaves the old one in place.
+A read lays the deltas, last wins, over the base; predicates reach the scans of both. After MAX_DELTAS deltas the
+next write compacts all into a new base.
 """
 
 from __future__ import annotations
@@ -12,51 +14,104 @@ from pyspark.sql.types import StructType
 
 from noticeflow.schemas import INDEX
 
+MAX_DELTAS = 16
+
 
 class Index:
     """Paths go through Hadoop's file systems, so any store that Spark reads will do."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType = INDEX):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, schema: StructType = INDEX, key: str = "id"):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+        self._jvm = spark._jvm
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _numbers(self, pattern: str) -> list[int]:
+        return sorted(int(p.getPath().getName().rpartition("-")[2]) for p in self._fs.globStatus(self._at(pattern)) or [])
 
     def version(self) -> int:
-        """The highest committed version; 0 for a new index."""
-        pointers = self._fs.globStatus(self._path(f"{self.path}/current-*"))
-        return max((int(p.getPath().getName().rpartition("-")[2]) for p in pointers or []), default=0)
+        """The last committed version; 0 for a new index."""
+        return max(self._numbers("manifest-*"), default=0)
+
+    def _parts(self, version: int) -> list[str]:
+        """Directories of a version, the base first."""
+        if not version:
+            return []
+        stream = self._fs.open(self._at(f"manifest-{version}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+
+    def _commit(self, version: int, parts: list[str]) -> int:
+        temporary = self._at(f".manifest-{version}.new")
+        stream = self._fs.create(temporary, True)
+        stream.write(bytearray("\n".join(parts).encode()))
+        stream.close()
+        if not self._fs.rename(temporary, self._at(f"manifest-{version}")):
+            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
+        return version
+
+    def _scan(self, part: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{part}")
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
+        parts = self._parts(self.version())
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        if len(parts) == 1:
+            return self._scan(parts[0])
+        deltas = self._scan(parts[1]).withColumn("_seq", F.lit(1))
+        for k, part in enumerate(parts[2:], 2):
+            deltas = deltas.unionByName(self._scan(part).withColumn("_seq", F.lit(k)))
+        latest = last_of_each(deltas, self.key, F.col("_seq")).select(*(f.name for f in self.schema))
+        return self._scan(parts[0]).join(deltas.select(self.key).distinct(), self.key, "left_anti").select(*(f.name for f in self.schema)).unionByName(latest)
 
     def write(self, rows: DataFrame) -> int:
+        """Replaces the whole table."""
         v = self.version() + 1
-        rows.select(*(f.name for f in self.schema)).write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self._fs.create(self._path(f"{self.path}/current-{v}"), True).close()
-        for p in self._fs.globStatus(self._path(f"{self.path}/current-*")) or []:
-            if int(p.getPath().getName().rpartition("-")[2]) < v:
-                self._fs.delete(p.getPath(), False)
-        return v
+        rows.select(*(f.name for f in self.schema)).write.mode("overwrite").parquet(f"{self.path}/part-{v}")
+        return self._commit(v, [f"part-{v}"])
+
+    def _append(self, rows: DataFrame) -> int:
+        v = self.version()
+        parts = self._parts(v)
+        rows.select(*(f.name for f in self.schema)).write.mode("overwrite").parquet(f"{self.path}/part-{v + 1}")
+        self._commit(v + 1, [*parts, f"part-{v + 1}"])
+        return self.compact() if len(parts) > MAX_DELTAS else v + 1
+
+    def compact(self) -> int:
+        return self.write(self.read())
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all but the latest versions."""
-        for p in self._fs.globStatus(self._path(f"{self.path}/v*")) or []:
-            if int(p.getPath().getName()[1:]) <= self.version() - keep:
-                self._fs.delete(p.getPath(), True)
+        """Deletes the manifests before the latest ones and the directories that only those name."""
+        v = self.version()
+        used = {p for k in self._numbers("manifest-*") if k > v - keep for p in self._parts(k)}
+        for k in self._numbers("manifest-*"):
+            if k <= v - keep:
+                self._fs.delete(self._at(f"manifest-{k}"), False)
+        for k in self._numbers("part-*"):
+            if k <= v and f"part-{k}" not in used:
+                self._fs.delete(self._at(f"part-{k}"), True)
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> int:
         """Inserts rows or overwrites those with the same id; of several new rows with one id the last by order."""
-        return self.write(upserted(self.read(), rows, order=order))
+        return self._append(last_of_each(rows, self.key, F.col(order) if order else F.monotonically_increasing_id()))
 
     def update(self, changes: DataFrame) -> int:
-        return self.write(updated(self.read(), changes))
+        """Lays the non-null values of changes over the rows they name; other ids in changes are ignored."""
+        return self._append(updated(index_rows_of(self.read(), changes, self.key), changes, self.key))
 
     def count(self) -> int:
         return self.read().count()
 
 
+def index_rows_of(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    return table.join(ids.select(key), key, "left_semi")
+
+
 def last_of_each(rows: DataFrame, key: str = "id", *order: Column) -> DataFrame:
     """The last row of each key; the aggregate combines before the shuffle."""
     top = rows.select(F.col(key).alias("_key"), F.struct(*order).alias("_order"), F.struct("*").alias("_row"))

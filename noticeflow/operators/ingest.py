@@ -98,18 +98,23 @@ def metadata(e: DataFrame) -> DataFrame:
     good = e.where(F.col("error").isNull() & (F.coalesce("signal_summary", F.lit("")) != ""))
     title = cleaning.title_of(F.col("Summary"), F.col("Title"))
     authority = unknown("entities.authority_name")
-    doc_id = F.coalesce("RefNo", "TOT_ID", F.concat(F.lit("hash_"), F.sha2("signal_summary", 256)))
+    own_id = doc_id(F.col("RefNo"), F.col("TOT_ID"), F.col("signal_summary"))
     return good.select(
-        doc_id.alias("id"), text.embedding_text(F.col("signal_summary"), F.col("project_tags"), F.col("search_keywords")).alias("document"),
+        own_id.alias("id"), text.embedding_text(F.col("signal_summary"), F.col("project_tags"), F.col("search_keywords")).alias("document"),
         unknown("core_domain", "Unclassified").alias("core_domain"), F.coalesce(F.array_join("project_tags", ", "), F.lit("")).alias("project_tags"), unknown("procurement_type").alias("procurement_type"),
         authority_name(authority, F.col("Purchaser_Name")).alias("authority_name"), unknown("entities.location_city").alias("location_city"), unknown("entities.location_state").alias("location_state"),
         unknown("Country").alias("country"), text.prefix(title, text.TITLE_CHARS).alias("original_title"),
         text.prefix(F.coalesce(cleaning.present(F.col("Description")), cleaning.present(F.col("signal_summary")), F.lit("")), text.DESCRIPTION_CHARS).alias("description"),
-        unknown("Closing_Date", "N/A").alias("closing_date"), unknown("Tender_Notice_Document", "#").alias("url"), doc_id.alias("ref_no"), unknown("TOT_ID", "N/A").alias("tot_id"),
+        unknown("Closing_Date", "N/A").alias("closing_date"), unknown("Tender_Notice_Document", "#").alias("url"), own_id.alias("ref_no"), unknown("TOT_ID", "N/A").alias("tot_id"),
         text.is_corrigendum(title).alias("is_corrigendum"),
     )
 
 
+def doc_id(ref_no: Column, tot_id: Column, signal: Column) -> Column:
+    """The reference number, else the other id, else a stable hash of the summary."""
+    return F.coalesce(ref_no, tot_id, F.concat(F.lit("hash_"), F.sha2(signal, 256)))
+
+
 def authority_name(authority: Column, purchaser: Column) -> Column:
     """The purchaser, cut, where no authority is known."""
     return F.when(authority.isin("Unknown", "N/A") & (F.coalesce(purchaser, F.lit("")) != ""), text.prefix(purchaser, text.PURCHASER_CHARS)).otherwise(authority)

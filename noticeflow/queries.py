@@ -516,3 +516,86 @@ def batch_ingest(spark: SparkSession, d: str) -> DataFrame:
     return ingest.index_rows(rows, LocalProvider(), taxonomy.as_array(["supply"])).select("id", "original_title", "country")
 
 
+# --- round trips and compositions -------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END, 'hash_' || sha256(c_name)) AS id FROM customer")
+def doc_id_fallback(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", ingest.doc_id(F.when(k % 3 == 0, F.col("c_name")), F.when(k % 3 == 1, F.col("c_mktsegment")), F.col("c_name")).alias("id"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id FROM part")
+def id_column_discovery(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_name", F.col("p_partkey").alias("Tender ID"), "p_size")
+    return rows.select(F.col(readers.id_column(rows.columns)).cast("string").alias("id"))
+
+
+@query("SELECT doc_id, substr(text, 1, 60) AS preview FROM documents")
+def preview_truncation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.prefix(F.col("text"), 60).alias("preview"))
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 3, 5) AND (label = 3) IS DISTINCT FROM true")
+def intent_predicate(spark: SparkSession, d: str) -> DataFrame:
+    intent = {"core_domains": ["D1", "D3", "D5"], "procurement_types": ["Works"], "is_broad_query": False}
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.concat(F.lit("D"), F.col("label")).alias("core_domain"), (F.col("label") == 3).alias("is_corrigendum"))
+    return rows.where(predicates.from_intent(intent, include_corrigendum=False)).select("id", "label")
+
+
+@query("""SELECT '{' || string_agg('"' || r_name || '":["' || lower(r_name) || '"]', ',' ORDER BY r_name) || '}' AS taxonomy FROM region""")
+def taxonomy_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "region").select(F.col("r_name").alias("sector"), F.lower("r_name").alias("keyword"), F.col("r_regionkey").alias("row"))
+    return taxonomy.to_json(taxonomy.by_sector(rows))
+
+
+@query("SELECT doc_id, md5(text) AS h FROM documents")
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, with their line breaks and quotes, through a CSV file and the raw reader."""
+    path = new_path(spark, "csv")
+    table(spark, d, "documents").select("doc_id", "text").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_csv(spark, path, raw=False).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("SELECT event_id, event_type, value FROM events UNION ALL SELECT event_id, event_type, value FROM events")
+def jsonl_append(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+    path = new_path(spark, "jsonl")
+    for _ in range(2):
+        table(spark, d, "events").select("event_id", "event_type", "value").write.mode("append").json(path)
+    return readers.read_jsonl(spark, path, StructType([StructField("event_id", LongType()), StructField("event_type", StringType()), StructField("value", DoubleType())]))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS original_title, CASE WHEN p_partkey % 4 = 0 THEN 'Works' WHEN p_partkey % 3 = 0 THEN 'Supply' ELSE p_type END AS procurement_type, p_partkey % 3 = 0 AS is_corrigendum FROM part
+""")
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A table, an upsert of every third row and an update of every fourth, read back from the index."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    target = index.Index(spark, new_path(spark, "index"))
+    none = {f.name: F.lit(None).cast(f.dataType) for f in target.schema}
+    row = lambda kind, flag: p.select(*((none | {"id": k.cast("string"), "original_title": F.col("p_name"), "procurement_type": kind, "is_corrigendum": flag})[n].alias(n) for n in none))
+    target.upsert(row(F.col("p_type"), F.lit(False)))
+    target.upsert(row(F.lit("Supply"), F.lit(True)).where(F.col("id").cast("long") % 3 == 0))
+    target.update(p.where(k % 4 == 0).select(k.cast("string").alias("id"), F.lit("Works").alias("procurement_type")))
+    return target.read().select("id", "original_title", "procurement_type", "is_corrigendum")
+
+
+@query()
+def search_local(spark: SparkSession, d: str) -> DataFrame:
+    """Ingestion, index rows and a search by text with the local provider."""
+    rows = ingest.index_rows(readers.with_row_index(_notices(spark, d)), LocalProvider(), taxonomy.as_array(["supply"]))
+    return search.response(search.search(rows, "supply of a small ring", LocalProvider(), 10, include_corrigendum=False))
+
+
+@query("SELECT 'C' || c_custkey AS id, c_name AS original_title FROM customer")
+def backfill_missing(spark: SparkSession, d: str) -> DataFrame:
+    """An index with the even ids gets the odd ones that it lacks."""
+    have = {"Summary": F.col("c_name"), "Description": F.rpad("c_mktsegment", 120, "x"), "RefNo": F.concat(F.lit("C"), F.col("c_custkey"))}
+    customers = table(spark, d, "customer")
+    raw = customers.select(*(have.get(c, F.lit(None).cast("string")).alias(c) for c in RAW_COLUMNS))
+    target, words = index.Index(spark, new_path(spark, "index")), taxonomy.as_array([])
+    target.upsert(ingest.index_rows(readers.with_row_index(raw.where(F.substring("RefNo", 2, 20).cast("long") % 2 == 0)), LocalProvider(), words))
+    audit.backfill(target, raw, customers.select(have["RefNo"].alias("id")), LocalProvider(), words)
+    return target.read().select("id", "original_title")

@@ -148,6 +148,27 @@ def test_last_wins(spark):
     assert sorted(r.v for r in index.updated(old, spark.createDataFrame([("a", "new")], "id string, v string")).collect()) == ["kept", "new"]
 
 
+def test_deltas_compact_and_old_versions_go(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    idx = index.Index(spark, str(tmp_path / "i"), StructType([StructField("id", StringType()), StructField("v", StringType())]))
+    want = {}
+    for k in range(index.MAX_DELTAS + 4):
+        new = {str(i % 11): f"{k}" for i in range(k, k + 3)}
+        want |= new
+        idx.upsert(spark.createDataFrame(list(new.items()), "id string, v string"))
+        if k == 5:
+            idx.update(spark.createDataFrame([("6", "u"), ("nobody", "u")], "id string, v string"))
+            want["6"] = "u"
+    assert {r.id: r.v for r in idx.read().collect()} == want and idx.count() == len(want)
+    plan = idx.read().where("v = 'x'")._jdf.queryExecution().toString()
+    assert plan.count("PushedFilters: [IsNotNull(v), EqualTo(v,x)]") >= 1
+    idx.compact()
+    idx.vacuum(1)
+    assert len([p for p in (tmp_path / "i").iterdir() if p.name.startswith("part-")]) == 1
+    assert {r.id: r.v for r in idx.read().collect()} == want
+
+
 def test_metadata_limits(spark):
     e = ingest.enriched(ingest.cleaned(raw(spark, [{"Summary": "CORRIGENDUM: " + "t" * 400, "Description": "d" * 900, "Purchaser_Name": "p" * 150}])), LocalProvider(), taxonomy.as_array([]))
     m = ingest.metadata(e).first()
