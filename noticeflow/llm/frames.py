@@ -63,17 +63,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attached(docs: DataFrame, small: DataFrame, size: Column, how: str) -> DataFrame:
-    """docs joined on _id and _th with a saved table; broadcast only if its measured size allows it.
+def attached(docs: DataFrame, small: DataFrame, size: Column, how: str, on: tuple[str, ...] = ("_id", "_th")) -> DataFrame:
+    """docs joined (on _id and _th) with a saved table; broadcast only if its measured size allows it.
 
-    size: bytes of a row besides the two keys.
+    size: bytes of a row besides the keys.
     """
     total = small.agg(F.sum(size + F.lit(64))).first()[0] or 0
     if total <= BROADCAST_BYTES:
         small = F.broadcast(small)
     else:
         small = small.hint("shuffle_merge")
-    return docs.join(small, ["_id", "_th"], how)
+    return docs.join(small, list(on), how)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

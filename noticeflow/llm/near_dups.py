@@ -365,8 +365,8 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     def several(comp: DataFrame) -> DataFrame:
         """The rows of regions that hold more than one component."""
         of = shared.select("key", "c", "n").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        keys = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return shared.select("key", "c", "n").join(keys, "key", "left_semi")
+        keys = saved(of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+        return attached(shared.select("key", "c", "n"), keys, F.lit(0), "left_semi", ("key",))
 
     def sets_of(c: DataFrame) -> DataFrame:
         wanted = c.distinct().join(classes, "c").select("c", F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th"))
