@@ -341,7 +341,7 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     one_each = sig.where("n_shingles > 0").dropDuplicates(["c"]).select("c", "keys", "tails", "minima")
     trees = one_each.select("c", F.posexplode("keys").alias("tree", "key"), "tails").select("c", "key", F.element_at("tails", F.col("tree") + 1).alias("tail"))
     shared = saved(trees.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
-    signatures = saved(sig.join(shared.select("c").distinct(), "c", "left_semi").select("c", "minima").dropDuplicates(["c"]))
+    signatures = saved(one_each.select("c", "minima").join(shared.select("c").distinct(), "c", "left_semi"))
 
     def proposed() -> DataFrame:
         small = shared.where(F.col("n") <= CHUNK).withColumn("part", F.col("key"))
