@@ -340,14 +340,13 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     classes = sig.where("n_shingles > 0").groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("copies"))
     one_each = sig.where("n_shingles > 0").dropDuplicates(["c"]).select("c", "keys", "tails", "minima")
     trees = one_each.select("c", F.posexplode("keys").alias("tree", "key"), "tails").select("c", "key", F.element_at("tails", F.col("tree") + 1).alias("tail"))
-    shared = saved(trees.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    shared = saved(trees.join(trees.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("c", "key", "tail", "n"))
     signatures = saved(one_each.select("c", "minima").join(shared.select("c").distinct(), "c", "left_semi"))
 
     def proposed() -> DataFrame:
         small = shared.where(F.col("n") <= CHUNK).withColumn("part", F.col("key"))
         next_one, next_two = F.shiftright("tail", 32), F.shiftright("tail", 16)
-        parts = F.count("*").over(Window.partitionBy("key", next_one))
-        large = shared.where(F.col("n") > CHUNK).withColumn("m", parts)
+        large = shared.where(F.col("n") > CHUNK).withColumn("m", F.count("*").over(Window.partitionBy("key", next_one)))
         large = large.withColumn("part", F.xxhash64("key", F.when(F.col("m") <= CHUNK, next_one).otherwise(next_two), F.col("m") <= CHUNK)).drop("m")
         rows = small.unionByName(large).join(signatures, "c").select(F.col("part").alias("key"), "tail", "c", "minima")
         return rows.repartition(n, "key").sortWithinPartitions("key", "tail", "c").mapInArrow(propose, "a long, b long").distinct()
@@ -378,8 +377,8 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     looked_at = together(in_blocks(several(comp), comp, "n")).select("key", "p", "q", "c", "comp", "block", "minima")
     left = saved(looked_at.mapInArrow(open_rows, "key long, c long").distinct())
     if not left.isEmpty():
-        counted = left.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-        rows = together(in_blocks(counted, comp, "n").join(sets_of(left.select("c")), "c")).select("key", "p", "q", "c", "comp", "block", "minima", "shingles")
+        counted = saved(left.groupBy("key").agg(F.count("*").alias("n")))
+        rows = together(in_blocks(attached(left, counted, F.lit(8), "inner", ("key",)), comp, "n").join(sets_of(left.select("c")), "c")).select("key", "p", "q", "c", "comp", "block", "minima", "shingles")
         more = saved(rows.mapInArrow(settle(percent), "a long, b long").distinct())
         if not more.isEmpty():
             links = links.unionByName(more)
