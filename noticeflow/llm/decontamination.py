@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.textkit import BYTE_CODE, LOWER, Rolling, column, slices, text_buffers
+from noticeflow.llm.frames import small_batches
+from noticeflow.llm.textkit import BYTE_CODE, LOWER, Rolling, column, slices, text_buffers, tidy
 
 ERROR_PERCENT = 5
 GRAM = 16  # bytes of a piece that the index holds; shorter pieces are indexed whole
@@ -163,7 +164,7 @@ def checked(docs: DataFrame, items: DataFrame, error_percent: int = ERROR_PERCEN
     blocks = 1 + int(size) // ITEM_BYTES
     kept = [c for c in docs.columns if c.lower() != "matches"]
     types = dict(docs.dtypes)
-    out = docs.select(*kept).withColumn("matches", F.expr(f"cast(array() as {MATCH})"))
+    out = small_batches(docs).select(*kept).withColumn("matches", F.expr(f"cast(array() as {MATCH})"))
     schema = out.schema
     types = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))
     for b in range(blocks):
@@ -188,7 +189,7 @@ def checked(docs: DataFrame, items: DataFrame, error_percent: int = ERROR_PERCEN
                     part = batch.slice(s.i, s.n)
                     yield part.set_column(part.schema.get_field_index("matches"), "matches", pa.array(found, types))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out
 
 

@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.textkit import Slice, column, ids, merged, mix, runs, slices, text_buffers
+from noticeflow.llm.textkit import Slice, column, ids, merged, mix, runs, slices, text_buffers, tidy
 
 FIELDS = 4
 DEALT = "bucket int, uid long, n int, place binary, " + ", ".join(f"f{i} binary" for i in range(FIELDS))
 ANSWER = "uid long, kind int, place binary, extent binary"
 RUNS = "_id long, _th long, kind int, begins binary, ends binary"
+#: Slices are pooled until a row holds so many places on average, or there are POOL in all: with many buckets, rows of
+#: a few places each would cost more than the places.
+ROW_PLACES, POOL = 32, 1 << 22
 TABLE = -1  # as n or kind: the row holds a slice's documents
 
 
@@ -40,7 +43,8 @@ class Places:
 
 
 def raw(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+    width = x.dtype.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), width)
 
 
 def low_bytes(x: np.ndarray, k: int) -> np.ndarray:
@@ -53,8 +57,19 @@ def as_uint64(x: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _rows(s: Slice, doc_ids: np.ndarray, ths: np.ndarray, first: np.ndarray, p: Places, n_buckets: int) -> pa.RecordBatch:
-    uid = int(mix(np.array([np.bitwise_xor.reduce(mix(doc_ids.view(np.uint64) ^ mix(ths.view(np.uint64) + np.arange(s.n, dtype=np.uint64))))], np.uint64)).view(np.int64)[0])
+def _pooled(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, Places]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Places]:
+    """Several slices as one: places count on from slice to slice."""
+    if len(held) == 1:
+        return held[0]
+    base = np.cumsum([0, *(int(first[-1]) for _, _, first, _ in held)])
+    first = np.concatenate([*(f[:-1] + b for (_, _, f, _), b in zip(held, base[:-1], strict=True)), base[-1:]])
+    at = np.concatenate([p.at + b for (*_, p), b in zip(held, base[:-1], strict=True)])
+    fields = [np.concatenate(f) for f in zip(*(p.fields for *_, p in held), strict=True)]
+    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), first, Places(at, np.concatenate([h[3].route for h in held]), fields)
+
+
+def _rows(doc_ids: np.ndarray, ths: np.ndarray, first: np.ndarray, p: Places, n_buckets: int) -> pa.RecordBatch:
+    uid = int(mix(np.array([np.bitwise_xor.reduce(mix(doc_ids.view(np.uint64) ^ mix(ths.view(np.uint64) + np.arange(len(doc_ids), dtype=np.uint64))))], np.uint64)).view(np.int64)[0])
     bucket = (p.route % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     sizes = np.bincount(bucket, minlength=n_buckets)
@@ -84,16 +99,26 @@ def deal(docs: DataFrame, places: Callable[[Slice, pa.RecordBatch, np.ndarray],
     """Rows by bucket. docs: _id, _th, text and what places() needs; places() gives those of a slice and, for each
     document, the place where it begins (n + 1 values)."""
 
+    enough = min(POOL, ROW_PLACES * n_buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, Places]] = []
+        count = 0
         for batch in batches:
             data, offsets = text_buffers(column(batch, "text"))
             doc_ids, ths = ids(column(batch, "_id"), 0), ids(column(batch, "_th"), 0)
             for s in slices(data, offsets):
                 found, first = places(s, batch, doc_ids[s.i : s.j])
                 if len(found.at):
-                    yield _rows(s, doc_ids[s.i : s.j], ths[s.i : s.j], first, found, n_buckets)
+                    held.append((doc_ids[s.i : s.j], ths[s.i : s.j], first, found))
+                    count += len(found.at)
+                if count >= enough:
+                    yield _rows(*_pooled(held), n_buckets)
+                    held, count = [], 0
+        if held:
+            yield _rows(*_pooled(held), n_buckets)
 
-    return docs.mapInArrow(run, DEALT)
+    return docs.mapInArrow(tidy(run), DEALT)
 
 
 def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.ndarray]], n_buckets: int, extent: int | None = None) -> DataFrame:
@@ -137,7 +162,7 @@ def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.n
             u, k, p, e = zip(*out[i : i + 5000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(k, pa.int32()), pa.array(p, pa.binary()), pa.array(e, pa.binary())], ["uid", "kind", "place", "extent"])
 
-    return dealt.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, ANSWER)
+    return dealt.repartitionById(n_buckets, F.col("bucket")).mapInArrow(tidy(run), ANSWER)
 
 
 def resolve(answers: DataFrame, n_partitions: int) -> DataFrame:
@@ -176,4 +201,4 @@ def resolve(answers: DataFrame, n_partitions: int) -> DataFrame:
             c = list(zip(*out[i : i + 5000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], ["_id", "_th", "kind", "begins", "ends"])
 
-    return answers.repartition(n_partitions, "uid").mapInArrow(run, RUNS).dropDuplicates(["_id", "_th", "kind"])
+    return answers.repartition(n_partitions, "uid").mapInArrow(tidy(run), RUNS).dropDuplicates(["_id", "_th", "kind"])

@@ -17,6 +17,19 @@ BROADCAST_BYTES = 24 << 20
 PARTITION_BYTES = 8 << 20
 
 
+#: Arrow batches of texts: a batch stands in memory several times, in the JVM and in Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches were made smaller where they have Spark's default size."""
+    conf = df.sparkSession.conf
+    for name, (default, ours) in BATCH.items():
+        if conf.get(name, default) == default:
+            conf.set(name, ours)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -26,7 +39,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Results of a row are a function of both and the corpus, so rows that agree on them get one result each.
     """
-    return docs.select(
+    return small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th"),
     )
@@ -79,7 +92,7 @@ def attached(docs: DataFrame, small: DataFrame, size: Column, how: str, on: tupl
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """keyed(docs) with all other columns, whatever their names, as one struct ``rest`` that travels along."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(
+    return small_batches(docs).select(
         F.struct(*others).alias("rest"), F.col(text_col).cast("string").alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th"),
     )

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.llm.frames import NO_ID, attached, keyed, packed, partitions, saved, unpacked
-from noticeflow.llm.textkit import Rolling, Slice, column, ids, mix, slices, text_buffers, valid_windows
+from noticeflow.llm.textkit import Rolling, Slice, column, ids, mix, slices, text_buffers, tidy, valid_windows
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH, LEAST = 20, 6, 3
@@ -105,7 +105,7 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     ["_id", "_th", "n_shingles", "c", "keys", "tails", "minima"],
                 )
 
-    return docs.select("_id", "_th", "text").mapInArrow(run, SIGNED)
+    return docs.select("_id", "_th", "text").mapInArrow(tidy(run), SIGNED)
 
 
 def spanning(m: np.ndarray) -> list[tuple[int, int]]:
@@ -293,7 +293,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     one, two = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("c").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one.hint("shuffle_merge"), "a").join(two.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one.hint("shuffle_merge"), "a").join(two.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -306,7 +306,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 values, first = shingle_sets(s, words)
                 yield pa.RecordBatch.from_arrays([column(batch, "c").slice(s.i, s.n), pa.array([values[first[d] : first[d + 1]].tobytes() for d in range(s.n)], pa.binary())], ["c", "shingles"])
 
-    return attached(docs, wanted, F.lit(16), "inner").select("c", "text").mapInArrow(run, "c long, shingles binary").dropDuplicates(["c"])
+    return attached(docs, wanted, F.lit(16), "inner").select("c", "text").mapInArrow(tidy(run), "c long, shingles binary").dropDuplicates(["c"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
         large = shared.where(F.col("n") > CHUNK).withColumn("m", F.count("*").over(Window.partitionBy("key", next_one)))
         large = large.withColumn("part", F.xxhash64("key", F.when(F.col("m") <= CHUNK, next_one).otherwise(next_two), F.col("m") <= CHUNK)).drop("m")
         rows = small.unionByName(large).join(signatures, "c").select(F.col("part").alias("key"), "tail", "c", "minima")
-        return rows.repartition(n, "key").sortWithinPartitions("key", "tail", "c").mapInArrow(propose, "a long, b long").distinct()
+        return rows.repartition(n, "key").sortWithinPartitions("key", "tail", "c").mapInArrow(tidy(propose), "a long, b long").distinct()
 
     def in_blocks(rows: DataFrame, comp: DataFrame, size: str) -> DataFrame:
         """Rows (key, c) with their component and signature, each for every pair of blocks that it is part of. size: of the region."""
@@ -375,11 +375,11 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     links = saved(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c"))), percent))
     comp = components(links)
     looked_at = together(in_blocks(several(comp), comp, "n")).select("key", "p", "q", "c", "comp", "block", "minima")
-    left = saved(looked_at.mapInArrow(open_rows, "key long, c long").distinct())
+    left = saved(looked_at.mapInArrow(tidy(open_rows), "key long, c long").distinct())
     if not left.isEmpty():
         counted = saved(left.groupBy("key").agg(F.count("*").alias("n")))
         rows = together(in_blocks(attached(left, counted, F.lit(8), "inner", ("key",)), comp, "n").join(sets_of(left.select("c")), "c")).select("key", "p", "q", "c", "comp", "block", "minima", "shingles")
-        more = saved(rows.mapInArrow(settle(percent), "a long, b long").distinct())
+        more = saved(rows.mapInArrow(tidy(settle(percent)), "a long, b long").distinct())
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links)

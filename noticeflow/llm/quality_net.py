@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.textkit import Slice, column, slices, text_buffers
+from noticeflow.llm.frames import small_batches
+from noticeflow.llm.textkit import Slice, column, slices, text_buffers, tidy
 
 FILTERS, WIDTH, BLOCK = 12, 8, 128
 MAX_ROWS, TRAIN_BLOCKS = 3000, 64
@@ -142,7 +143,7 @@ def training_blocks(docs: DataFrame, most: int = TRAIN_BLOCKS) -> DataFrame:
                 b, r, n = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([column(batch, "label").slice(s.i, s.n), pa.array(b, pa.binary()), pa.array(r, pa.binary()), pa.array(n, pa.binary())], ["label", "bytes", "repeats", "sizes"])
 
-    return docs.mapInArrow(run, "label int, bytes binary, repeats binary, sizes binary")
+    return small_batches(docs).mapInArrow(tidy(run), "label int, bytes binary, repeats binary, sizes binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1, steps: int = 240, batch: int = 64) -> Net:
@@ -220,7 +221,7 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
                 z = document_features(tables, s).astype(np.float64) @ shared.value.unit + shared.value.shift
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(s.i, s.n), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def held_out(doc_id: Column) -> Column:

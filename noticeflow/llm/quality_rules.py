@@ -21,7 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.textkit import SPACE, Rolling, Slice, column, mix, slices, text_buffers, valid_windows
+from noticeflow.llm.frames import small_batches
+from noticeflow.llm.textkit import SPACE, Rolling, Slice, column, mix, slices, text_buffers, tidy, valid_windows
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -129,7 +130,7 @@ def measures(docs: DataFrame, bands: Bands = BANDS, text_col: str = "text") -> D
                     ["doc_id", *names, "whole_ratio", "n_chunks", "n_bad_chunks", "bands_failed"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def judged(docs: DataFrame, bands: Bands = BANDS, least_words: int = 50, most_repeat_percent: int = 50) -> DataFrame:

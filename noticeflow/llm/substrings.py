@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.exchange import Places, as_uint64, deal, decide, low_bytes, resolve
 from noticeflow.llm.frames import attached, keyed, partitions, saved
-from noticeflow.llm.textkit import Rolling, Slice, column, covered, slices, text_buffers, valid_windows
+from noticeflow.llm.textkit import Rolling, Slice, column, covered, slices, text_buffers, tidy, valid_windows
 
 WINDOW = 50
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, begins array<int>, ends array<int>"
@@ -146,7 +146,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_text", "begins", "ends"],
                 )
 
-    return attached(docs, removed.select("_id", "_th", "begins", "ends"), F.length("begins") * 2, "left").select("doc_id", "text", "begins", "ends").mapInArrow(cut, RESULT)
+    return attached(docs, removed.select("_id", "_th", "begins", "ends"), F.length("begins") * 2, "left").select("doc_id", "text", "begins", "ends").mapInArrow(tidy(cut), RESULT)
 
 
 def kept_digest(text: str | bytes) -> str:

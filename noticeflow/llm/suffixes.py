@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from noticeflow.llm.exchange import Places, as_uint64, deal, decide, resolve
 from noticeflow.llm.frames import attached, keyed, packed, partitions, saved, unpacked
 from noticeflow.llm.substrings import ranges
-from noticeflow.llm.textkit import BYTE_CODE, Rolling, Slice, column, merged, mix, runs, slices, text_buffers
+from noticeflow.llm.textkit import BYTE_CODE, Rolling, Slice, column, merged, mix, runs, slices, text_buffers, tidy
 
 LENGTH = 400
-PANEL, SHARD = 1 << 20, 1 << 18
+PANEL, SHARD = 1 << 19, 1 << 17
 HOT, CLASS = 512, 25
 CHUNK = 1 << 23
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, begins array<int>, ends array<int>"
@@ -281,13 +281,13 @@ def merged_groups(docs: DataFrame, found: DataFrame, length: int, n_buckets: int
 
     def dealt(kind: int) -> DataFrame:
         chosen = attached(docs, found.where(F.col("kind") == kind).select("_id", "_th", "begins", "ends"), F.length("begins") * 2, "inner")
-        return chosen.select("_id", "_th", "text", "begins", "ends").mapInArrow(cut(kind == MANY), "bucket int, h long, bytes binary, ids binary, ths binary, at binary")
+        return chosen.select("_id", "_th", "text", "begins", "ends").mapInArrow(tidy(cut(kind == MANY)), "bucket int, h long, bytes binary, ids binary, ths binary, at binary")
 
     texts = dealt(SEVERAL)
     if not found.where(F.col("kind") == MANY).isEmpty():
         texts = texts.unionByName(dealt(MANY))
     rows = texts.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("h").select("h", "bytes", "ids", "ths", "at")
-    return rows.mapInArrow(run, "_id long, _th long, begins binary, ends binary")
+    return rows.mapInArrow(tidy(run), "_id long, _th long, begins binary, ends binary")
 
 
 def spans(found: DataFrame, more: DataFrame, length: int) -> DataFrame:
@@ -305,7 +305,7 @@ def spans(found: DataFrame, more: DataFrame, length: int) -> DataFrame:
 
     rows = found.where(F.col("kind") == WHOLE).select("_id", "_th", "begins", "ends").unionByName(more)
     by_doc = rows.groupBy("_id", "_th").agg(F.collect_list("begins").alias("b"), F.collect_list("ends").alias("e"))
-    return by_doc.mapInArrow(join, "_id long, _th long, begins binary, ends binary")
+    return by_doc.mapInArrow(tidy(join), "_id long, _th long, begins binary, ends binary")
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -339,7 +339,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     gone = repeated_spans(rows, length)
     joined = attached(rows, gone, F.length("begins") * 2, "left").select("rest", "text", "begins", "ends")
-    return unpacked(joined.mapInArrow(cut, rows.select("rest", "text").schema), docs.columns)
+    return unpacked(joined.mapInArrow(tidy(cut), rows.select("rest", "text").schema), docs.columns)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -360,4 +360,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "begins", "ends"],
                 )
 
-    return attached(docs, gone, F.length("begins") * 2, "left").select("doc_id", "text", "begins", "ends").mapInArrow(cut, RESULT)
+    return attached(docs, gone, F.length("begins") * 2, "left").select("doc_id", "text", "begins", "ends").mapInArrow(tidy(cut), RESULT)

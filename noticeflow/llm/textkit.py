@@ -8,11 +8,15 @@ these are single bytes in UTF-8, so words can be found without decoding.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -67,6 +71,22 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.inverse[: n - k + 1])
 
 
+def tidy(run):
+    """run, a function from batches to batches, giving its memory back to the system after each partition: workers are
+    kept between tasks, and with them what their allocators hold."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        for base in [b for b, x in _powers.items() if len(x) > SLICE_BYTES + 1]:
+            del _powers[base]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.frames import packed, unpacked
-from noticeflow.llm.textkit import BYTE_CODE, LOWER, Rolling, Slice, column, mix, slices, text_buffers
+from noticeflow.llm.frames import packed, small_batches, unpacked
+from noticeflow.llm.textkit import BYTE_CODE, LOWER, Rolling, Slice, column, mix, slices, text_buffers, tidy
 
 GRADES = 4
 MAX_ROWS = 12000
@@ -79,7 +79,7 @@ def counted(docs: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
                 parts = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([parts(f[new]), parts(times)], ["features", "times"])
 
-    return docs.select("text").mapInArrow(run, "features binary, times binary")
+    return small_batches(docs).select("text").mapInArrow(tidy(run), "features binary, times binary")
 
 
 @dataclass
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
                     ["doc_id", "expected_severity", "p_toxic", "grade", "toxic"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORE)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCORE)
 
 
 def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
@@ -224,4 +224,4 @@ def accepted(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame
                 yield batch.slice(s.i, s.n).filter(pa.array(severities(*shared.value, s)[:, 0] < reject))
 
     rows = packed(docs)
-    return unpacked(rows.mapInArrow(run, rows.schema), docs.columns)
+    return unpacked(rows.mapInArrow(tidy(run), rows.schema), docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.textkit import column
+from noticeflow.llm.textkit import column, tidy
 
 ALLOW, BLOCK = "allow", "block"
 MAX_ROWS = 20000
@@ -219,7 +219,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], model: Trees, id_col:
             for i in range(0, len(urls), 4096):
                 yield pa.RecordBatch.from_arrays([column(batch, "id").slice(i, 4096), urls.slice(i, 4096), pa.array(shared.value.score(urls.slice(i, 4096).to_pylist()))], ["id", "url", "p_block"])
 
-    scored = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, "id long, url string, p_block double")
+    scored = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).mapInArrow(tidy(run), "id long, url string, p_block double")
     placed = scored.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit("")))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
     own = F.when(F.col("p_block") >= 0.5, F.lit(BLOCK)).otherwise(F.lit(ALLOW))

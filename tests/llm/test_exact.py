@@ -139,3 +139,26 @@ def test_words_and_hashes(texts, limit):
             for i, w in enumerate(own):
                 assert hashes.setdefault(w, h[first[d] + i]) == h[first[d] + i]
     assert got == [[w.encode() for w in c.words(t)] for t in texts] and len(set(hashes.values())) == len(hashes)
+
+
+def test_pooled_slices(spark, corpus, monkeypatch):
+    """Answers come back to the right documents when a row's places come from several slices."""
+    from noticeflow.llm import exchange
+
+    rows, df = corpus
+    monkeypatch.setattr(exchange, "slices", lambda data, offsets: textkit.slices(data, offsets, 700))
+    monkeypatch.setattr(exchange, "ROW_PLACES", 500)
+    got = substrings.deduplicated(df, 7).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == Counter((row[0], *x) for row, x in zip(rows, c.without_repeated_words(rows, 7), strict=True))
+    got = suffixes.deduplicated(df, 40).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter((row[0], *x) for row, x in zip(rows, c.without_repeated_bytes(rows, 40), strict=True))
+
+
+def test_hot_groups(spark, corpus, monkeypatch):
+    """Groups split by offset class give the same spans."""
+    rows, df = corpus
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    monkeypatch.setattr(suffixes, "CLASS", 7)
+    for length in (40, 400):
+        got = suffixes.deduplicated(df, length).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter((row[0], *x) for row, x in zip(rows, c.without_repeated_bytes(rows, length), strict=True))
