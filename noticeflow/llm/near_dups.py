@@ -333,7 +333,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable, its own included), n_links (confirmed links of
-    its class, of a spanning set), kept (doc_id = component_id; null ids count as equal)."""
+    its class, of a spanning set), kept (doc_id = component_id; null ids count as equal), comp (what tells components
+    apart, as ids may be null or occur in several; null for texts without words)."""
     docs = keyed(docs)
     n = partitions(docs)
     sig = saved(signed(docs, words))
@@ -385,18 +386,18 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
             comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
     ends = classes.select("c", F.col("rep._id").alias("least")).join(comp, "c", "left").join(degree, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    named = ends.groupBy("comp").agg(F.min("least").alias("component")).join(ends, "comp").select("c", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = ends.groupBy("comp").agg(F.min("least").alias("component")).join(ends, "comp").select("c", "comp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = sig.select("_id", "_th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).alias("c")).join(named, "c", "left")
     component = F.coalesce("component", "_id")
     null = lambda c: F.when(c != NO_ID, c)
-    return rows.select(null(F.col("_id")).alias("doc_id"), "n_shingles", null(component).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("_id") == component).alias("kept"), "_th")
+    return rows.select(null(F.col("_id")).alias("doc_id"), "n_shingles", null(component).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("_id") == component).alias("kept"), "comp", "_th")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, of which one stays of each component; texts without words all stay."""
     found = saved(clustered(docs, words, percent))
-    stay = found.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_th", "component_id", "n_shingles")
-    winners = stay.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("_id", "_th")).alias("w")).select("w.*")
+    stay = found.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_th", "comp", "n_shingles")
+    winners = stay.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("_id", "_th")).alias("w")).select("w.*")
     winners = saved(winners.unionByName(stay.where("n_shingles = 0").select("_id", "_th").distinct()))
     rows = packed(docs)
     out = attached(rows, winners, F.lit(0), "left_semi")

@@ -30,6 +30,14 @@ def test_one_of_each(spark, corpus):
     assert len(left) == len({k for k, n in zip(comp, sizes, strict=True) if n}) + sum(n == 0 for n in sizes)
 
 
+def test_one_of_each_component_whatever_its_ids(spark):
+    """Unrelated texts with null ids or with one id stay; of near copies among them one does."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " end"), (None, text("c")), (None, text("c")), (5, text("d")), (5, text("e")), (5, text("e") + " end"), (9, text("e")), (5, text("f")), (3, text("f"))]
+    left = near_dups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text[0]) for r in left) == Counter([(None, "a"), (None, "b"), (None, "c"), (5, "d"), (5, "e"), (3, "f")])
+
+
 def chain(rows=1500):
     """A long chain: each text shares enough with the next, the ends share nothing."""
     step = [f"t{i}" for i in range(rows * 3 + 60)]
