@@ -123,8 +123,9 @@ def deal(docs: DataFrame, places: Callable[[Slice, pa.RecordBatch, np.ndarray],
 
 def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.ndarray]], n_buckets: int, extent: int | None = None) -> DataFrame:
     """Answers by slice. choose() gets the fields of all places of a partition, with the bucket last, and gives
-    for each kind of answer which places get it. extent: the field (one byte) that tells how many places after a
-    place belong to it."""
+    for each kind of answer which places get it. Places of a bucket come by slice (uid) and place, in whatever order
+    their rows arrive, so a choice of the first one is the same in each run. extent: the field (one byte) that tells
+    how many places after a place belong to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, counts, buckets = [], [], []
@@ -147,7 +148,9 @@ def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.n
         out: list[tuple[int, int, bytes, bytes | None]] = [(uid, TABLE, t, None) for uid, t in tables]
         if uids:
             total = sum(counts)
-            arrays = [np.frombuffer(b"".join(f), np.uint8).reshape(total, -1) for f in fields if f]
+            fixed = sorted(range(len(uids)), key=lambda r: (buckets[r], uids[r]))
+            uids, counts, buckets, place = ([x[r] for r in fixed] for x in (uids, counts, buckets, place))
+            arrays = [np.frombuffer(b"".join(f[r] for r in fixed), np.uint8).reshape(total, -1) for f in fields if f]
             fields.clear()
             arrays.append(np.repeat(np.array(buckets, np.uint64), counts))
             at = np.concatenate(place)
@@ -166,7 +169,8 @@ def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.n
 
 
 def resolve(answers: DataFrame, n_partitions: int) -> DataFrame:
-    """Runs of consecutive places by document and kind; a row for each that has any."""
+    """Runs of consecutive places by document and kind; a row for each that has any. Rows that agree in id and text may
+    have got different answers in different slices: theirs are united."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, bytes] = {}
@@ -201,4 +205,23 @@ def resolve(answers: DataFrame, n_partitions: int) -> DataFrame:
             c = list(zip(*out[i : i + 5000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], ["_id", "_th", "kind", "begins", "ends"])
 
-    return answers.repartition(n_partitions, "uid").mapInArrow(tidy(run), RUNS).dropDuplicates(["_id", "_th", "kind"])
+    rows = answers.repartition(n_partitions, "uid").mapInArrow(tidy(run), RUNS)
+    return united(rows.groupBy("_id", "_th", "kind").agg(F.collect_set(F.struct("begins", "ends")).alias("runs")))
+
+
+def united(rows: DataFrame) -> DataFrame:
+    """RUNS from rows with a list of runs each (_id, _th, kind, runs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, e = [], []
+            for found in column(batch, "runs").to_pylist():
+                begin, end = found[0]["begins"], found[0]["ends"]
+                if len(found) > 1:
+                    lo, hi = (np.frombuffer(b"".join(f[k] for f in found), np.uint32) for k in ("begins", "ends"))
+                    begin, end = (x.tobytes() for x in merged(lo, hi))
+                b.append(begin)
+                e.append(end)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("_id", "_th", "kind")), pa.array(b, pa.binary()), pa.array(e, pa.binary())], ["_id", "_th", "kind", "begins", "ends"])
+
+    return rows.mapInArrow(tidy(run), RUNS)

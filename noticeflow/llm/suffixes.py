@@ -7,7 +7,7 @@ A string of ``length`` bytes that starts at two places of the corpus is found at
    anchor; a run and its bytes make a segment (up to 1.5 * length bytes). Segments are dealt by anchor hash (see
    exchange.py). Equal segments are one text with a count; where a group has but one text, merging is
    trivial: its strings are repeated if the count is over one.
-2. Groups with several texts go on with one occurrence of each text. Within a panel of groups, texts are
+2. Groups with several texts go on with one occurrence of each text, the first by slice and place. Within a panel of groups, texts are
    packed into shards; each shard gets its suffix order to depth ``length`` and its transform over letters of
    ``step`` bytes: for each suffix, the letter before it. The transforms are merged by interleave refinement: an
    interleave that is right to j letters, sorted stably by the letter before each suffix and moved to the

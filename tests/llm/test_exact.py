@@ -170,3 +170,31 @@ def test_hot_groups(spark, corpus, monkeypatch):
     for length in (40, 400):
         got = suffixes.deduplicated(df, length).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter((row[0], *x) for row, x in zip(rows, c.without_repeated_bytes(rows, length), strict=True))
+
+
+def test_answers_of_rows_alike_in_several_slices(spark):
+    """A row that two slices hold, with different segments marked in each: the runs of both count."""
+    from noticeflow.llm import exchange
+
+    table = np.array([1, 7, 70, 0, 100]).tobytes()  # n, id, hash of the text, begin and end
+    byte = lambda x: np.array([x], np.uint8).tobytes()
+    place = lambda x: np.array([x], np.uint32).tobytes()
+    rows = [(1, exchange.TABLE, table, None), (2, exchange.TABLE, table, None), (1, 1, place(0), byte(9)), (2, 1, place(50), byte(9)), (1, 0, place(20), byte(0)), (2, 0, place(20), byte(0))]
+    got = exchange.resolve(spark.createDataFrame(rows, exchange.ANSWER), 2).collect()
+    runs = {r.kind: (r["_id"], r["_th"], *(np.frombuffer(x, np.uint32).tolist() for x in (r.begins, r.ends))) for r in got}
+    assert len(got) == 2 and runs == {1: (7, 70, [0, 50], [10, 60]), 0: (7, 70, [20], [21])}
+
+
+def test_first_place_whatever_arrives_first(spark):
+    """Of places with one hash the one of the least slice is chosen, in whatever order rows arrive."""
+    from noticeflow.llm import exchange
+
+    def choose(fields):
+        first = np.zeros(len(fields[0]), bool)
+        first[np.unique(fields[0], return_index=True)[1]] = True
+        return {1: first}
+
+    row = lambda uid: (0, uid, 1, np.array([uid], np.uint16).tobytes(), b"h", None, None, None)
+    for order in ([1, 2, 3], [3, 1, 2], [2, 3, 1]):
+        got = exchange.decide(spark.createDataFrame([row(u) for u in order], exchange.DEALT).coalesce(1), choose, 2).collect()
+        assert [(r.uid, bytes(r.place)) for r in got] == [(1, np.array([1], np.uint32).tobytes())]
