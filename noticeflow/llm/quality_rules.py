@@ -2,8 +2,11 @@
 
 Compression bands: zstandard ratios (compressed bytes by bytes) of the whole text and of fixed chunks. A text
 is rejected if its whole ratio lies outside the band for its length, or if at least half of its chunks lie
-outside the chunk band: too low is repetitive, too high is noise such as encoded binary. Bands are wide for
-short texts, where the format's own bytes weigh.
+outside the chunk band: too low is repetitive, too high is noise such as encoded binary. The limits come from the
+ratios of texts labelled good (sf0.1): the upper ones are a tenth above the greatest of a length, the lower ones
+a quarter (from 2 KB and for chunks a third) below the least. For 64 KB and more, where no text is labelled, the
+least is that of good texts of one language joined. Texts under 256 bytes, where the format's own bytes weigh, are
+not judged.
 
 A text is judged by itself, so there is no shuffle and no skew; memory is that of one slice of texts.
 
@@ -32,10 +35,10 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 class Bands:
     """(bytes from, lowest ratio, highest ratio), the last that applies counts."""
 
-    whole: tuple[tuple[int, float, float], ...] = field(default=((0, 0.0, 9.0), (256, 0.35, 0.98), (1024, 0.30, 0.74), (4096, 0.25, 0.72), (16384, 0.20, 0.72)))
+    whole: tuple[tuple[int, float, float], ...] = field(default=((0, 0.0, 9.0), (256, 0.40, 0.81), (512, 0.38, 0.75), (1024, 0.34, 0.63), (2048, 0.30, 0.57), (4096, 0.28, 0.51), (8192, 0.27, 0.49), (16384, 0.26, 0.48), (65536, 0.23, 0.48)))
     chunk_bytes: int = 2048
     least_chunk: int = 1024  # a shorter tail is not judged as a chunk
-    chunk: tuple[float, float] = (0.25, 0.74)
+    chunk: tuple[float, float] = (0.31, 0.63)
     bad_share: float = 0.5
     level: int = 3
 

@@ -289,6 +289,23 @@ def test_bands(spark):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: True}
 
 
+def test_bands_alone(spark):
+    """Short encoded noise, and texts of 1 to 30 KB made of one half twice, whatever the base rule says."""
+    import base64
+
+    r = random.Random(5)
+    syllables = [a + b for a in "bcdfghlmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er", "is")]
+    vocabulary = ["".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(3000)], k=n))[:n]
+    spaced = lambda s: " ".join(s[i : i + 8] for i in range(0, len(s), 8))
+    sizes = (600, 1000, 1500, 4000, 9000, 15000)
+    good = [(i, prose(n)) for i, n in enumerate(sizes + tuple(2 * n for n in sizes))]
+    bad = [(100 + i, t + " " + t) for i, t in good[1 : len(sizes)]]
+    bad += [(200 + n, spaced(code(r.randbytes(1000)).decode())[:n]) for n in (300, 700, 1000) for code in (base64.b64encode, base64.b85encode)]
+    got = quality_rules.measures(spark.createDataFrame(good + bad, "doc_id long, text string")).collect()
+    assert [(x.doc_id, x.whole_ratio) for x in got if x.bands_failed != (x.doc_id >= 100)] == []
+
+
 # --- op10 -----------------------------------------------------------------------------------------------
 
 
