@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from noticeflow.functions import scoring, text
 from noticeflow.operators.index import get
 from noticeflow.plans.predicates import from_intent
 from noticeflow.providers.base import Provider
+from noticeflow.storage import new_path
 
+#: Queries that are broadcast and compared with all rows at a time.
 MAX_QUERIES = 10000
 
 
@@ -27,13 +30,32 @@ def nearest(table: DataFrame, query: list[float], k: int, where: Column | None =
 
 
 def nearest_many(table: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2", key: str = "id") -> DataFrame:
-    """The k nearest rows for each of a bounded set of queries (query_id, query_embedding).
+    """The k nearest rows for each query (query_id, query_embedding).
 
-    Queries are compared with all rows, so their number is checked; each task keeps its k best for each
-    query before the shuffle.
+    Queries are compared with all rows, at most MAX_QUERIES at a time: more are dealt by a hash of query_id into
+    blocks, each of which is run and written before the next, so one block at a time is broadcast. Rows of one
+    query_id stay together. Each task keeps its k best for each query before the shuffle.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; split them into blocks")
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return _nearest_block(table, queries, k, metric, key)
+    queries = _written(queries.select("query_id", "query_embedding"))
+    by_id = queries.groupBy("query_id").agg(F.count("*").alias("n"))
+    n, most = by_id.agg(F.sum("n"), F.greatest(F.max("n"), F.lit(MAX_QUERIES))).first()
+    blocks = -(-n // MAX_QUERIES)
+    block = lambda: F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    while by_id.groupBy(block().alias("block")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > most:
+        blocks += max(1, blocks // 8)
+    out = [_written(_nearest_block(table, queries.where(block() == b), k, metric, key)) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = new_path(df.sparkSession, "nearest")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _nearest_block(table: DataFrame, queries: DataFrame, k: int, metric: str, key: str) -> DataFrame:
     pairs = table.join(F.broadcast(queries), how="cross").withColumn("distance", scoring.METRICS[metric](F.col("embedding"), F.col("query_embedding")))
     slot = F.pmod(F.xxhash64(key), F.lit(64))
     part = F.row_number().over(Window.partitionBy("query_id", slot).orderBy("distance", key))

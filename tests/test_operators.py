@@ -195,6 +195,15 @@ def test_guardrail_and_topk_prefix(spark):
     assert [r.id for r in many.where("query_id = '0'").orderBy("rank").collect()] == top
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    """All queries are answered, in blocks, as they are in one."""
+    rows = spark.createDataFrame([(i, [float(i * i % 37)]) for i in range(60)], "id long, embedding array<float>").repartition(3)
+    queries = rows.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    one = sorted(map(tuple, search.nearest_many(rows, queries, 4).collect()))
+    monkeypatch.setattr(search, "MAX_QUERIES", 12)
+    assert sorted(map(tuple, search.nearest_many(rows, queries, 4).collect())) == one and len(one) == 120
+
+
 def test_audit_reports(spark, tmp_path):
     rows = [("1", "Consultancy", "a"), ("2", "Unknown", "Road work"), ("3", None, "zzz"), ("4", "Works", "b")]
     full = spark.createDataFrame([(i, *[None] * 3, k, *[None] * 4, t, *[None] * 5, False, [0.0]) for i, k, t in rows], INDEX)
