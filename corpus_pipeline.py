@@ -37,8 +37,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the curriculum takes of each document and where, sorted by the first position."""
-    out = mixing.mix(docs).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return mixing.in_order(mixing.mix(docs))
 
 
 STAGES = [

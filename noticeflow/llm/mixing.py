@@ -117,6 +117,12 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), schedules=SCHEDULES, max_repea
     )
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """mixed with ``position``, the first of each document, range-sorted by it (ties by id); documents that take nothing come first."""
+    out = mixed.withColumn("position", F.try_element_at("positions", F.lit(1)))
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
 def sequence(mixed: DataFrame) -> DataFrame:
     """A row for each copy, range-sorted by training position (ties by id): what a trainer reads in order."""
     copies = mixed.select("doc_id", "source", "size", F.posexplode("positions").alias("copy", "position"))

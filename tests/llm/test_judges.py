@@ -199,6 +199,16 @@ def test_positions_follow_the_schedule(spark):
     assert abs(flat[500] - 0.25) < 0.01
 
 
+def test_op7_in_training_order(spark, tmp_path):
+    """The query's rows come sorted by first position, those that take nothing first."""
+    from noticeflow.llm.queries import op7_mixing
+
+    rows = [(i, "w " * (i % 9), f"s{i % 4}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.positions[0] if r.positions else -1, r.doc_id) for r in op7_mixing(spark, str(tmp_path)).collect()]
+    assert got == sorted(got) and len(got) == 400
+
+
 # --- op8 ------------------------------------------------------------------------------------------------
 
 
