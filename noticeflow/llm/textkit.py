@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 
 import numpy as np
@@ -71,6 +72,27 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.inverse[: n - k + 1])
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(f):
+    """f, on the driver, with a trim() when it has ended."""
+
+    @functools.wraps(f)
+    def wrapped(*args, **kwargs):
+        try:
+            return f(*args, **kwargs)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def tidy(run):
     """run, a function from batches to batches, giving its memory back to the system after each partition: workers are
     kept between tasks, and with them what their allocators hold."""
@@ -79,10 +101,7 @@ def tidy(run):
         yield from run(batches)
         for base in [b for b, x in _powers.items() if len(x) > SLICE_BYTES + 1]:
             del _powers[base]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return wrapped
 
