@@ -2,26 +2,27 @@
 
 1. Every text gives its set of distinct shingles of ``words`` words (A-Z lower-cased), hashed to 64 bits, and a
    signature of TREES * DEPTH minima. Texts with equal sets form a class; one of each goes on.
-2. Each tree orders the classes by its DEPTH minima. Those that share the first LEAST of them form a region. A
-   region of one is done. In a larger one neighbours by longest common prefix are candidates. Depth adapts to the
-   region: one of more than CHUNK classes is split by its next minima, to the depth where its parts are small
-   enough, and these are dealt to different tasks; a part that is dense to the full depth is read in sorted order,
-   CHUNK classes at a time, one class for each cluster of a chunk going on to the next. Of a chunk the maximum
-   spanning forest by estimated similarity is proposed: a group of m near copies gives m - 1 pairs, not all pairs.
-3. Pairs are confirmed on full sets; confirmed links make components (alternating stars).
-4. Closing: in regions that still hold several components, classes with a partner in another component that the
-   signatures don't exclude (estimate at least FLOOR) are brought together with their full sets, and all such
-   pairs are confirmed or refuted in place, each in the first tree where it shares a region. So each pair that
-   shares a region, at whatever depth it was split, is linked, refuted or inside one component. Rows stay linear in
-   the classes; a region of more than BLOCK classes is split into blocks that are dealt and compared two by two.
+2. Each tree sorts the classes by its DEPTH minima; the orders are dealt out by range, so that a dense place of one
+   is many tasks' work. Those that share the first LEAST minima form a region. Neighbours by longest common
+   prefix are candidates: for each class up to WIDTH on each side, from the deepest common prefix upward, LEAST deep
+   at the least. So depth adapts to the region: in one of few classes all meet, however short their common prefix;
+   in a dense one only those with the longest prefixes do. Of each region's candidates a maximum spanning
+   forest by estimated similarity is proposed, so candidates are linear in the classes.
+3. Proposed pairs are confirmed on full sets; confirmed links make components (alternating stars).
+4. Closing: in regions that still hold several components, classes outside the region's largest component (open
+   ones) are compared with all others: pairs that the signatures don't exclude (estimate at least FLOOR) are confirmed
+   or refuted on full sets, each in the first tree where it shares a region. So each pair that shares a region is
+   linked, refuted or inside one component. A region is dealt out in blocks of about BLOCK classes; its open
+   classes visit all of its blocks, in parties of about BLOCK, so no task gets more than two blocks at a time, rows
+   are 2 * n * open / BLOCK at most, and no pairs are made.
 
 Two sets of similarity 0.75 share a region unless all trees miss: (1 - 0.75**3)**20 = 1.7e-5; FLOOR is 4.8
 standard deviations below 0.75.
 
 Nulls: a null text has no shingles and is linked with nothing, as are empty texts. A null id counts as above
 all others: such a row is in its component, but only names it where all ids are null (component null). Repeated
-rows and rows with the same id are documents of their own. An empty table gives no rows; extra columns are
-ignored.
+rows and rows with the same id are documents of their own. Ties: classes with equal minima are ordered by their
+hash. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.frames import NO_ID, attached, keyed, packed, partitions, saved, unpacked
@@ -38,14 +39,14 @@ from noticeflow.llm.textkit import Rolling, Slice, column, ids, mix, slices, tex
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH, LEAST = 20, 6, 3
-CHUNK = 512
-BLOCK = 1024
+WIDTH = 4
+BLOCK = 256
 PROPOSE, FLOOR = 0.68, 0.56
 
 _rng = np.random.Generator(np.random.PCG64(77))
 MULTIPLIERS = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = "_id long, _th long, n_shingles long, c long, keys array<long>, tails array<long>, minima binary"
+SIGNED = "_id long, _th long, n_shingles long, c long, minima binary"
 
 
 def shingle_sets(s: Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ def region_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Step 1: set size, class c, and for each tree the region (key) and the rest of its order (tail)."""
+    """Step 1: set size, class c and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,78 +96,75 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     c[full] = mix(one ^ mix(two + n[full].astype(np.uint64))).view(np.int64)
                     for k, a in enumerate(MULTIPLIERS):
                         minima[full, k] = (mix(np.minimum.reduceat(values * a, starts)) & np.uint64(0xFFFF)).astype(np.uint16)
-                key = region_keys(minima)
-                tail = np.zeros((s.n, TREES), np.uint64)
-                for k in range(LEAST, DEPTH):
-                    tail = (tail << np.uint64(16)) | minima.reshape(s.n, TREES, DEPTH)[:, :, k].astype(np.uint64)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(s.n + 1, dtype=np.int32) * TREES), pa.array(x.ravel()))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(s.i, s.n), ths.slice(s.i, s.n), pa.array(n.astype(np.int64)), pa.array(c), lists(key), lists(tail.view(np.int64)), pa.array([r.tobytes() for r in minima], pa.binary())],
-                    ["_id", "_th", "n_shingles", "c", "keys", "tails", "minima"],
-                )
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(s.i, s.n), ths.slice(s.i, s.n), pa.array(n.astype(np.int64)), pa.array(c), pa.array([r.tobytes() for r in minima], pa.binary())], ["_id", "_th", "n_shingles", "c", "minima"])
 
     return docs.select("_id", "_th", "text").mapInArrow(tidy(run), SIGNED)
 
 
-def spanning(m: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest by estimated similarity, of at least PROPOSE, from minima [n, TREES * DEPTH]."""
-    n = len(m)
-    if n == 2:
-        return [(0, 1)] if (m[0] == m[1]).mean() >= PROPOSE else []
-    best, link, out = np.full(n, -1.0), np.zeros(n, int), []
-    left = np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        left[at] = False
-        rest = np.flatnonzero(left)
-        similar = (m[rest] == m[at]).mean(1)
-        closer = similar > best[rest]
-        best[rest[closer]], link[rest[closer]] = similar[closer], at
-        at = rest[np.argmax(best[rest])]
-        if best[at] >= PROPOSE:
-            out.append((link[at], at))
-    return out
-
-
-def roots(n: int, edges: list[tuple[int, int]]) -> list[int]:
-    """One member of each tree of a forest."""
-    up = list(range(n))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+def signatures_of(batch: pa.RecordBatch) -> np.ndarray:
+    minima, offs = text_buffers(column(batch, "minima"))
+    return minima[offs[0] : offs[-1]].view(np.uint16).reshape(batch.num_rows, TREES * DEPTH)
 
-    for a, b in edges:
-        up[top(a)] = top(b)
-    return sorted({top(x) for x in range(n)})
 
+def orders(classes: DataFrame) -> DataFrame:
+    """Step 2: a row for each class and tree: the region (key) and the minima below it (tail, 16 bits each)."""
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(c, minima, last) of consecutive rows of one region, at most about CHUNK each; last: the region ends."""
-    held: list[tuple] = []
-    key = None
-    for batch in batches:
-        keys = column(batch, "key").to_numpy()
-        c = column(batch, "c").to_numpy()
-        minima, offs = text_buffers(column(batch, "minima"))
-        m = minima[offs[0] : offs[-1]].view(np.uint16).reshape(len(c), -1)
-        cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if i == j:
-                continue
-            if held and keys[i] != key:
-                yield *(np.concatenate(x) for x in zip(*held, strict=True)), True
-                held = []
-            key = keys[i]
-            for a in range(i, j, CHUNK):
-                held.append((c[a : min(a + CHUNK, j)], m[a : min(a + CHUNK, j)].copy()))
-                if sum(len(h[0]) for h in held) >= CHUNK:
-                    yield *(np.concatenate(x) for x in zip(*held, strict=True)), False
-                    held = []
-    if held:
-        yield *(np.concatenate(x) for x in zip(*held, strict=True)), True
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = signatures_of(batch)
+            tail = np.zeros((len(m), TREES), np.uint64)
+            for k in range(LEAST, DEPTH):
+                tail = (tail << np.uint64(16)) | m.reshape(-1, TREES, DEPTH)[:, :, k].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(column(batch, "c").to_numpy(), TREES)), pa.array(region_keys(m).ravel()), pa.array(tail.ravel().view(np.int64))], ["c", "key", "tail"])
+
+    return classes.select("c", "minima").mapInArrow(tidy(run), "c long, key long, tail long")
+
+
+def common_prefix(key: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """How many minima each row of a tree's order shares with the one before; 0 where the region is another."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    same = key[1:] == key[:-1]
+    differ = tail[1:] ^ tail[:-1]
+    below = sum(((differ >> np.int64(16 * k)) == 0).astype(np.int64) for k in range(DEPTH - LEAST))
+    return np.r_[0, np.where(same, LEAST + below, 0)]
+
+
+def candidates(key: np.ndarray, tail: np.ndarray, m: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i before j) of a tree's order that are among each other's WIDTH nearest by common prefix and are
+    estimated to be similar enough, and that estimate."""
+    lcp = common_prefix(key, tail)
+    shared = lcp.copy()  # with the row ``back`` places before
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for back in range(1, WIDTH + 1):
+        j = np.arange(back, len(key))
+        if back > 1:
+            shared = np.r_[0, np.minimum(shared[:-1], lcp[1:])] if len(lcp) else lcp  # the least step on the way back
+        j = j[shared[j] >= LEAST]
+        alike = (m[j] == m[j - back]).mean(1)
+        ok = alike >= least
+        out.append((j[ok] - back, j[ok], alike[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Forest:
+    """Union-find over whatever can be hashed."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def top(self, x):
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a, b) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[a] = b
+        return a != b
 
 
 def _emit(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
@@ -176,22 +174,29 @@ def _emit(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
 
 
 def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: spanning pairs of each region."""
-    out: list[tuple[int, int]] = []
-    carry: tuple | None = None
-    for c, m, last in _regions(batches):
-        if carry is not None:
-            c, m = np.r_[carry[0], c], np.concatenate([carry[1], m])
-        c, at = np.unique(c, return_index=True)
-        m = m[at]
-        edges = spanning(m) if len(c) > 1 else []
-        out += [(int(c[x]), int(c[y])) for x, y in edges]
-        kept = [] if last else roots(len(c), edges)
-        carry = (c[kept], m[kept]) if kept else None
-        if len(out) > 20000:
-            yield from _emit(out)
-            out = []
-    yield from _emit(out)
+    """Step 2: spanning pairs of the candidates of each region, from rows in a tree's order."""
+    held: tuple | None = None  # the last WIDTH rows
+    forest, region = Forest(), None
+    for batch in batches:
+        key, tail, c, m = (*(column(batch, x).to_numpy() for x in ("key", "tail", "c")), signatures_of(batch))
+        old = 0
+        if held is not None:
+            old = len(held[0])
+            key, tail, c, m = (np.concatenate(x) for x in zip(held, (key, tail, c, m), strict=True))
+        i, j, alike = candidates(key, tail, m, PROPOSE)
+        new = j >= old
+        i, j, alike = i[new], j[new], alike[new]
+        order = np.lexsort((-alike, key[j]))
+        out = []
+        for k, a, b in zip(key[j][order].tolist(), c[i][order].tolist(), c[j][order].tolist(), strict=True):
+            if k != region:
+                forest, region = Forest(), k
+            if forest.join(a, b):
+                out.append((a, b))
+        yield from _emit(out)
+        held = tuple(x[-WIDTH:].copy() for x in (key, tail, c, m))
+        if region is not None and region != int(key[-1]):
+            forest, region = Forest(), None
 
 
 def first_here(m: np.ndarray, i: int, others: np.ndarray, key: int) -> np.ndarray:
@@ -201,64 +206,62 @@ def first_here(m: np.ndarray, i: int, others: np.ndarray, key: int) -> np.ndarra
     return region_keys(m[i : i + 1])[0][first] == key
 
 
-def open_pairs(m: np.ndarray, comp: np.ndarray, key: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each i with the j whose pair is to be looked at here: other component, not excluded, not seen in an earlier tree."""
-    _, which, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-    if len(sizes) < 2:
-        return
-    largest = np.argmax(sizes)
-    for i in np.flatnonzero(which != largest):
-        other = np.flatnonzero((which == largest) | (which > which[i]))
-        near = other[(m[other] == m[i]).mean(1) >= FLOOR]
+def open_pairs(m: np.ndarray, c: np.ndarray, comp: np.ndarray, visitor: np.ndarray, is_open: np.ndarray, key: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a block's rows each visitor i with the residents j whose pair is to be looked at here: other component, not
+    excluded, not seen in an earlier tree. A pair of open classes is looked at where the one with the larger c lives."""
+    home = np.flatnonzero(~visitor)
+    for i in np.flatnonzero(visitor):
+        near = home[(comp[home] != comp[i]) & (~is_open[home] | (c[home] > c[i]))]
+        near = near[(m[near] == m[i]).mean(1) >= FLOOR]
         if len(near):
             near = near[first_here(m, i, near, key)]
         if len(near):
             yield i, near
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
-    """Consecutive rows of one (key, p, q): a region, or two of its blocks, of at most about BLOCK rows each."""
+def _blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """key, c, comp, visitor, open, minima and a further column of consecutive rows of one block of a region."""
     held: list[tuple] = []
+
+    def block():
+        key, _, _, c, comp, visitor, is_open, minima, *more = zip(*held, strict=True)
+        m = np.frombuffer(b"".join(minima), np.uint16).reshape(len(c), -1)
+        return key[0], np.array(c), np.array(comp), np.array(visitor), np.array(is_open), m, more[0] if more else []
+
     for batch in batches:
-        for row in zip(*(column(batch, x).to_pylist() for x in ("key", "p", "q", *names)), strict=True):
+        for row in zip(*(column(batch, x).to_pylist() for x in ("key", "block", "party", "c", "comp", "visitor", "open", "minima", *names)), strict=True):
             if held and row[:3] != held[0][:3]:
-                yield held
+                yield block()
                 held = []
             held.append(row)
     if held:
-        yield held
+        yield block()
 
 
 def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 4: the rows (key, c) that have a pair to look at."""
-    for rows in _blocks(batches, "c", "comp", "block", "minima"):
-        c, comp, block = (np.array(x) for x in list(zip(*rows, strict=True))[3:6])
-        m = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(c), -1)
-        key, p, q = rows[0][:3]
+    for key, c, comp, visitor, is_open, m, _ in _blocks(batches):
         need = np.zeros(len(c), bool)
-        for i, near in open_pairs(m, comp, key):
-            near = near if p == q else near[block[near] != block[i]]
-            if len(near):
-                need[i] = True
-                need[near] = True
+        for i, near in open_pairs(m, c, comp, visitor, is_open, key):
+            need[i] = True
+            need[near] = True
         if need.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(need.sum()), key)), pa.array(c[need])], ["key", "c"])
+            found = np.unique(c[need])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "c"])
 
 
 def settle(percent: int):
-    """Step 4: links between components, from rows of one region (or two of its blocks) with their sets."""
-
-    def region(rows: list[tuple]) -> list[tuple[int, int]]:
-        key, p, q = rows[0][:3]
-        c, comp, block = (np.array(x) for x in list(zip(*rows, strict=True))[3:6])
-        m = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(c), -1)
-        sizes = np.array([len(r[7]) // 8 for r in rows])
-        _, token = np.unique(np.frombuffer(b"".join(r[7] for r in rows), np.uint64), return_inverse=True)
+    """Step 4: links between components, from the rows of a block with their sets."""
+
+    def links(key, c, comp, visitor, is_open, m, sets) -> list[tuple[int, int]]:
+        sizes = np.array([len(x) // 8 for x in sets])
+        _, token = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
         starts = np.r_[0, np.cumsum(sizes)]
         flag = np.zeros(int(token.max()) + 1, np.int64)
+        forest = Forest()
         out = []
-        for i, near in open_pairs(m, comp, key):
-            near = near[(comp[near] != comp[i]) & ((p == q) | (block[near] != block[i]))]
+        for i, near in open_pairs(m, c, comp, visitor, is_open, key):
+            near = near[[forest.top(comp[j]) != forest.top(comp[i]) for j in near]]
             if not len(near):
                 continue
             own = token[starts[i] : starts[i + 1]]
@@ -266,14 +269,13 @@ def settle(percent: int):
             shared = np.array([flag[token[starts[j] : starts[j + 1]]].sum() for j in near])
             flag[own] = 0
             for j in near[100 * shared >= percent * (sizes[i] + sizes[near] - shared)]:
-                if comp[i] != comp[j]:
+                if forest.join(comp[i], comp[j]):
                     out.append((int(c[i]), int(c[j])))
-                    comp[comp == comp[j]] = comp[i]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches, "c", "comp", "block", "minima", "shingles"):
-            yield from _emit(region(rows))
+        for block in _blocks(batches, "shingles"):
+            yield from _emit(links(*block))
 
     return run
 
@@ -312,17 +314,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """v, comp: the least vertex that each vertex reaches, by alternating large and small stars.
 
-    links: a, b. A round is two shuffles; rounds grow with the logarithm of the longest chain.
+    links: a, b. The least neighbour of a vertex is a minimum that is combined before it is shuffled, and comes back by a
+    join whose large partitions can be split, so a star's centre is not one task's work. Rounds grow with the
+    logarithm of the longest chain.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = large.select("u", "v", m.alias("m"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = saved(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -338,35 +341,33 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     docs = keyed(docs)
     n = partitions(docs)
     sig = saved(signed(docs, words))
-    classes = sig.where("n_shingles > 0").groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.count("*").alias("copies"))
-    one_each = sig.where("n_shingles > 0").dropDuplicates(["c"]).select("c", "keys", "tails", "minima")
-    trees = one_each.select("c", F.posexplode("keys").alias("tree", "key"), "tails").select("c", "key", F.element_at("tails", F.col("tree") + 1).alias("tail"))
+    classes = saved(sig.where("n_shingles > 0").groupBy("c").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.min("minima").alias("minima")))
+    trees = orders(classes)
     shared = saved(trees.join(trees.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("c", "key", "tail", "n"))
-    signatures = saved(one_each.select("c", "minima").join(shared.select("c").distinct(), "c", "left_semi"))
+    signatures = saved(classes.select("c", "minima").join(shared.select("c").distinct(), "c", "left_semi"))
 
     def proposed() -> DataFrame:
-        small = shared.where(F.col("n") <= CHUNK).withColumn("part", F.col("key"))
-        next_one, next_two = F.shiftright("tail", 32), F.shiftright("tail", 16)
-        large = shared.where(F.col("n") > CHUNK).withColumn("m", F.count("*").over(Window.partitionBy("key", next_one)))
-        large = large.withColumn("part", F.xxhash64("key", F.when(F.col("m") <= CHUNK, next_one).otherwise(next_two), F.col("m") <= CHUNK)).drop("m")
-        rows = small.unionByName(large).join(signatures, "c").select(F.col("part").alias("key"), "tail", "c", "minima")
-        return rows.repartition(n, "key").sortWithinPartitions("key", "tail", "c").mapInArrow(tidy(propose), "a long, b long").distinct()
-
-    def in_blocks(rows: DataFrame, comp: DataFrame, size: str) -> DataFrame:
-        """Rows (key, c) with their component and signature, each for every pair of blocks that it is part of. size: of the region."""
-        dealt = rows.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "c", "block")
-        return dealt.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(signatures, "c")
+        rows = saved(shared.select("key", "tail", "c").join(signatures, "c"))
+        return rows.repartitionByRange(n, "key", "tail", "c").sortWithinPartitions("key", "tail", "c").mapInArrow(tidy(propose), "a long, b long").distinct()
+
+    def with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+        return rows.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Rows (key, c, comp) of regions of several components, each in its block, open ones as visitors in all blocks."""
+        by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
+        regions = by_comp.groupBy("key").agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1")
+        count = lambda x: F.ceil(x / BLOCK).cast("int")
+        regions = saved(regions.select("key", count(F.col("size")).alias("blocks"), count(F.col("size") - F.col("most.k")).alias("parties"), F.col("most.comp").alias("largest")))
+        dealt = attached(rows, regions, F.lit(24), "inner", ("key",)).withColumn("open", F.col("comp") != F.col("largest"))
+        one_of = lambda x, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(x)).cast("int")
+        each = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+        at_home = dealt.select("key", one_of("blocks", 1).alias("block"), each("parties").alias("party"), "c", "comp", F.lit(False).alias("visitor"), "open")
+        visits = dealt.where("open").select("key", each("blocks").alias("block"), one_of("parties", 2).alias("party"), "c", "comp", F.lit(True).alias("visitor"), "open")
+        return at_home.unionByName(visits)
 
     def together(rows: DataFrame) -> DataFrame:
-        return rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "c")
-
-    def several(comp: DataFrame) -> DataFrame:
-        """The rows of regions that hold more than one component."""
-        of = shared.select("key", "c", "n").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        keys = saved(of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-        return attached(shared.select("key", "c", "n"), keys, F.lit(0), "left_semi", ("key",))
+        return rows.repartition(n, "key", "block", "party").sortWithinPartitions("key", "block", "party", "c", "visitor")
 
     def sets_of(c: DataFrame) -> DataFrame:
         wanted = c.distinct().join(classes, "c").select("c", F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th"))
@@ -374,16 +375,16 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
 
     pairs = saved(proposed())
     links = saved(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c"))), percent))
-    comp = components(links)
-    looked_at = together(in_blocks(several(comp), comp, "n")).select("key", "p", "q", "c", "comp", "block", "minima")
-    left = saved(looked_at.mapInArrow(tidy(open_rows), "key long, c long").distinct())
+    comp = saved(components(links))
+    looked_at = in_blocks(saved(with_component(shared.select("key", "c"), comp))).join(signatures, "c")
+    columns = ("key", "block", "party", "c", "comp", "visitor", "open", "minima")
+    left = saved(together(looked_at.select(*columns)).mapInArrow(tidy(open_rows), "key long, c long").distinct())
     if not left.isEmpty():
-        counted = saved(left.groupBy("key").agg(F.count("*").alias("n")))
-        rows = together(in_blocks(attached(left, counted, F.lit(8), "inner", ("key",)), comp, "n").join(sets_of(left.select("c")), "c")).select("key", "p", "q", "c", "comp", "block", "minima", "shingles")
-        more = saved(rows.mapInArrow(tidy(settle(percent)), "a long, b long").distinct())
+        rows = in_blocks(saved(with_component(left, comp))).join(signatures, "c").join(sets_of(left.select("c")), "c")
+        more = saved(together(rows.select(*columns, "shingles")).mapInArrow(tidy(settle(percent)), "a long, b long").distinct())
         if not more.isEmpty():
             links = links.unionByName(more)
-            comp = components(links)
+            comp = saved(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
     ends = classes.select("c", F.col("rep._id").alias("least")).join(comp, "c", "left").join(degree, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     named = ends.groupBy("comp").agg(F.min("least").alias("component")).join(ends, "comp").select("c", "comp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -45,10 +45,10 @@ def chain(rows=1500):
 
 
 def test_dense_and_chained_groups(spark, monkeypatch):
-    """A chain of links, and a dense group read in many small chunks and closed in blocks."""
+    """A chain of links, and a dense group read by two neighbours and closed in small blocks."""
     import random
 
-    monkeypatch.setattr(near_dups, "CHUNK", 8)
+    monkeypatch.setattr(near_dups, "WIDTH", 2)
     monkeypatch.setattr(near_dups, "BLOCK", 6)
     r = random.Random(4)
     base = [f"b{i}" for i in range(80)]
