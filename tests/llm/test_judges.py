@@ -359,7 +359,7 @@ def test_ordinal_gradient():
     x = np.abs(r.normal(size=(400, 3)))
     z = x @ np.array([2.0, 0.0, 1.0])
     grade = np.digitize(z + r.normal(0, 0.2, 400), [2.0, 3.5, 5.0])
-    w, theta = toxicity.fit_ordinal(x, grade, 4)
+    w, theta = toxicity.fit_ordinal(toxicity.Sparse.of(x), grade, 4)
     assert w[0] > w[2] > w[1] and (np.diff(theta) > 0).all()
     guess = (1 / (1 + np.exp(-(x @ w)[:, None] + theta))).sum(1)
     assert np.corrcoef(guess, grade)[0, 1] > 0.85
@@ -401,7 +401,7 @@ def test_pipeline(spark, tmp_path):
     near = set(left["near-duplicates"])
     comp, _ = c.components([(i, texts.get(i)) for i in sorted(left["toxicity"])])
     assert near == {i for i, k in zip(sorted(left["toxicity"]), comp, strict=True) if i == k}
-    cut = c.without_repeated_bytes([(i, texts.get(i)) for i in sorted(near)])
+    cut = c.without_repeated_bytes([(i, texts.get(i)) for i in sorted(near)], p.REPEAT_BYTES)
     for i, x in zip(sorted(near), cut, strict=True):
         y = left["suffix-array dedup"][i]
         assert (y.text or "") == x[3].decode() and (y.n_chars or 0) == len(x[3].decode())
