@@ -7,8 +7,10 @@ brought back to the slice and split by document::
 
     deal -> rows by bucket -> decide -> answers by slice -> resolve -> (_id, _th, kind, runs)
 
-A hash that a third of all documents share adds one entry a document to one bucket, next to the entries of all
-other hashes, and only array operations run over a bucket; no pairs are made.
+Equal places of a slice are combined before they are dealt: at most two of them go to a bucket, and the others get
+their answer when it comes back to the slice. So a hash that a third of all documents share adds two entries a
+slice (up to POOL places) to one bucket, not one a document; only array operations run over a bucket, and no
+pairs are made.
 """
 
 from __future__ import annotations
@@ -68,8 +70,45 @@ def _pooled(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, Places]]) -> tu
     return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), first, Places(at, np.concatenate([h[3].route for h in held]), fields)
 
 
-def _rows(doc_ids: np.ndarray, ths: np.ndarray, first: np.ndarray, p: Places, n_buckets: int) -> pa.RecordBatch:
+@dataclass
+class Combined:
+    """Which places of a slice are dealt, which others follow one of these (its place), and which are decided already."""
+
+    dealt: np.ndarray
+    twin: np.ndarray
+    follows: np.ndarray
+    decided: np.ndarray
+
+
+def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys that keeps equal ones as they come, and in it where a group begins."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, new
+
+
+def two_of_each(p: Places) -> Combined:
+    """Places that agree in hash and fields: the first two are dealt, the others follow the second."""
+    keys = [as_uint64(raw(f)) for f in p.fields]
+    if len(p.fields) == 1 and raw(p.fields[0]).shape[1] <= 5 and not (p.route >> np.uint64(24)).any():
+        keys = [keys[0] | p.route << np.uint64(40)]  # one key sorts faster than two
+    else:
+        keys.append(p.route)
+    order, new = groups_of(*keys)
+    begin = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    rank = np.arange(len(order)) - begin[group]
+    later = rank >= 2
+    return Combined(np.sort(order[~later]), p.at[order[later]], p.at[order[begin[group[later]] + 1]], np.zeros(0, np.int64))
+
+
+def _rows(doc_ids: np.ndarray, ths: np.ndarray, first: np.ndarray, p: Places, n_buckets: int, combine: Callable[[Places], Combined]) -> pa.RecordBatch:
     uid = int(mix(np.array([np.bitwise_xor.reduce(mix(doc_ids.view(np.uint64) ^ mix(ths.view(np.uint64) + np.arange(len(doc_ids), dtype=np.uint64))))], np.uint64)).view(np.int64)[0])
+    c = combine(p)
+    p = Places(p.at[c.dealt], p.route[c.dealt], [f[c.dealt] for f in p.fields])
     bucket = (p.route % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     sizes = np.bincount(bucket, minlength=n_buckets)
@@ -87,15 +126,16 @@ def _rows(doc_ids: np.ndarray, ths: np.ndarray, first: np.ndarray, p: Places, n_
             cols[2 + k].append(fields[k][i:j].tobytes() if k < len(fields) else None)
     used = np.r_[used, uid % n_buckets]
     cols[0].append(TABLE)
-    for k, x in enumerate((doc_ids, ths, first.astype(np.int64), None, None)):
-        cols[1 + k].append(None if x is None else x.tobytes())
+    places = [np.array([len(c.twin)], np.int64).tobytes() + c.twin.astype(np.uint32).tobytes() + c.follows.astype(np.uint32).tobytes(), c.decided.astype(np.uint32).tobytes()]
+    for k, x in enumerate((doc_ids.tobytes(), ths.tobytes(), first.astype(np.int64).tobytes(), *places)):
+        cols[1 + k].append(x)
     return pa.RecordBatch.from_arrays(
         [pa.array(used, pa.int32()), pa.array(np.full(len(used), uid, np.int64)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
         ["bucket", "uid", "n", "place", *(f"f{i}" for i in range(FIELDS))],
     )
 
 
-def deal(docs: DataFrame, places: Callable[[Slice, pa.RecordBatch, np.ndarray], tuple[Places, np.ndarray]], n_buckets: int) -> DataFrame:
+def deal(docs: DataFrame, places: Callable[[Slice, pa.RecordBatch, np.ndarray], tuple[Places, np.ndarray]], n_buckets: int, combine: Callable[[Places], Combined] = two_of_each) -> DataFrame:
     """Rows by bucket. docs: _id, _th, text and what places() needs; places() gives those of a slice and, for each
     document, the place where it begins (n + 1 values)."""
 
@@ -113,10 +153,10 @@ def deal(docs: DataFrame, places: Callable[[Slice, pa.RecordBatch, np.ndarray],
                     held.append((doc_ids[s.i : s.j], ths[s.i : s.j], first, found))
                     count += len(found.at)
                 if count >= enough:
-                    yield _rows(*_pooled(held), n_buckets)
+                    yield _rows(*_pooled(held), n_buckets, combine)
                     held, count = [], 0
         if held:
-            yield _rows(*_pooled(held), n_buckets)
+            yield _rows(*_pooled(held), n_buckets, combine)
 
     return docs.mapInArrow(tidy(run), DEALT)
 
@@ -124,7 +164,7 @@ def deal(docs: DataFrame, places: Callable[[Slice, pa.RecordBatch, np.ndarray],
 def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.ndarray]], n_buckets: int, extent: int | None = None) -> DataFrame:
     """Answers by slice. choose() gets the fields of all places of a partition, with the bucket last, and gives
     for each kind of answer which places get it. Places of a bucket come by slice (uid) and place, in whatever order
-    their rows arrive, so a choice of the first one is the same in each run. extent: the field (one byte) that tells
+    their rows arrive, so a choice of the first one is the same in each run. extent: the field (two bytes) that tells
     how many places after a place belong to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +176,7 @@ def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.n
             rows = [column(batch, c).to_pylist() for c in ("bucket", "uid", "n", "place", *(f"f{i}" for i in range(FIELDS)))]
             for bucket, uid, n, at, *fs in zip(*rows, strict=True):
                 if n == TABLE:
-                    tables.append((uid, np.array([len(at) // 8]).tobytes() + at + fs[0] + fs[1]))
+                    tables.append((uid, np.array([len(at) // 8, len(fs[3]) // 4]).tobytes() + at + fs[0] + fs[1] + fs[2] + fs[3]))
                     continue
                 uids.append(uid)
                 counts.append(n)
@@ -168,6 +208,20 @@ def decide(dealt: DataFrame, choose: Callable[[list[np.ndarray]], dict[int, np.n
     return dealt.repartitionById(n_buckets, F.col("bucket")).mapInArrow(tidy(run), ANSWER)
 
 
+class Table:
+    """What a slice's row of kind TABLE holds: its documents, the places that follow others, and those decided."""
+
+    def __init__(self, data: bytes):
+        n, decided = np.frombuffer(data, np.int64, 2)
+        self.doc_ids, self.ths = np.frombuffer(data, np.int64, n, 16), np.frombuffer(data, np.int64, n, 16 + 8 * n)
+        at = 16 + 16 * int(n)
+        self.first = np.frombuffer(data, np.int64, n + 1, at)
+        at += 8 * (int(n) + 1)
+        twins = int(np.frombuffer(data, np.int64, 1, at)[0])
+        self.twin, self.follows = (np.frombuffer(data, np.uint32, twins, at + 8 + 4 * twins * k).astype(np.int64) for k in range(2))
+        self.decided = np.frombuffer(data, np.uint32, decided, at + 8 + 8 * twins)
+
+
 def resolve(answers: DataFrame, n_partitions: int) -> DataFrame:
     """Runs of consecutive places by document and kind; a row for each that has any. Rows that agree in id and text may
     have got different answers in different slices: theirs are united."""
@@ -182,15 +236,23 @@ def resolve(answers: DataFrame, n_partitions: int) -> DataFrame:
                 else:
                     found.setdefault((uid, kind), []).append((place, extent))
         out: list[tuple] = []
+        parsed = {uid: Table(t) for uid, t in tables.items()}
+        for uid, t in parsed.items():
+            if len(t.decided):
+                found.setdefault((uid, 0), []).append((t.decided.tobytes(), None))
         for (uid, kind), parts in found.items():
-            table = tables[uid]
-            n = int(np.frombuffer(table, np.int64, 1)[0])
-            doc_ids, ths, first = np.frombuffer(table, np.int64, n, 8), np.frombuffer(table, np.int64, n, 8 + 8 * n), np.frombuffer(table, np.int64, -1, 8 + 16 * n)
+            t = parsed[uid]
+            doc_ids, ths, first = t.doc_ids, t.ths, t.first
             at = np.frombuffer(b"".join(p for p, _ in parts), np.uint32).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            where = np.minimum(np.searchsorted(at, t.follows), max(0, len(at) - 1))
+            with_it = np.flatnonzero(at[where] == t.follows) if len(at) else np.zeros(0, int)
             if parts[0][1] is None:
-                lo, hi = runs(np.unique(at))
+                lo, hi = runs(np.unique(np.r_[at, t.twin[with_it]]))
             else:
-                lo, hi = at, at + np.frombuffer(b"".join(e for _, e in parts), np.uint8) + 1
+                reach = np.frombuffer(b"".join(e for _, e in parts), np.uint16)[order].astype(np.int64) + 1
+                lo, hi = np.r_[at, t.twin[with_it]], np.r_[at + reach, t.twin[with_it] + reach[where[with_it]]]
             cut = first[np.searchsorted(first, lo, "right")]  # a run of places ends with its document
             while (over := hi > cut).any():
                 lo, hi = np.r_[lo, cut[over]], np.r_[np.minimum(hi, cut), hi[over]]

@@ -10,8 +10,8 @@ of ``block`` in each of them, if window >= 2 * block - 1. So:
    into maximal exact repeats.
 3. The words that removed windows cover are cut from the texts.
 
-All three steps are linear in the places (see exchange.py): a passage shared by many documents makes one entry
-a document and no pairs. What the second step deals out is bounded by the hits' neighbourhoods.
+All three steps are linear in the places (see exchange.py): a passage shared by many documents makes an entry or two
+a slice of documents and no pairs. What the second step deals out is bounded by the hits' neighbourhoods.
 
 Nulls: a null text has no words; a null id is above all others, so such a row is never the one that stays, and
 two such rows do not remove each other's words. Rows with the same id are one document for the comparison of
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.exchange import Places, as_uint64, deal, decide, low_bytes, resolve
+from noticeflow.llm.exchange import Combined, Places, as_uint64, deal, decide, groups_of, low_bytes, resolve
 from noticeflow.llm.frames import attached, keyed, partitions, saved
 from noticeflow.llm.textkit import Rolling, Slice, column, covered, slices, text_buffers, tidy, valid_windows
 
@@ -104,8 +104,21 @@ def repeats(docs: DataFrame, hits: DataFrame, window: int, n_buckets: int) -> Da
         gone[order] = least < who[order]
         return {0: gone}
 
+    def least_of_each(p: Places) -> Combined:
+        """Of equal windows of a slice the first one of the least id is dealt; those of that id follow it, others go."""
+        if not len(p.at):
+            return Combined(p.at, p.at, p.at, p.at)
+        one, two, who = p.fields[0], as_uint64(p.fields[1]), p.fields[2]
+        order, _ = groups_of(p.at, who, one, two)
+        changed = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+        begin = np.flatnonzero(changed)
+        head = order[begin[np.cumsum(changed) - 1]]
+        same = who[order] == who[head]
+        later = ~changed
+        return Combined(np.sort(order[changed]), p.at[order[later & same]], p.at[head[later & same]], p.at[order[later & ~same]])
+
     chosen = attached(docs, hits.select("_id", "_th", "begins", "ends"), F.length("begins") * 2, "inner")
-    return resolve(decide(deal(chosen, places, n_buckets), choose, n_buckets), n_buckets)
+    return resolve(decide(deal(chosen, places, n_buckets, least_of_each), choose, n_buckets), n_buckets)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -88,7 +88,7 @@ def groups(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
 
     def places(s: Slice, _: pa.RecordBatch, __: np.ndarray) -> tuple[Places, np.ndarray]:
         begin, end, h, text, _ = segments(s, length)
-        return Places(begin, h >> np.uint64(32), [h, text, (end - begin).astype(np.uint8)]), s.bounds
+        return Places(begin, h >> np.uint64(32), [h, text, (end - begin).astype(np.uint16)]), s.bounds
 
     def choose(fields: list[np.ndarray]) -> dict[int, np.ndarray]:
         h, text = as_uint64(fields[0]), as_uint64(fields[1])
@@ -105,8 +105,8 @@ def groups(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
         many[order] = texts[group] > HOT
         return {WHOLE: whole, SEVERAL: several & ~many, MANY: several & many}
 
-    if length // 2 + 1 > 256:
-        raise ValueError("length is 510 at most: the number of strings of a segment takes one byte")
+    if length > 1 << 16:
+        raise ValueError("length is 65536 at most: the number of strings of a segment takes two bytes")
     return resolve(decide(deal(docs.select("_id", "_th", "text"), places, n_buckets), choose, n_buckets, extent=2), n_buckets)
 
 

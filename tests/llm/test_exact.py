@@ -176,8 +176,8 @@ def test_answers_of_rows_alike_in_several_slices(spark):
     """A row that two slices hold, with different segments marked in each: the runs of both count."""
     from noticeflow.llm import exchange
 
-    table = np.array([1, 7, 70, 0, 100]).tobytes()  # n, id, hash of the text, begin and end
-    byte = lambda x: np.array([x], np.uint8).tobytes()
+    table = np.array([1, 0, 7, 70, 0, 100, 0]).tobytes()  # n, none decided, id, hash of the text, begin and end, no twins
+    byte = lambda x: np.array([x], np.uint16).tobytes()
     place = lambda x: np.array([x], np.uint32).tobytes()
     rows = [(1, exchange.TABLE, table, None), (2, exchange.TABLE, table, None), (1, 1, place(0), byte(9)), (2, 1, place(50), byte(9)), (1, 0, place(20), byte(0)), (2, 0, place(20), byte(0))]
     got = exchange.resolve(spark.createDataFrame(rows, exchange.ANSWER), 2).collect()
@@ -185,6 +185,25 @@ def test_answers_of_rows_alike_in_several_slices(spark):
     assert len(got) == 2 and runs == {1: (7, 70, [0, 50], [10, 60]), 0: (7, 70, [20], [21])}
 
 
+def test_equal_places_of_a_slice():
+    """Two of each are dealt; the others follow the second, or, for windows, go if their id is not the least."""
+    from noticeflow.llm import exchange
+
+    route, field = np.array([5, 5, 6, 5, 5, 6], np.uint64), np.array([1, 1, 1, 1, 2, 1], np.uint64)
+    c = exchange.two_of_each(exchange.Places(np.arange(10, 16), route, [field]))
+    assert c.dealt.tolist() == [0, 1, 2, 4, 5] and (c.twin.tolist(), c.follows.tolist()) == ([13], [11])
+    none = exchange.two_of_each(exchange.Places(np.zeros(0, np.int64), np.zeros(0, np.uint64), [np.zeros(0, np.uint64)]))
+    assert not len(none.dealt) and not len(none.twin)
+
+
+@pytest.mark.parametrize("length", [600, 1200])
+def test_suffixes_long(spark, length):
+    text = "".join(chr(97 + (i * i + i // 7) % 23) for i in range(3000))
+    rows = [(1, text + "x" * 40), (2, "y" * 90 + text[200:2000]), (3, text[:length]), (4, text[: length - 1])]
+    got = suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter((row[0], *x) for row, x in zip(rows, c.without_repeated_bytes(rows, length), strict=True))
+
+
 def test_first_place_whatever_arrives_first(spark):
     """Of places with one hash the one of the least slice is chosen, in whatever order rows arrive."""
     from noticeflow.llm import exchange
