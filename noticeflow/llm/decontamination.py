@@ -1,19 +1,19 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are normalised: A-Z lower-cased, every run of ASCII bytes other than letters and digits one
-space. An item of m bytes may differ from a passage by k = m * ERROR_PERCENT // 100 edits (of bytes). Split
-into k + 1 pieces, at least one piece of it stands unchanged in such a passage. All places of a text are looked
-up in an index of pieces by rolling hash, hits are compared exactly, and around each hit Myers' bit-parallel
-distance between the whole item and the text is taken; a document with an item within its budget is
-contaminated.
-
-The items are a stated query set. They are read in blocks of at most ITEM_BYTES, each held by every task
-and run over all documents, so memory does not grow with the number of items. Documents are judged one by
+space, and a space in front and behind. An item of m bytes may differ from a passage by k = m * ERROR_PERCENT // 100
+edits (of bytes), the spaces around it included, so it stands between word ends but for edits. Split into k + 1
+pieces, at least one piece of it stands unchanged in such a passage. All places of a text are looked up in an index of
+pieces by rolling hash, hits are compared exactly, and around each hit Myers' bit-parallel distance between the whole
+item and the text is taken; a document with an item within its budget is contaminated.
+
+The items are a stated query set. They are read in blocks of at most ITEM_BYTES, each indexed once, sent to the
+executors as arrays and run over all documents, so memory does not grow with the number of items. Documents are judged one by
 one: there is no shuffle and no skew.
 
-Nulls: a null text is clean; a null or empty item matches nothing; items below LEAST_EXACT bytes must stand
-between word ends without edits. Null ids and repeated rows are judged like others. Empty tables
-give no rows, or all rows clean. Extra columns are ignored.
+Nulls: a null text is clean; a null or empty item matches nothing. Null ids and repeated rows are judged like others;
+repeated items are found each. Ties: of passages as close to an item the first one is given. Empty tables give no rows,
+or all rows clean. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from noticeflow.llm.textkit import BYTE_CODE, LOWER, Rolling, column, slices, te
 
 ERROR_PERCENT = 5
 GRAM = 16  # bytes of a piece that the index holds; shorter pieces are indexed whole
-LEAST_EXACT = 20
 ITEM_BYTES = 8 << 20
 MATCH = "array<struct<item_id: bigint, distance: int, begin: int, end: int>>"
 
@@ -91,44 +90,47 @@ def myers(pattern: bytes, text: bytes) -> tuple[int, int]:
 
 
 class Index:
-    """Pieces of items by the hash of their first GRAM bytes (or all, if shorter)."""
+    """Pieces of items by the hash of their first GRAM bytes (or all, if shorter), as arrays."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], error_percent: int):
         self.items = []
-        found: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             if not text:
                 continue
-            m = len(text)
-            k = m * error_percent // 100 if m >= LEAST_EXACT else 0
-            if m < LEAST_EXACT:
-                text, m = b" " + text + b" ", m + 2
-            at = len(self.items)
+            k = len(text) * error_percent // 100
+            text = b" " + text + b" "
+            m, at = len(text), len(self.items)
             self.items.append((item_id, text, k))
             cuts = [m * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                q = min(GRAM, b - a)
-                code = Rolling(BYTE_CODE[0][np.frombuffer(text[a : a + q], np.uint8)]).windows(q)
-                found.setdefault(q, {}).setdefault(int(code[0]), []).append((at, a, b))
+                found.setdefault(min(GRAM, b - a), []).append((at, a, b))
         self.grams = []
-        for q, table in sorted(found.items()):
-            keys = np.array(sorted(table), np.uint64)
+        data = np.frombuffer(b"".join(t for _, t, _ in self.items), np.uint8)
+        start = np.r_[0, np.cumsum([len(t) for _, t, _ in self.items])].astype(np.int64)
+        rolling = Rolling(BYTE_CODE[0][data])
+        for q, rows in sorted(found.items()):
+            pieces = np.array(rows, np.int64)
+            code = rolling.ranges(start[pieces[:, 0]] + pieces[:, 1], start[pieces[:, 0]] + pieces[:, 1] + q)
+            order = np.argsort(code, kind="stable")
+            keys, first = np.unique(code[order], return_index=True)
             sieve = np.zeros(1 << 20, bool)
             sieve[keys & np.uint64((1 << 20) - 1)] = True
-            self.grams.append((q, keys, sieve, table))
+            self.grams.append((q, keys, sieve, np.r_[first, len(order)], pieces[order]))
 
     def hits(self, buf: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(place, item, begin and end of the piece) of every piece that stands in buf."""
         rolling = Rolling(BYTE_CODE[0][buf])
         view = buf.tobytes()
-        for q, keys, sieve, table in self.grams:
+        for q, keys, sieve, first, pieces in self.grams:
             h = rolling.windows(q)
             may = np.flatnonzero(sieve[h & np.uint64((1 << 20) - 1)])
             at = np.minimum(np.searchsorted(keys, h[may]), len(keys) - 1)
-            for p in may[keys[at] == h[may]]:
-                for item, a, b in table[int(h[p])]:
+            real = keys[at] == h[may]
+            for p, k in zip(may[real].tolist(), at[real].tolist(), strict=True):
+                for item, a, b in pieces[first[k] : first[k + 1]].tolist():
                     if view[p : p + b - a] == self.items[item][1][a:b]:
-                        yield int(p), item, a, b
+                        yield p, item, a, b
 
 
 def matches(index: Index, buf: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -170,10 +172,10 @@ def checked(docs: DataFrame, items: DataFrame, error_percent: int = ERROR_PERCEN
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         pieces = [(r[0], normal_item(r[1])) for r in part.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
-        shared = docs.sparkSession.sparkContext.broadcast(pieces)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(pieces, error_percent))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, error_percent)
+            index = shared.value
             for batch in batches:
                 data, offsets = text_buffers(column(batch, text_col))
                 old = column(batch, "matches")

@@ -11,24 +11,28 @@ source's size, and the excess is shared again by weight among the others until n
 A source's stream is its documents in the order of a hash, epoch after epoch. A copy is taken if its middle
 lies below the target, so the words taken differ from the target by at most half a document.
 
-Scale: prefix sums have two levels. Sums by (source, slot of the hash), at most SLOTS rows a source, are
-prefix-summed first; then documents within a slot, of which there are about N / SLOTS. No window spans a source,
-so a source with a third of all rows is spread over its slots.
+Scale: prefix sums have two levels. Sums by (source, slot of the hash) are prefix-summed first; then documents within a
+slot. There are as many slots as the root of the number of rows (LEAST_SLOTS at least), so either window holds
+about that many rows. No window spans a source, so a source with a third of all rows is spread over its slots; the hash
+is of id, source and text, so rows without an id are spread too.
 
 Nulls: a null text has size 0; null is a source of its own, sorted last; null ids are documents too. Rows
-that repeat count as often as they occur. Documents of size 0 take nothing and are kept as rows. An empty
+that repeat count as often as they occur. Ties: documents of one hash are ordered by id, then by the text's hash; rows
+equal in all of these are interchangeable. Documents of size 0 take nothing and are kept as rows. An empty
 table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.frames import saved
+from noticeflow.llm.frames import BROADCAST_BYTES, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLOTS = 1 << 12
+LEAST_SLOTS = 1 << 12
 MAX_REPEATS = 3
 #: Weight of a source over the run, as (time, factor) knots from 0 to 1; factors have mean 1. Sources take them in turn.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)))
@@ -79,13 +83,13 @@ def sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.col("doc_id"), F.col("source")).alias("order"), F.xxhash64(text).alias("th"),
+        F.xxhash64(F.col("doc_id"), F.col("source"), text).alias("order"), F.xxhash64(text).alias("th"),
     )
 
 
 def plan(sizes: DataFrame, weights=(1.0, 2.0, 3.0), schedules=SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """A row for each source: source, source_size, target and its schedule. The number of sources is a parameter of
-    the mix (each has a weight), so it is small; their sums are read by the driver."""
+    """A row for each source: source, source_size, target and its schedule. Each source has a weight in the mix, so
+    their number is small; their sums are read by the driver."""
     spark = sizes.sparkSession
     found = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     names = sorted((s for s in found if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in found)
@@ -99,7 +103,7 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), schedules=SCHEDULES, max_repea
     """doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted) and positions (of
     each copy in [0, 1], in order), a row for each document."""
     sizes = saved(sized(docs))
-    slot = F.pmod(F.col("order"), F.lit(SLOTS))
+    slot = F.pmod(F.col("order"), F.lit(max(LEAST_SLOTS, math.isqrt(sizes.count()))))
     by_slot = sizes.groupBy("source", slot.alias("slot")).agg(F.sum("size").alias("in_slot"))
     before = by_slot.select("source", "slot", (F.sum("in_slot").over(Window.partitionBy("source").orderBy("slot")) - F.col("in_slot")).alias("slot_start"))
     within = Window.partitionBy("source", "slot").orderBy("order", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +111,8 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), schedules=SCHEDULES, max_repea
     same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
     placed = placed.join(before, same(placed, before, "source", "slot"), "left").select(placed["*"], (F.col("in_front") + F.col("slot_start")).alias("at"))
     of = plan(sizes, weights, schedules, max_repeats)
-    out = placed.join(F.broadcast(of), same(placed, of, "source"), "left").select(placed["*"], of["source_size"], of["target"], of["schedule"])
+    few = of.count() * 1024 <= BROADCAST_BYTES  # a row is a name, three numbers and a few knots
+    out = placed.join(F.broadcast(of) if few else of.hint("shuffle_merge"), same(placed, of, "source"), "left").select(placed["*"], of["source_size"], of["target"], of["schedule"])
     begins = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: (e * F.col("source_size") + F.col("at")).cast("double"))
     taken = F.filter(begins, lambda b: (F.col("size") > 0) & (b + F.col("size") / 2 <= F.col("target")))
     out = out.withColumn("begins", taken)

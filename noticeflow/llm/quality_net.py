@@ -4,12 +4,15 @@ Every byte position of a text is an input with two parts: the byte, and whether
 place of the word before. Learned filters of WIDTH positions run over the whole text; after a rectifier their
 responses are max-pooled over chunks of 2 * BLOCK bytes that overlap by BLOCK; the means and maxima over a text's
 chunks go into one logistic unit. The filters and the unit are trained together by Adam, on the driver, on at
-most MAX_ROWS labelled texts (those least by a hash of the id) and at most TRAIN_BLOCKS evenly spread blocks of
-each. Scoring covers every byte of every text, slice by slice, without a shuffle.
+most MAX_ROWS labelled texts (those least by a hash of the id), whole ones. Scoring covers every byte of every text,
+slice by slice, without a shuffle.
 
 Nulls: a null or empty text has no chunks; its score is that of the unit's bias. Null labels, and labels of unknown
 ids, teach nothing; with labels of one kind only, every score is that kind's. Null ids and repeated rows are
-scored like others. An empty table gives no rows. Extra columns are ignored.
+scored like others (a labelled text that is repeated teaches each time). Ties: of labels with one hash those of the
+smaller id, then of the smaller label, are learnt from; a maximum that several blocks reach is the first one's. Very
+long texts: a text is never split, and takes some 60 bytes of memory a byte while it is scored. An empty table gives
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.frames import small_batches
-from noticeflow.llm.textkit import Slice, column, slices, text_buffers, tidy
+from noticeflow.llm.textkit import Slice, column, slices, text_buffers, tidy, trimmed
 
 FILTERS, WIDTH, BLOCK = 12, 8, 128
-MAX_ROWS, TRAIN_BLOCKS = 3000, 64
+MAX_ROWS = 3000
 NET_SLICE = 1 << 18
 
 
@@ -115,6 +118,7 @@ def pooled(blocks: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 def document_features(tables, s: Slice) -> np.ndarray:
     buf, rep, begins = padded(s)
     r = responses(tables, buf, rep)
+    r[(begins + s.lengths)[:, None] + np.arange(WIDTH)] = 0  # what stands behind a text is none of its positions
     counts = -(-s.lengths // BLOCK)
     of = np.r_[0, np.cumsum(counts)]
     starts = np.repeat(begins, counts) + (np.arange(of[-1]) - np.repeat(of[:-1], counts)) * BLOCK
@@ -124,8 +128,8 @@ def document_features(tables, s: Slice) -> np.ndarray:
     return pooled(blocks, of, s.n)
 
 
-def training_blocks(docs: DataFrame, most: int = TRAIN_BLOCKS) -> DataFrame:
-    """label, and of each text up to ``most`` evenly spread blocks with WIDTH more positions: bytes and repeats."""
+def training_blocks(docs: DataFrame) -> DataFrame:
+    """label, and of each text all blocks with WIDTH more positions: bytes and repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +140,7 @@ def training_blocks(docs: DataFrame, most: int = TRAIN_BLOCKS) -> DataFrame:
                 out = []
                 for d in range(s.n):
                     n = -(-int(s.lengths[d]) // BLOCK)
-                    pick = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int)) if n else np.zeros(0, int)
-                    at = (begins[d] + pick * BLOCK)[:, None] + np.arange(BLOCK + WIDTH)
+                    at = (begins[d] + np.arange(n) * BLOCK)[:, None] + np.arange(BLOCK + WIDTH)
                     inside = at < begins[d] + s.lengths[d]
                     out.append((np.where(inside, buf[np.minimum(at, len(buf) - 1)], 0).astype(np.uint8).tobytes(), np.where(inside, rep[np.minimum(at, len(rep) - 1)], 0).astype(np.uint8).tobytes(), inside[:, :BLOCK].sum(1).astype(np.int32).tobytes()))
                 b, r, n = zip(*out, strict=True)
@@ -146,6 +149,7 @@ def training_blocks(docs: DataFrame, most: int = TRAIN_BLOCKS) -> DataFrame:
     return small_batches(docs).mapInArrow(tidy(run), "label int, bytes binary, repeats binary, sizes binary")
 
 
+@trimmed
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1, steps: int = 240, batch: int = 64) -> Net:
     """docs: doc_id, text; labels: doc_id, label (1 good, 0 not)."""
     rng = np.random.default_rng(seed)

@@ -6,11 +6,13 @@ outside the chunk band: too low is repetitive, too high is noise such as encoded
 ratios of texts labelled good (sf0.1): the upper ones are a tenth above the greatest of a length, the lower ones
 a quarter (from 2 KB and for chunks a third) below the least. For 64 KB and more, where no text is labelled, the
 least is that of good texts of one language joined. Texts under 256 bytes, where the format's own bytes weigh, are
-not judged.
+not judged. Chunks cover the whole text: a tail of less than half a chunk belongs to the chunk before it. A text of less
+than half a chunk has no chunks, as the bands for its length judge all of it.
 
 A text is judged by itself, so there is no shuffle and no skew; memory is that of one slice of texts.
 
-Nulls: a null text is an empty text (no words, so base_failed). Null ids are kept as rows. An empty table
+Nulls: a null text is an empty text (no words, so base_failed). Null ids are kept as rows. Repeated rows are judged
+each. Ties: a ratio that equals a limit is inside the band; of equal lines the first is no duplicate. An empty table
 gives no rows. Extra columns are ignored, whatever their names.
 """
 
@@ -37,7 +39,6 @@ class Bands:
 
     whole: tuple[tuple[int, float, float], ...] = field(default=((0, 0.0, 9.0), (256, 0.40, 0.81), (512, 0.38, 0.75), (1024, 0.34, 0.63), (2048, 0.30, 0.57), (4096, 0.28, 0.51), (8192, 0.27, 0.49), (16384, 0.26, 0.48), (65536, 0.23, 0.48)))
     chunk_bytes: int = 2048
-    least_chunk: int = 1024  # a shorter tail is not judged as a chunk
     chunk: tuple[float, float] = (0.31, 0.63)
     bad_share: float = 0.5
     level: int = 3
@@ -104,13 +105,12 @@ def compression(text: memoryview, squeeze: zstandard.ZstdCompressor, bands: Band
         return 0.0, 0, 0, False
     ratio = len(squeeze.compress(text)) / n
     low, high = band(n, bands)
-    chunks = bad = 0
-    for at in range(0, n, bands.chunk_bytes):
-        part = text[at : at + bands.chunk_bytes]
-        if len(part) >= bands.least_chunk:
-            r = ratio if len(part) == n else len(squeeze.compress(part)) / len(part)
-            chunks += 1
-            bad += not bands.chunk[0] <= r <= bands.chunk[1]
+    chunks = (n + bands.chunk_bytes // 2) // bands.chunk_bytes
+    bad = 0
+    for k in range(chunks):
+        part = text[k * bands.chunk_bytes : (k + 1) * bands.chunk_bytes if k < chunks - 1 else n]
+        r = ratio if len(part) == n else len(squeeze.compress(part)) / len(part)
+        bad += not bands.chunk[0] <= r <= bands.chunk[1]
     return ratio, chunks, bad, not low <= ratio <= high or bool(chunks) and bad >= bands.bad_share * chunks
 
 

@@ -97,6 +97,43 @@ def test_quality_net(spark):
     assert quality_net.scored(docs, one_kind).where("score < 0.7").isEmpty()
 
 
+def test_forward_pass_by_hand(spark):
+    """Scores of random filters against loops over positions, chunks and filters."""
+    r = np.random.default_rng(4)
+    q = quality_net
+    net = q.Net(r.normal(0, 0.5, (q.WIDTH, 256, q.FILTERS)), r.normal(0, 0.5, (q.WIDTH, q.FILTERS)), r.normal(0, 0.5, q.FILTERS), r.normal(0, 0.3, 2 * q.FILTERS), 0.1)
+    texts = ["", "a", "ab ab ab", "xyz " * 40, "the thin then " * 30 + "é" * 70, "q" * 128, "q" * 129, "w w " * 96]
+    got = {x.doc_id: x.score for x in q.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        raw, flags, spans = t.encode(), [0] * len(t.encode()), [m.span() for m in __import__("re").finditer(rb"[^\x20\x09-\x0D]+", t.encode())]
+        for (a, b), (x, y) in zip(spans, spans[1:], strict=False):
+            for k in range(min(b - a, y - x)):
+                flags[x + k] = int(raw[a + k] == raw[x + k])
+        at = lambda s, p: s[p] if p < len(s) else 0
+        resp = np.array([[max(0.0, net.bias[f] + sum(net.of_byte[k, at(raw, p + k), f] + net.of_repeat[k, f] * at(flags, p + k) for k in range(q.WIDTH))) for f in range(q.FILTERS)] for p in range(len(raw))]).reshape(-1, q.FILTERS)
+        blocks = [resp[p : p + q.BLOCK].max(0) for p in range(0, len(raw), q.BLOCK)]
+        chunks = [np.maximum(a, b) for a, b in zip(blocks, blocks[1:], strict=False)] or blocks
+        z = net.shift + (np.r_[np.mean(chunks, 0), np.max(blocks, 0)] @ net.unit if blocks else 0)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5), t
+
+
+def test_training_reads_whole_texts(spark):
+    """What makes a text bad may stand anywhere in it: each is good prose but for a passage at another place."""
+    r = random.Random(9)
+    rows = []
+    for i in range(160):
+        w = ["".join(r.choices(["an", "ti", "re", "sh", "ou"], k=r.randint(1, 4))) for _ in range(4000)]
+        if i % 2:
+            at = r.randrange(3900)
+            w[at : at + 60] = ["$#%&"] * 60
+        rows.append((i, " ".join(w), 1 - i % 2))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows[:120]], "doc_id long, label int")
+    net = quality_net.fit(docs, labels, steps=100, batch=16)
+    got = {x.doc_id: x.score for x in quality_net.scored(docs, net).collect()}
+    assert sum((got[d] >= 0.5) == bool(y) for d, _, y in rows[120:]) >= 38
+
+
 def test_filters_cover_the_whole_text(spark):
     """What a filter finds in a text's last bytes counts, however long the text is."""
     net = quality_net.Net(np.zeros((quality_net.WIDTH, 256, quality_net.FILTERS)), np.zeros((quality_net.WIDTH, quality_net.FILTERS)), np.zeros(quality_net.FILTERS), np.ones(2 * quality_net.FILTERS), -5.0)
@@ -190,6 +227,39 @@ def test_mix(spark, corpus, empty):
     assert order == sorted(order) and len(order) == sum(len(r.positions) for r in got)
 
 
+def test_taken_and_positions_by_hand(spark, corpus):
+    """The stream of each source laid out row by row, epoch after epoch, and the schedule inverted by bisection."""
+    rows, df = corpus
+    sized = mixing.sized(df).withColumnRenamed("order", "o").collect()
+    got = {}
+    for x in mixing.mix(df).collect():
+        got.setdefault((x.source, x.doc_id, x.size), []).append((x.taken, tuple(x.positions)))
+    names = sorted({x.source for x in sized if x.source is not None}) + [None]
+    sizes = {s: sum(x.size for x in sized if x.source == s) for s in names}
+    goal = mixing.targets(sizes, {s: (1.0, 2.0, 3.0)[i % 3] for i, s in enumerate(names)})
+    want = {}
+    for i, s in enumerate(names):
+        knots = mixing.SCHEDULES[i % 3]
+        area = lambda t, k=knots: sum((min(t, b[0]) - a[0]) * (a[1] + a[1] + (b[1] - a[1]) * (min(t, b[0]) - a[0]) / (b[0] - a[0])) / 2 for a, b in zip(k, k[1:], strict=False) if t > a[0])
+        own = sorted((x for x in sized if x.source == s), key=lambda x: (x.o % mixing.LEAST_SLOTS, x.o, x.doc_id is not None, x.doc_id or 0, x.th))
+        at = 0
+        for x in own:
+            begins = [e * sizes[s] + at for e in range(3) if x.size and e * sizes[s] + at + x.size / 2 <= goal[s]]
+            places = []
+            for b in begins:
+                lo, hi = 0.0, 1.0
+                for _ in range(60):
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if area(mid) / area(1.0) < b / goal[s] else (lo, mid)
+                places.append(lo)
+            want.setdefault((s, x.doc_id, x.size), []).append((len(begins) * x.size, tuple(places)))
+            at += x.size
+    assert got.keys() == want.keys()
+    for k, xs in want.items():
+        for (t, p), (u, q) in zip(sorted(xs), sorted(got[k]), strict=True):
+            assert t == u and p == pytest.approx(q, abs=1e-9)
+
+
 def test_positions_follow_the_schedule(spark):
     """With weights that rise over the run, half of a source's words come after t = sqrt(1/2)."""
     df = spark.createDataFrame([(i, "w " * 10, "s") for i in range(2000)], "doc_id long, text string, source string")
@@ -253,8 +323,8 @@ def test_decontamination(spark, monkeypatch):
         for i, x in items:
             p = norm(x)
             if p:
-                k = len(p) * 5 // 100 if len(p) >= decontamination.LEAST_EXACT else 0
-                p = p if len(p) >= decontamination.LEAST_EXACT else b" " + p + b" "
+                k = len(p) * 5 // 100
+                p = b" " + p + b" "
                 if k == 0 and p in text or k and len(text) < 5000 and edits(p, text) <= k:
                     found.append(i)
         want.append((d, bool(found), tuple(sorted(found, key=lambda i: (i is None, i)))))
@@ -299,6 +369,27 @@ def test_bands(spark):
     assert got == {1: False, 2: True, 3: True, 4: False, 5: True}
 
 
+@pytest.mark.parametrize("tail", [0, 1, 900, 1023, 1024, 1500, 2047])
+def test_chunks_cover_the_text(spark, tail):
+    """What stands in a text's last bytes is judged with it, whatever the length: chunks by slicing, ratios by zstandard."""
+    import zstandard
+
+    b = quality_rules.BANDS
+    r = random.Random(tail)
+    for n in (tail, b.chunk_bytes + tail, 3 * b.chunk_bytes + tail):
+        text = "".join(r.choice("abcdefgh \n") for _ in range(n - n // 5)) + "!" * (n // 5)
+        x = quality_rules.measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        ratio = lambda t: len(zstandard.ZstdCompressor(level=b.level).compress(t.encode())) / len(t)
+        starts = [k for k in range(0, n, b.chunk_bytes) if n - k >= b.chunk_bytes // 2]
+        parts = [text[i:j] for i, j in zip(starts, [*starts[1:], n], strict=True)] if starts else []
+        assert "".join(parts) in (text, "")
+        bad = sum(not b.chunk[0] <= ratio(p) <= b.chunk[1] for p in parts)
+        low, high = [(lo, hi) for least, lo, hi in b.whole if n >= least][-1]
+        whole = ratio(text) if n else 0.0
+        assert (x.whole_ratio, x.n_chunks, x.n_bad_chunks) == (pytest.approx(whole), len(parts), bad)
+        assert x.bands_failed == (n > 0 and (not low <= whole <= high or bool(parts) and 2 * bad >= len(parts)))
+
+
 def test_bands_alone(spark):
     """Short encoded noise, and texts of 1 to 30 KB made of one half twice, whatever the base rule says."""
     import base64
@@ -353,6 +444,38 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, toxicity.fit(docs.limit(0), labels)).where("toxic").isEmpty()
 
 
+def test_scores_by_hand(spark):
+    """Features, evidence and severities of a fitted model, text by text."""
+    import re
+
+    from noticeflow.llm.textkit import slices
+
+    rows = toxic_corpus(300, seed=2)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+
+    def hashed(word):  # a feature's hash is that of a text that holds this word alone
+        raw = word.encode()
+        (s,) = slices(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return [int(x) for x in toxicity.features(s)[0]]
+
+    for x in toxicity.scored(docs, model).collect()[:120]:
+        text = rows[x.doc_id][1]
+        times = Counter(f for w in re.findall("[a-z]+", text.lower()) for f in hashed(w))
+        cells = dict(times) | {f ^ int(tag): 1 for k, tag in toxicity.AGAIN.items() for f, n in times.items() if n >= k}
+        z = sum(w * np.log1p(cells[int(k)]) for k, w in zip(model.keys, model.weights, strict=True) if int(k) in cells)
+        above = 1 / (1 + np.exp(-(z - model.thresholds)))
+        assert (x.expected_severity, x.p_toxic) == (pytest.approx(above.sum()), pytest.approx(above[0]))
+        assert x.toxic == (above[0] >= 0.5) and x.grade == int(np.argmax(-np.diff(np.r_[1, above, 0])))
+
+
+def test_grades_are_not_from_a_texts_own_label():
+    ratio, errors = toxicity.log_odds(np.array([10.0, 3.0]), np.array([0.0, 30.0]), 100, 300)
+    assert ratio[0] > 3 > ratio[1] and errors[0] > 2.5
+    x = toxicity.Sparse.of(np.array([[0, 2.0], [1, 0], [0, 0]]))
+    assert x.dot(np.array([3.0, 5.0])).tolist() == [10, 3, 0] and x.transposed_dot(np.array([1.0, 4.0, 9.0])).tolist() == [4, 2]
+
+
 def test_ordinal_gradient():
     """The fit lowers the loss and orders the grades."""
     r = np.random.default_rng(0)
