@@ -11,11 +11,15 @@ driver, from at most MAX_ROWS labelled urls. Features are lexical only: lengths,
 parameters, hyphens, and statistics of the suffix (the last label of the host): how many of the training
 urls have it and how many of those are to be blocked.
 
-``seed_urls()`` gives labelled urls built from a rule, for use where no labels are at hand: hosts of filler
-syllables against hosts that join two sales words, with paths and parameters as they are found with both.
-
-Urls are judged one by one in column expressions and one Arrow step; there is no shuffle. Null ids and repeated
-rows are judged like others; an empty table gives no rows; extra columns are ignored.
+Labelled urls come from a table (``labelled``) or, where there is none, from ``seed_urls()``: many kinds of urls as they
+are found on the web, on either side: names of one or several words with and without hyphens, subdomains, ports, ip
+hosts, slugs, dates, ids, files, sessions, campaigns. What tells the sides apart is how often each trait occurs, not any
+one of them: throw-away names and suffixes, runs of digits, login words below foreign names, redirects and long
+parameters, deep paths of random text.
+
+Ties: of rules of one length that fit the one later by code point decides; a score of 0.5 blocks. Urls are judged one
+by one in column expressions and one Arrow step; there is no shuffle. Null ids and repeated rows are judged like others;
+very long urls are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -186,27 +190,68 @@ def fit(rows: list[tuple[str, int]], n_trees: int = 60, depth: int = 4, rate: fl
     return model
 
 
-SYLLABLES = ("an", "ble", "ed", "er", "ha", "in", "ing", "nd", "on", "or", "re", "sh", "st", "th", "ti", "tion", "wh")
-SALES_WORDS = ("ads", "adult", "bet", "bets", "bonus", "buy", "casino", "cheap", "click", "deal", "deals", "farm", "free", "loan", "pills", "promo", "replica", "spam", "track", "win")
-SUFFIXES = ("com", "net", "org", "info", "io", "de", "fr", "es")
-
-
-def seed_urls(n: int = 6000, seed: int = 5) -> list[tuple[str, int]]:
+def labelled(urls: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, int]]:
+    """Labelled urls of a table (url, label: 1 block, 0 allow) for fit(): the max_rows least by a hash of the url."""
+    rows = urls.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).dropna()
+    return [(r.url, int(r.label > 0)) for r in rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows).collect()]
+
+
+TOPICS = (
+    "news science travel garden music history weather kitchen library museum sports school health energy forum photo market nature city river mountain recipe film art game tech data code open world daily local north south house book "
+    "wiki guide press review journal academy bank insurance university hospital council studio radio coffee bicycle car boat train ticket shop store law tax math physics space ocean forest bird dog cat horse wine bread tea"
+).split()
+LURES = "free win bonus casino bet pills cheap replica loan prize gift verify secure account login update support wallet crypto invest deal hot adult date click promo crack keygen torrent stream full download".split()
+COMMON, ABUSED = ("com", "org", "net", "de", "fr", "es", "uk", "edu", "gov", "io", "info", "eu"), ("top", "xyz", "click", "icu", "live", "info", "ru", "cn", "loan", "win", "com", "net")
+
+
+def _name(r: random.Random, bad: bool) -> str:
+    """What stands before the suffix."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = r.choices(TOPICS, k=r.choice((1, 1, 2, 2, 3)))
+    if not bad:
+        return r.choice(("-", "-", "", "")).join(words) + r.choice(("", "", "", "", str(r.randint(1, 365))))
+    kind = r.random()
+    if kind < 0.35:
+        return r.choice(("-", "", "")).join(r.sample(LURES, r.choice((2, 2, 3)))) + r.choice(("", "", str(r.randint(1, 9999))))
+    if kind < 0.65:
+        return "".join(r.choices(letters + "0123456789", k=r.randint(9, 24)))
+    if kind < 0.8:
+        return f"{r.choice(LURES)}-{r.choice(words)}-{r.choice(LURES)}{r.randint(0, 99)}"
+    if kind < 0.9:
+        return "xn--" + "".join(r.choices(letters + "0123456789", k=r.randint(6, 14)))
+    return "-".join(words) + str(r.randint(100, 99999))
+
+
+def _host(r: random.Random, bad: bool) -> str:
+    if r.random() < (0.08 if bad else 0.02):
+        return ".".join(str(r.randint(1, 254)) for _ in range(4)) + r.choice(("", "", ":8080"))
+    suffix = r.choice(ABUSED if bad and r.random() < 0.75 else COMMON)
+    below = r.choice(("", "", "www.", "www.", "m.", "blog.", "en.", f"{r.choice(TOPICS)}.", "static-cdn."))
+    if bad and r.random() < 0.3:
+        below = ".".join(r.sample(LURES, r.randint(1, 3))) + "."
+    middle = r.choice(("", "", "", ".co", ".ac")) if suffix == "uk" else ""
+    return below + _name(r, bad) + middle + "." + suffix + ("" if r.random() < 0.97 else ":443")
+
+
+def _tail(r: random.Random, bad: bool) -> str:
+    """Path, parameters and fragment."""
+    random_text = lambda a, b: "".join(r.choices("abcdefABCDEFxyzXYZ0123456789", k=r.randint(a, b)))
+    parts = []
+    for _ in range(r.choice((0, 1, 1, 2, 2, 3, 4))):
+        parts.append(r.choice((r.choice(TOPICS), "-".join(r.choices(TOPICS, k=r.randint(2, 6))), str(r.randint(1, 99999)), f"{r.randint(1999, 2026)}/{r.randint(1, 12):02d}", r.choice(("en", "de", "fr", "es", "tag", "category", "article", "p", "index.html", "about.php")))))
+    if bad and r.random() < 0.5:
+        parts += [r.choice((random_text(12, 40), r.choice(LURES) + random_text(2, 9), "~" + random_text(5, 9), "wp-content/" + random_text(6, 12) + ".php")) for _ in range(r.randint(1, 4))]
+    path = ("/" + "/".join(parts) if parts else "") + r.choice(("", "", "/"))
+    pairs = [r.choice((f"page={r.randint(1, 40)}", f"id={r.randint(1, 10**6)}", f"q={r.choice(TOPICS)}", "utm_source=feed", "lang=en", f"ref={r.choice(TOPICS)}")) for _ in range(r.choice((0, 0, 0, 0, 1, 1, 2, 3)))]
+    if bad and r.random() < 0.45:
+        pairs += [r.choice((f"redirect=http%3A%2F%2F{random_text(6, 12)}.{r.choice(ABUSED)}", f"sid={random_text(24, 64)}", f"aff={r.randint(1, 10**8)}", f"token={random_text(16, 40)}%3D")) for _ in range(r.randint(1, 4))]
+    return path + ("?" + "&".join(pairs) if pairs else "") + r.choice(("", "", "", "#top", "#" + r.choice(TOPICS)))
+
+
+def seed_urls(n: int = 12000, seed: int = 5) -> list[tuple[str, int]]:
     """Labelled urls by rule: half to be blocked (1), half to be allowed (0)."""
     r = random.Random(seed)
-    out = []
-    for i in range(n):
-        bad = i % 2
-        if bad:
-            name = r.choice(("-", "-", "-", "-x-", "")).join(r.sample(SALES_WORDS, 2)) + r.choice(("", "", "", "24", "777"))
-            name = name if r.random() < 0.9 else r.choice(SALES_WORDS) + "-" + r.choice("xyz")
-        else:
-            name = "".join(r.choices(SYLLABLES, k=r.randint(2, 4)))
-        host = r.choice(("", "", "www.", "m.", "blog.")) + name + r.choice((".example", "", "")) + "." + r.choice(SUFFIXES)
-        path = r.choice(("", f"/{r.choice(('en', 'de', 'fr', 'es'))}"))
-        path += f"/{r.randint(1, 99999)}" + r.choice(("", "", "/", ".html"))
-        out.append((r.choice(("http", "https")) + "://" + host + path + r.choice(("", "", "#top", "?utm_source=feed", f"?page={r.randint(1, 9)}&ref=x")), bad))
-    return out
+    return [(r.choice(("http", "https", "https")) + "://" + _host(r, bool(i % 2)) + _tail(r, bool(i % 2)), i % 2) for i in range(n)]
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]], model: Trees, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
