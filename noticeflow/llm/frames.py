@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import shutil
 import tempfile
@@ -54,28 +55,67 @@ def partitions(df: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one of this machine, which
+    only a local session can use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="noticeflow-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str, now: bool = True) -> None:
+    """Deletes a folder, now or when the session's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(where, True) if now else files.deleteOnExit(where)
+
+
+_scopes: list[list[str]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once: written to the shared folder and read back, so that a lost executor costs no recomputation.
 
-    checkpoint() would run the last stage twice.
+    checkpoint() would run the last stage twice. The table goes when its scope ends (see scoped), or else with the session.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now on disk
+    _delete(spark, path, now=False)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scoped(f):
+    """f, whose result is saved and whose own saved tables are then deleted."""
+
+    @functools.wraps(f)
+    def wrapped(*args, **kwargs):
+        _scopes.append([])
+        try:
+            out = f(*args, **kwargs)
+            spark = out.sparkSession
+            own, _scopes[-1] = _scopes[-1], []
+            result = saved(out)
+            kept = _scopes[-1]
+        finally:
+            _scopes.pop()
+        if _scopes:
+            _scopes[-1] += kept
+        for path in own:
+            _delete(spark, path)
+        gc.collect()
+        spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now on disk
+        return result
+
+    return wrapped
+
+
 def attached(docs: DataFrame, small: DataFrame, size: Column, how: str, on: tuple[str, ...] = ("_id", "_th")) -> DataFrame:
     """docs joined (on _id and _th) with a saved table; broadcast only if its measured size allows it.
 

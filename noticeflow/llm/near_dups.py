@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.frames import NO_ID, attached, keyed, packed, partitions, saved, unpacked
+from noticeflow.llm.frames import NO_ID, attached, keyed, packed, partitions, saved, scoped, unpacked
 from noticeflow.llm.textkit import Rolling, Slice, column, ids, mix, slices, text_buffers, tidy, valid_windows
 
 WORDS, PERCENT = 5, 75
@@ -311,6 +311,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return attached(docs, wanted, F.lit(16), "inner").select("c", "text").mapInArrow(tidy(run), "c long, shingles binary").dropDuplicates(["c"])
 
 
+@scoped
 def components(links: DataFrame) -> DataFrame:
     """v, comp: the least vertex that each vertex reaches, by alternating large and small stars.
 
@@ -334,6 +335,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("comp")).distinct())
 
 
+@scoped
 def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable, its own included), n_links (confirmed links of
     its class, of a spanning set), kept (doc_id = component_id; null ids count as equal), comp (what tells components
@@ -375,7 +377,7 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
 
     pairs = saved(proposed())
     links = saved(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c"))), percent))
-    comp = saved(components(links))
+    comp = components(links)
     looked_at = in_blocks(saved(with_component(shared.select("key", "c"), comp))).join(signatures, "c")
     columns = ("key", "block", "party", "c", "comp", "visitor", "open", "minima")
     left = saved(together(looked_at.select(*columns)).mapInArrow(tidy(open_rows), "key long, c long").distinct())
@@ -384,7 +386,7 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
         more = saved(together(rows.select(*columns, "shingles")).mapInArrow(tidy(settle(percent)), "a long, b long").distinct())
         if not more.isEmpty():
             links = links.unionByName(more)
-            comp = saved(components(links))
+            comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
     ends = classes.select("c", F.col("rep._id").alias("least")).join(comp, "c", "left").join(degree, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     named = ends.groupBy("comp").agg(F.min("least").alias("component")).join(ends, "comp").select("c", "comp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -396,7 +398,7 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, of which one stays of each component; texts without words all stay."""
-    found = saved(clustered(docs, words, percent))
+    found = clustered(docs, words, percent)
     stay = found.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_th", "comp", "n_shingles")
     winners = stay.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("_id", "_th")).alias("w")).select("w.*")
     winners = saved(winners.unionByName(stay.where("n_shingles = 0").select("_id", "_th").distinct()))

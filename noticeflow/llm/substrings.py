@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.exchange import Combined, Places, as_uint64, deal, decide, groups_of, low_bytes, resolve
-from noticeflow.llm.frames import attached, keyed, partitions, saved
+from noticeflow.llm.frames import attached, keyed, partitions, saved, scoped
 from noticeflow.llm.textkit import Rolling, Slice, column, covered, slices, text_buffers, tidy, valid_windows
 
 WINDOW = 50
@@ -121,12 +121,18 @@ def repeats(docs: DataFrame, hits: DataFrame, window: int, n_buckets: int) -> Da
     return resolve(decide(deal(chosen, places, n_buckets, least_of_each), choose, n_buckets), n_buckets)
 
 
+@scoped
+def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+    """Both steps, for docs with _id and _th; saved."""
+    n = partitions(docs)
+    hits = saved(anchors(docs, window, n))
+    return repeats(docs, hits, window, n)
+
+
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the kept words joined by one space) and the removed runs of words."""
     docs = keyed(docs)
-    n = partitions(docs)
-    hits = saved(anchors(docs, window, n))
-    removed = saved(repeats(docs, hits, window, n))
+    removed = repeated_windows(docs, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

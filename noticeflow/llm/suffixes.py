@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.exchange import Places, as_uint64, deal, decide, resolve
-from noticeflow.llm.frames import attached, keyed, packed, partitions, saved, unpacked
+from noticeflow.llm.frames import attached, keyed, packed, partitions, saved, scoped, unpacked
 from noticeflow.llm.substrings import ranges
 from noticeflow.llm.textkit import BYTE_CODE, Rolling, Slice, column, merged, mix, runs, slices, text_buffers, tidy
 
@@ -308,11 +308,12 @@ def spans(found: DataFrame, more: DataFrame, length: int) -> DataFrame:
     return by_doc.mapInArrow(tidy(join), "_id long, _th long, begins binary, ends binary")
 
 
+@scoped
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """What to cut from each text that has repeats, for docs with _id and _th; saved."""
     n = partitions(docs)
     found = saved(groups(docs, length, n))
-    return saved(spans(found, merged_groups(docs, found, length, n), length))
+    return spans(found, merged_groups(docs, found, length, n), length)
 
 
 def left_over(s: Slice, d: int, begins: np.ndarray, ends: np.ndarray) -> bytes:
