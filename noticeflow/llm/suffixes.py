@@ -5,17 +5,18 @@ A string of ``length`` bytes that starts at two places of the corpus is found at
 1. Segments. Of the hashes of the ``length // 2``-byte grams of a string the least, leftmost one is its anchor, so
    equal strings have equal anchors at equal offsets. The strings of a text fall into runs that share an
    anchor; a run and its bytes make a segment (up to 1.5 * length bytes). Segments are dealt by anchor hash (see
-   exchange.py). Equal segments are one text with a count; where a group has but one text, merging is
-   trivial: its strings are repeated if the count is over one.
-2. Groups with several texts go on with one occurrence of each text, the first by slice and place. Within a panel of groups, texts are
+   exchange.py); a group is the segments of one anchor. Equal segments of a group are one text with a weight, how
+   often it occurs. A group of one text of weight 1 has no repeats; nor has its bytes anywhere else.
+2. The texts of all other groups, the first occurrence of each by slice and place, are merged. Within a panel of groups, texts are
    packed into shards; each shard gets its suffix order to depth ``length`` and its transform over letters of
    ``step`` bytes: for each suffix, the letter before it. The transforms are merged by interleave refinement: an
    interleave that is right to j letters, sorted stably by the letter before each suffix and moved to the
    suffixes that begin with it, is right to j + 1. No suffixes of different shards are compared. The round
-   in which a boundary between neighbours appears gives their common prefix; neighbours with none after
-   length / step rounds share ``length`` bytes: an interval of repeated strings.
+   in which a boundary between neighbours appears gives their common prefix; suffixes between which none appears in
+   length / step rounds share ``length`` bytes and are an interval. An interval whose texts weigh more than 1 together is
+   a repeated string. The other occurrences of a text take the answer of the one that was merged.
    A group of more than HOT texts is split first: its strings by their offset from the anchor, CLASS offsets each,
-   and by the bytes that all strings of such a class hold; equal parts are one text a task with a count.
+   and by the bytes that all strings of such a class hold; equal parts are one text a task with the sum of their weights.
 3. The bytes that repeated strings cover are cut.
 
 Texts end with letters that occur once, so that no match crosses documents.
@@ -43,8 +44,11 @@ LENGTH = 400
 PANEL, SHARD = 1 << 19, 1 << 17
 HOT, CLASS = 512, 25
 CHUNK = 1 << 23
+PLACE = ("ids", "ths", "at", "weights")  # of the places that a text to be merged stands at
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, begins array<int>, ends array<int>"
-WHOLE, SEVERAL, MANY = 0, 1, 2  # kinds: all strings of the segment repeat; its group has several texts; or more than HOT
+#: Kinds of answers: a segment whose text weighs more than 1; the first occurrence of a text that is to be merged, by whether
+#: it weighs more than 1 and whether its group has more than HOT texts.
+HEAVY, FIRST, FIRST_HEAVY, HOT_FIRST, HOT_FIRST_HEAVY = range(5)
 
 
 def minimizers(g: np.ndarray, w: int) -> np.ndarray:
@@ -96,14 +100,12 @@ def groups(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
         new_h = np.r_[True, h[order][1:] != h[order][:-1]]
         new_text = new_h | np.r_[True, text[order][1:] != text[order][:-1]]
         group, one = np.cumsum(new_h) - 1, np.cumsum(new_text) - 1
-        copies, texts = np.bincount(one), np.bincount(group[new_text])
-        lone = np.bincount(group[new_text], weights=copies[one[new_text]] == 1) > 0  # without such a text all is known
-        whole, several = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        whole[order] = copies[one] > 1
-        several[order] = new_text & (texts[group] > 1) & lone[group]
-        many = np.zeros(len(h), bool)
-        many[order] = texts[group] > HOT
-        return {WHOLE: whole, SEVERAL: several & ~many, MANY: several & many}
+        weight, texts = np.bincount(one), np.bincount(group[new_text])
+        heavy, first, hot = (np.zeros(len(h), bool) for _ in range(3))
+        heavy[order] = weight[one] > 1
+        first[order] = new_text & ((texts[group] > 1) | (weight[one] > 1))
+        hot[order] = texts[group] > HOT
+        return {HEAVY: heavy, FIRST: first & ~heavy & ~hot, FIRST_HEAVY: first & heavy & ~hot, HOT_FIRST: first & ~heavy & hot, HOT_FIRST_HEAVY: first & heavy & hot}
 
     if length > 1 << 16:
         raise ValueError("length is 65536 at most: the number of strings of a segment takes two bytes")
@@ -171,8 +173,9 @@ def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray,
     return shard, now - base[shard], boundary
 
 
-def repeated(texts: list[np.ndarray], length: int, step: int, shard_bytes: int = SHARD) -> list[np.ndarray]:
-    """For each text, the starts of its strings of length bytes that start elsewhere in the texts too."""
+def repeated(texts: list[np.ndarray], weights: list[int], length: int, step: int, shard_bytes: int = SHARD) -> list[np.ndarray]:
+    """For each text, the starts of its strings of length bytes that start elsewhere in the texts too, a text of weight w
+    standing for w equal ones."""
     rounds = length // step
     sizes = np.array([len(t) for t in texts]) + 1  # a place after each text for its end
     bounds = np.r_[0, np.cumsum(sizes)]
@@ -191,13 +194,14 @@ def repeated(texts: list[np.ndarray], length: int, step: int, shard_bytes: int =
             cuts.append(i + 1)
     shards = [Transform(letters[bounds[i] : bounds[j]], step, rounds) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     shard, rank, boundary = merge(shards, rounds)
-    same = boundary == 0
-    hit = np.flatnonzero(same | np.r_[same[1:], False])
-    where = np.empty(len(hit), np.int64)
+    where = np.empty(n, np.int64)
     for k, t in enumerate(shards):
-        own = shard[hit] == k
-        where[own] = t.order[rank[hit][own]] + bounds[cuts[k]]
-    where.sort()
+        own = shard == k
+        where[own] = t.order[rank[own]] + bounds[cuts[k]]
+    interval = np.cumsum(boundary > 0) - 1
+    inside = np.repeat(bounds[1:], sizes) - 1 - np.arange(n) >= length  # whole strings; others share with none
+    weigh = np.where(inside, np.repeat(np.asarray(weights, np.int64), sizes), 0)
+    where = np.sort(where[(np.bincount(interval, weigh[where])[interval] > 1) & inside[where]])
     at = np.searchsorted(where, bounds)
     return [where[at[i] : at[i + 1]] - bounds[i] for i in range(len(texts))]
 
@@ -236,18 +240,19 @@ def merged_groups(docs: DataFrame, found: DataFrame, length: int, n_buckets: int
             for batch in batches:
                 data, offsets = text_buffers(column(batch, "text"))
                 who, th = column(batch, "_id").to_numpy(), column(batch, "_th").to_numpy()
-                texts: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}  # equal texts of a group: one row a batch
+                weight = 1 + np.isin(column(batch, "kind").to_numpy(), (FIRST_HEAVY, HOT_FIRST_HEAVY))
+                texts: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}  # equal texts of a group: one row a batch
                 for s in slices(data, offsets):
                     begin, end, h, anchor, doc = chosen_segments(s, batch)
                     if split and len(begin):
                         begin, end, h, doc = parts(begin, end, h, anchor, doc, s)
-                    for x, y, key, d in zip(begin, end, h.view(np.int64), doc, strict=True):
-                        texts.setdefault((int(key), s.buf[x : y + length].tobytes()), []).append((int(who[s.i + d]), int(th[s.i + d]), int(x - s.bounds[d])))
-                rows = [(key, text, [np.array(c).tobytes() for c in zip(*places, strict=True)]) for (key, text), places in texts.items()]
+                    for x, y, key, d in zip(begin.tolist(), end.tolist(), h.view(np.int64).tolist(), doc.tolist(), strict=True):
+                        texts.setdefault((key, s.buf[x : y + length].tobytes()), []).append((who[s.i + d], th[s.i + d], x - s.bounds[d], weight[s.i + d]))
+                rows = [(key, text, [np.array(c, np.int64).tobytes() for c in zip(*places, strict=True)]) for (key, text), places in texts.items()]
                 for i in range(0, len(rows), 2000):
                     key, text, places = zip(*rows[i : i + 2000], strict=True)
                     route = (np.array(key).view(np.uint64) >> np.uint64(32)) % np.uint64(n_buckets)
-                    yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int32)), pa.array(key, pa.int64()), pa.array(text, pa.binary()), *(pa.array([p[k] for p in places], pa.binary()) for k in range(3))], ["bucket", "h", "bytes", "ids", "ths", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(route.astype(np.int32)), pa.array(key, pa.int64()), pa.array(text, pa.binary()), *(pa.array([p[k] for p in places], pa.binary()) for k in range(4))], ["bucket", "h", "bytes", *PLACE])
 
         return run
 
@@ -255,7 +260,7 @@ def merged_groups(docs: DataFrame, found: DataFrame, length: int, n_buckets: int
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("h", "bytes", "ids", "ths", "at")), strict=True):
+            for row in zip(*(column(batch, c).to_pylist() for c in ("h", "bytes", *PLACE)), strict=True):
                 if size >= PANEL and row[0] != held[-1][0]:  # rows come by group: a panel holds whole groups
                     yield from panel(held)
                     held, size = [], 0
@@ -265,28 +270,27 @@ def merged_groups(docs: DataFrame, found: DataFrame, length: int, n_buckets: int
             yield from panel(held)
 
     def panel(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        same: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        same: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
         for h, text, *places in rows:
             same.setdefault((h, text), []).extend(zip(*(np.frombuffer(p, np.int64).tolist() for p in places), strict=True))
-        starts = repeated([np.frombuffer(text, np.uint8) for _, text in same], length, step)
+        starts = repeated([np.frombuffer(text, np.uint8) for _, text in same], [sum(w for *_, w in places) for places in same.values()], length, step)
         out = []
-        for ((_, text), places), found in zip(same.items(), starts, strict=True):
-            found = found if len(places) == 1 else np.arange(len(text) - length + 1)  # several places: all of it repeats
+        for places, found in zip(same.values(), starts, strict=True):
             if len(found):
                 begin, end = runs(found)
-                out += [(a, b, (begin + c).astype(np.uint32).tobytes(), (end + c).astype(np.uint32).tobytes()) for a, b, c in places]
+                out += [(a, b, (begin + c).astype(np.uint32).tobytes(), (end + c).astype(np.uint32).tobytes()) for a, b, c, _ in places]
         if out:
             c = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["_id", "_th", "begins", "ends"])
 
-    def dealt(kind: int) -> DataFrame:
-        chosen = attached(docs, found.where(F.col("kind") == kind).select("_id", "_th", "begins", "ends"), F.length("begins") * 2, "inner")
-        return chosen.select("_id", "_th", "text", "begins", "ends").mapInArrow(tidy(cut(kind == MANY)), "bucket int, h long, bytes binary, ids binary, ths binary, at binary")
+    def dealt(kinds: tuple[int, int]) -> DataFrame:
+        chosen = attached(docs, found.where(F.col("kind").isin(*kinds)).select("_id", "_th", "kind", "begins", "ends"), F.length("begins") * 2, "inner")
+        return chosen.select("_id", "_th", "kind", "text", "begins", "ends").mapInArrow(tidy(cut(HOT_FIRST in kinds)), "bucket int, h long, bytes binary, " + ", ".join(f"{x} binary" for x in PLACE))
 
-    texts = dealt(SEVERAL)
-    if not found.where(F.col("kind") == MANY).isEmpty():
-        texts = texts.unionByName(dealt(MANY))
-    rows = texts.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("h").select("h", "bytes", "ids", "ths", "at")
+    texts = dealt((FIRST, FIRST_HEAVY))
+    if not found.where(F.col("kind") >= HOT_FIRST).isEmpty():
+        texts = texts.unionByName(dealt((HOT_FIRST, HOT_FIRST_HEAVY)))
+    rows = texts.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("h").select("h", "bytes", *PLACE)
     return rows.mapInArrow(tidy(run), "_id long, _th long, begins binary, ends binary")
 
 
@@ -303,7 +307,7 @@ def spans(found: DataFrame, more: DataFrame, length: int) -> DataFrame:
                 e.append(hi.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([column(batch, "_id"), column(batch, "_th"), pa.array(b, pa.binary()), pa.array(e, pa.binary())], ["_id", "_th", "begins", "ends"])
 
-    rows = found.where(F.col("kind") == WHOLE).select("_id", "_th", "begins", "ends").unionByName(more)
+    rows = found.where(F.col("kind") == HEAVY).select("_id", "_th", "begins", "ends").unionByName(more)
     by_doc = rows.groupBy("_id", "_th").agg(F.collect_list("begins").alias("b"), F.collect_list("ends").alias("e"))
     return by_doc.mapInArrow(tidy(join), "_id long, _th long, begins binary, ends binary")
 
