@@ -38,9 +38,12 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--audit", default="data/audit")
     a = sub.add_parser("taxonomy", help="turn a wide sheet into JSON")
     a.add_argument("file")
+    a.add_argument("--out", default=None, help="write a JSON file there")
     args = p.parse_args(argv)
     spark = session()
     index, provider = Index(spark, args.index), LocalProvider()
+    if args.command in ("ingest", "taxonomy") and not readers.exists(spark, args.file):
+        raise SystemExit(f"Error: File {args.file} not found.")
     if args.command == "ingest":
         words = [r[0] for r in taxonomy.flat(readers.read_taxonomy(spark, args.taxonomy)).collect()] if args.taxonomy else []
         run_file(readers.read_table(spark, args.file), index, provider, taxonomy.as_array(words), args.offset, args.limit)
@@ -57,7 +60,11 @@ def main(argv: list[str] | None = None) -> None:
         audit.repair(index, args.audit, dry_run=not args.write).show(truncate=False)
     elif args.command == "taxonomy":
         sheet = readers.read_csv(spark, args.file, raw=False) if args.file.endswith(".csv") else readers.read_xlsx(spark, args.file)
-        print(taxonomy.to_json(taxonomy.by_sector(taxonomy.from_wide(sheet.withColumn("_row", F.monotonically_increasing_id()), "_row"))).first()[0])
+        sectors = taxonomy.by_sector(taxonomy.from_wide(sheet.withColumn("_row", F.monotonically_increasing_id()), "_row"))
+        if args.out:
+            taxonomy.write_json(sectors, args.out)
+        else:
+            print(taxonomy.to_json(sectors).first()[0])
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ from noticeflow.operators.index import Index, missing, sample
 from noticeflow.operators.search import nearest
 from noticeflow.plans.predicates import from_intent
 from noticeflow.providers.base import Provider
+from noticeflow.sources.readers import append_jsonl
 
 
 def reclassify(table: DataFrame, kind: str = "procurement_type", title: str = "original_title", key: str = "id", keywords=classify.KEYWORDS) -> DataFrame:
@@ -29,7 +30,7 @@ def repair(index: Index, audit_path: str, dry_run: bool = True) -> DataFrame:
     table = index.read()
     if not dry_run:
         changes = reclassify(table)
-        changes.write.mode("append").json(audit_path)
+        append_jsonl(changes, audit_path)
         index.update(changes.select("id", F.col("new_type").alias("procurement_type")))
     return reclassify_counts(table)
 

@@ -3,7 +3,8 @@
 An upsert writes only its own rows, as a delta, and then the next manifest, so its cost follows the batch and not the
 table; readers see the old table or the new one whole, and a job that dies in between leaves the old one in place.
 A read lays the deltas, last wins, over the base; predicates reach the scans of both. After MAX_DELTAS deltas the
-next write compacts all into a new base.
+next write compacts all into a new base. A commit is a rename that fails if the manifest is there: HDFS and local file
+systems have it; on an object store without atomic renames a table may have one writer at a time only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ MAX_DELTAS = 16
 
 
 class Index:
-    """Paths go through Hadoop's file systems, so any store that Spark reads will do."""
+    """Paths go through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType = INDEX, key: str = "id"):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
@@ -149,5 +150,11 @@ def sample(table: DataFrame, n: int = 2000, key: str = "id") -> DataFrame:
     return table.orderBy(key).limit(n)
 
 
+def collection(spark: SparkSession, name: str = "tenders_v1", root: str | None = None, schema: StructType = INDEX, key: str = "id") -> Index:
+    """The index of that name below root (spark.noticeflow.collections, or else the warehouse); a new one if there is none."""
+    root = root or spark.conf.get("spark.noticeflow.collections", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return Index(spark, f"{root.rstrip('/')}/{name}", schema, key)
+
+
 def collections(spark: SparkSession) -> list[str]:
     return [t.name for t in spark.catalog.listTables()]

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from noticeflow.functions import cleaning, text
-from noticeflow.providers.base import Provider
-from noticeflow.schemas import ENRICHMENT, INDEX, NO_DESCRIPTION, SKIPPED_NOTE
+from noticeflow.providers.base import Provider, enrich_batch, opened
+from noticeflow.schemas import ENRICHMENT, INDEX, INTENT, NO_DESCRIPTION, SKIPPED_NOTE
 from noticeflow.sources.readers import ROW
 
 CHUNK_ROWS, MODEL_ROWS = 500, 50
@@ -47,7 +47,8 @@ def _stub(title: Column, note: str) -> Column:
 
 
 def enriched(rows: DataFrame, provider: Provider, keywords: Column) -> DataFrame:
-    """rows with their enrichment's columns laid over them. Rejected rows get a stub and never reach the provider."""
+    """rows with their enrichment's columns laid over them. Rejected rows get a stub and never reach the provider, which is
+    opened once a partition and asked for MODEL_ROWS notices at a time. A notice that it fails on keeps the error."""
     title = cleaning.title_of(F.col("Summary"), F.col("Title"))
     description = F.coalesce(cleaning.present(F.col("Description")), F.lit(NO_DESCRIPTION))
     fields = [f.name for f in ENRICHMENT]
@@ -57,15 +58,19 @@ def enriched(rows: DataFrame, provider: Provider, keywords: Column) -> DataFrame
     stubs = packed.where(~wanted).select("row", _stub(F.col("title"), SKIPPED_NOTE).alias("e"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = opened(provider)
         for batch in batches:
             answers = []
-            for t, d in zip(batch["title"], batch["description"], strict=True):
-                try:
-                    a = provider.enrich(t, d) | {"note": None, "error": None}
-                except Exception as e:
-                    a = {"core_domain": "Unclassified", "project_tags": [], "procurement_type": "Unknown", "search_keywords": [], "entities": {}, "signal_summary": t, "note": None, "error": str(e)}
-                a["entities"] = {f.name: (a.get("entities") or {}).get(f.name) for f in ENRICHMENT["entities"].dataType}
-                answers.append({n: a.get(n) for n in fields})
+            notices = list(zip(batch["title"], batch["description"], strict=True))
+            for i in range(0, len(notices), MODEL_ROWS):
+                part = notices[i : i + MODEL_ROWS]
+                for (t, _), got in zip(part, enrich_batch(model, part), strict=True):
+                    if isinstance(got, Exception):
+                        a = {"core_domain": "Unclassified", "project_tags": [], "procurement_type": "Unknown", "search_keywords": [], "entities": {}, "signal_summary": t, "note": None, "error": str(got) or type(got).__name__}
+                    else:
+                        a = got | {"note": None, "error": None}
+                    a["entities"] = {f.name: (a.get("entities") or {}).get(f.name) for f in ENRICHMENT["entities"].dataType}
+                    answers.append({n: a.get(n) for n in fields})
             yield pd.DataFrame({"row": batch["row"], "e": answers})
 
     answered = packed.where(wanted).mapInPandas(run, StructType([StructField("row", nullable(packed.schema["row"].dataType)), StructField("e", ENRICHMENT)]))
@@ -81,19 +86,46 @@ def embedded(df: DataFrame, provider: Provider, column: str = "document") -> Dat
     """df with an embedding of a text column."""
 
     @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for i in range(0, len(texts), MODEL_ROWS):
-            out += provider.embed(texts.iloc[i : i + MODEL_ROWS].fillna("").tolist())
-        if any(len(v) != provider.dimension for v in out):
-            raise ValueError(f"the provider gave vectors that are not of its dimension {provider.dimension}")
-        return pd.Series(out)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = opened(provider)
+        for texts in batches:
+            out = []
+            for i in range(0, len(texts), MODEL_ROWS):
+                out += model.embed(texts.iloc[i : i + MODEL_ROWS].fillna("").tolist())
+            if any(len(v) != provider.dimension for v in out):
+                raise ValueError(f"the provider gave vectors that are not of its dimension {provider.dimension}")
+            yield pd.Series(out)
 
     return df.withColumn("embedding", embed(F.col(column)))
 
 
-def metadata(e: DataFrame) -> DataFrame:
-    """Index rows without embeddings of enriched rows; failures and empty signals are left out."""
+def dead_letters(e: DataFrame) -> DataFrame:
+    """What enriched rows don't reach the index, and why: the provider's error, or an empty signal."""
+    title = cleaning.title_of(F.col("Summary"), F.col("Title"))
+    empty = F.when(F.coalesce("signal_summary", F.lit("")) == "", F.lit("empty signal"))
+    return e.select(F.coalesce("RefNo", "TOT_ID").alias("ref_no"), title.alias("title"), F.coalesce("error", empty).alias("error")).where("error is not null")
+
+
+def intents(queries: DataFrame, provider: Provider, column: str = "query") -> DataFrame:
+    """queries with the intent of each (INTENT); a query that the provider fails on has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = opened(provider)
+        for batch in batches:
+            out = []
+            for q in batch[column]:
+                try:
+                    out.append(model.intent(q or ""))
+                except Exception:
+                    out.append({})
+            yield batch.assign(**{f.name: [x.get(f.name) for x in out] for f in INTENT})
+
+    return queries.mapInPandas(run, StructType([*(f for f in queries.schema if f.name not in INTENT.names), *INTENT]))
+
+
+def metadata(e: DataFrame, *more: str) -> DataFrame:
+    """Index rows without embeddings of enriched rows, with more of their columns; failures and empty signals are left out
+    (dead_letters has them)."""
     unknown = lambda c, d="Unknown": F.coalesce(F.col(c), F.lit(d))
     good = e.where(F.col("error").isNull() & (F.coalesce("signal_summary", F.lit("")) != ""))
     title = cleaning.title_of(F.col("Summary"), F.col("Title"))
@@ -106,7 +138,7 @@ def metadata(e: DataFrame) -> DataFrame:
         unknown("Country").alias("country"), text.prefix(title, text.TITLE_CHARS).alias("original_title"),
         text.prefix(F.coalesce(cleaning.present(F.col("Description")), cleaning.present(F.col("signal_summary")), F.lit("")), text.DESCRIPTION_CHARS).alias("description"),
         unknown("Closing_Date", "N/A").alias("closing_date"), unknown("Tender_Notice_Document", "#").alias("url"), own_id.alias("ref_no"), unknown("TOT_ID", "N/A").alias("tot_id"),
-        text.is_corrigendum(title).alias("is_corrigendum"),
+        text.is_corrigendum(title).alias("is_corrigendum"), *more,
     )
 
 
@@ -120,7 +152,12 @@ def authority_name(authority: Column, purchaser: Column) -> Column:
     return F.when(authority.isin("Unknown", "N/A") & (F.coalesce(purchaser, F.lit("")) != ""), text.prefix(purchaser, text.PURCHASER_CHARS)).otherwise(authority)
 
 
-def index_rows(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None) -> DataFrame:
-    """The whole path from indexed raw rows to index rows."""
-    unique = first_of_each(cleaned(raw), chunk=chunk)
-    return embedded(metadata(enriched(unique.drop(ROW), provider, keywords)), provider).select(*(f.name for f in INDEX))
+def enriched_once(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None) -> DataFrame:
+    """Indexed raw rows, cleaned, de-duplicated and enriched; they keep their row number."""
+    return enriched(first_of_each(cleaned(raw), chunk=chunk), provider, keywords)
+
+
+def index_rows(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None, *more: str) -> DataFrame:
+    """The whole path from indexed raw rows to index rows; more: columns that travel along (the row number, say)."""
+    e = enriched_once(raw, provider, keywords, chunk)
+    return embedded(metadata(e, *more), provider).select(*(f.name for f in INDEX), *more)

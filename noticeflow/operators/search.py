@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from noticeflow.functions import scoring, text
 from noticeflow.operators.index import get
 from noticeflow.plans.predicates import from_intent
-from noticeflow.providers.base import Provider
-from noticeflow.storage import new_path
+from noticeflow.providers.base import Fetcher, Provider, page_of
+from noticeflow.storage import written
 
-#: Queries that are broadcast and compared with all rows at a time.
-MAX_QUERIES = 10000
+#: Queries, and bytes of their vectors, that are broadcast and compared with all rows at a time.
+MAX_QUERIES, QUERY_BYTES = 10000, 32 << 20
 
 
 def vector(values: list[float]) -> Column:
@@ -29,38 +34,106 @@ def nearest(table: DataFrame, query: list[float], k: int, where: Column | None =
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
 
 
-def nearest_many(table: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2", key: str = "id") -> DataFrame:
-    """The k nearest rows for each query (query_id, query_embedding).
+def nearest_many(table: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2", key: str = "id", cells_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The k nearest rows for each query (query_id, query_embedding), with distance and rank; ties go to the smaller key.
 
-    Queries are compared with all rows, at most MAX_QUERIES at a time: more are dealt by a hash of query_id into
-    blocks, each of which is run and written before the next, so one block at a time is broadcast. Rows of one
-    query_id stay together. Each task keeps its k best for each query before the shuffle.
+    Queries are compared with all rows, a block of at most MAX_QUERIES and QUERY_BYTES at a time: more are dealt by a hash
+    of query_id into blocks, each of which is run and written before the next, so one block at a time is broadcast. Rows
+    are read as Arrow batches; a task multiplies blocks of them with the block of queries and keeps its k best for each
+    query, which alone are shuffled. Exact: near candidates' distances are taken again from the differences.
+    cells_of: of each query vector the cells that it looks at; rows then have a ``cell`` and meet the queries of theirs.
     """
-    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
-        return _nearest_block(table, queries, k, metric, key)
-    queries = _written(queries.select("query_id", "query_embedding"))
+    queries = written(queries.select("query_id", "query_embedding"), "queries")
     by_id = queries.groupBy("query_id").agg(F.count("*").alias("n"))
-    n, most = by_id.agg(F.sum("n"), F.greatest(F.max("n"), F.lit(MAX_QUERIES))).first()
-    blocks = -(-n // MAX_QUERIES)
+    n, most = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    width = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
+    room = max(1, min(MAX_QUERIES, QUERY_BYTES // (8 * width)))
+    if n <= room:
+        return _nearest_block(table, queries, k, metric, key, cells_of)
+    blocks = -(-n // room)
     block = lambda: F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    while by_id.groupBy(block().alias("block")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > most:
+    while by_id.groupBy(block().alias("block")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > max(room, most):
         blocks += max(1, blocks // 8)
-    out = [_written(_nearest_block(table, queries.where(block() == b), k, metric, key)) for b in range(blocks)]
+    out = [written(_nearest_block(table, queries.where(block() == b), k, metric, key, cells_of), "nearest") for b in range(blocks)]
     return reduce(DataFrame.unionByName, out)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = new_path(df.sparkSession, "nearest")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _nearest_block(table: DataFrame, queries: DataFrame, k: int, metric: str, key: str) -> DataFrame:
-    pairs = table.join(F.broadcast(queries), how="cross").withColumn("distance", scoring.METRICS[metric](F.col("embedding"), F.col("query_embedding")))
-    slot = F.pmod(F.xxhash64(key), F.lit(64))
-    part = F.row_number().over(Window.partitionBy("query_id", slot).orderBy("distance", key))
-    best = pairs.select("query_id", key, "distance").withColumn("_n", part).where(F.col("_n") <= k).drop("_n")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
+def _distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """[queries, rows], by one matrix product: exact but for rounding."""
+    dot = queries @ rows.T
+    a, b = (rows * rows).sum(1), (queries * queries).sum(1)
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1 - dot / np.sqrt(b[:, None] * a[None, :])
+    return np.maximum(a[None, :] + b[:, None] - 2 * dot, 0)
+
+
+def _exact(rows: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1 - (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
+    d = ((rows - query) ** 2).sum(1)
+    return np.sqrt(d) if metric == "l2" else d
+
+
+def _nearest_block(table: DataFrame, queries: DataFrame, k: int, metric: str, key: str, cells_of: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    asked = queries.where("query_embedding is not null").toPandas()
+    ids = asked["query_id"].tolist()
+    vectors = np.array([np.asarray(v, float) for v in asked["query_embedding"]]) if len(asked) else np.zeros((0, 0))
+    of_cell: dict[int, np.ndarray] | None = None
+    if cells_of is not None:
+        cells = cells_of(vectors) if len(ids) else np.zeros((0, 0), int)
+        table = table.where(F.col("cell").isin([int(c) for c in np.unique(cells)]))
+        order = np.argsort(cells.ravel(), kind="stable")
+        named, first = np.unique(cells.ravel()[order], return_index=True)
+        of_cell = dict(zip(named.tolist(), np.split(order // max(1, cells.shape[1] if cells.ndim > 1 else 1), first[1:]), strict=True)) if len(named) else {}
+    shared = table.sparkSession.sparkContext.broadcast((ids, vectors, of_cell))
+
+    def meetings(cells: np.ndarray | None, of_cell: dict[int, np.ndarray] | None, n: int) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+        """Which rows of a batch meet which queries."""
+        if of_cell is None:
+            yield slice(None), np.arange(n)
+            return
+        for c in np.unique(cells):
+            if int(c) in of_cell:
+                yield np.flatnonzero(cells == c), of_cell[int(c)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, of_cell = shared.value
+        best: list[list[tuple]] = [[] for _ in ids]
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows or not len(ids):
+                continue
+            keys, lists = batch.column(0), batch.column(1)
+            every = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+            for here, who, q in ((h, w, q) for h, w in meetings(batch.column(2).to_numpy() if of_cell is not None else None, of_cell, len(ids)) for q in range(0, len(w), 256)):
+                rows, at = every[here], np.arange(len(lists))[here]
+                asking = who[q : q + 256]
+                near = _distances(rows, vectors[asking], metric)
+                more = min(near.shape[1], k + 8)  # rounding may change the order of the nearest few
+                first = np.argpartition(near, more - 1, axis=1)[:, :more] if more < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
+                cut = np.take_along_axis(near, first, 1).max(1)
+                for j, asker in enumerate(asking):
+                    pick = np.flatnonzero(near[j] <= cut[j] + 1e-9 * (1 + abs(cut[j])))  # ties of the last one are not lost
+                    exact = _exact(rows[pick], vectors[asker], metric)
+                    own = best[asker]
+                    limit = own[-1][0] if len(own) == k else np.inf
+                    new = at[pick[exact <= limit]]
+                    if len(new):
+                        own += zip(exact[exact <= limit].tolist(), keys.take(pa.array(new)).to_pylist(), strict=True)
+                        own.sort()
+                        del own[k:]
+        found = [(i, y, d) for i, own in zip(ids, best, strict=True) for d, y in own]
+        for i in range(0, len(found), 10000):
+            a, b, d = zip(*found[i : i + 10000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, types[0]), pa.array(b, types[1]), pa.array(d, pa.float64())], ["query_id", key, "distance"])
+
+    rows = table.select(key, F.col("embedding").cast("array<double>").alias("embedding"), *(["cell"] if cells_of is not None else []))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField(key, rows.schema[key].dataType), StructField("distance", DoubleType())])
+    types = [to_arrow_type(f.dataType) for f in schema]
+    top = rows.mapInArrow(run, schema)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
 
 
 def guarded(hits: DataFrame, k: int, word: str = text.CORRIGENDUM, key: str = "id") -> DataFrame:
@@ -85,7 +158,7 @@ def search(table: DataFrame, query: str, provider: Provider, k: int = 20, includ
 
 
 def response(hits: DataFrame) -> DataFrame:
-    """The rows that a search answers with: scores, labels and metadata with defaults."""
+    """The rows that a search answers with: scores, labels and metadata. The defaults of missing values are fixed values."""
     either = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     score = scoring.calibrated(F.col("distance"))
     return hits.select(
@@ -102,17 +175,25 @@ def envelope(query: str, answer: DataFrame, began: float) -> dict:
     return {"query": query, "count": len(rows), "latency_seconds": round(time.time() - began, 3), "results": rows}
 
 
-def chat(table: DataFrame, notice_id: str, question: str, provider: Provider, pages: DataFrame | None = None) -> str:
-    """An answer from one notice and, if at hand, its stored page (url, html)."""
+# What a chat answers without a notice, and on an error.
+NOT_FOUND, CHAT_ERROR = "Tender not found.", "Sorry, I encountered an error analyzing this tender."
+
+
+def chat(table: DataFrame, notice_id: str, question: str, provider: Provider, pages: DataFrame | None = None, fetcher: Fetcher | None = None) -> str:
+    """An answer from one notice and its page: fetched live, or, if at hand, stored (url, html)."""
     try:
         row = get(table, notice_id)
-        if pages is not None:
+        if fetcher is not None:
+            here = row.select("url").first()
+            html = page_of(fetcher, here["url"]) if here else None
+            row = row.withColumn("page", text.html_to_text(F.lit(html).cast("string")))
+        elif pages is not None:
             page = pages.where(F.col("url").startswith("http")).select("url", text.html_to_text(F.col("html")).alias("page"))
             row = row.join(page, "url", "left")
         else:
             row = row.withColumn("page", F.lit(None).cast("string"))
         context = text.chat_context(*(F.col(c) for c in ("original_title", "description", "authority_name", "location_city", "location_state", "country", "closing_date", "url", "document", "page")))
         found = row.select(context.alias("c")).first()
-        return provider.chat(found["c"], question) if found else "Tender not found."
+        return provider.chat(found["c"], question) if found else NOT_FOUND
     except Exception:
-        return "Sorry, I encountered an error analyzing this tender."
+        return CHAT_ERROR

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,18 @@ def to_json(sectors: DataFrame) -> DataFrame:
     return sectors.agg(F.to_json(whole).alias("taxonomy"))
 
 
+def write_json(sectors: DataFrame, path: str) -> None:
+    """The taxonomy as a JSON file, indented by 2, other letters than ASCII kept; a taxonomy has a few thousand words."""
+    found = {r["sector"]: r["keywords"] for r in sectors.orderBy("sector").collect()}
+    spark = sectors.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(json.dumps(found, indent=2, ensure_ascii=False).encode()))
+    finally:
+        stream.close()
+
+
 def flat(rows: DataFrame) -> DataFrame:
     """Distinct lower-cased keywords."""
     return rows.select(F.lower("keyword").alias("keyword")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -28,6 +29,11 @@ BROAD_WORDS = ("drone", "computer", "security guard", "vehicle", "laptop")
 WORD = re.compile(r"\w+")
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
 class LocalProvider:
     def __init__(self, dimension: int = 64, tags: tuple[str, ...] = ()):
         self.dimension, self.tags = dimension, tags
@@ -58,7 +64,7 @@ class LocalProvider:
         for text in texts:
             v = [0.0] * self.dimension
             for w in WORD.findall((text or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+                h = _hash(w)
                 v[h % self.dimension] += 1.0 if h >> 63 else -1.0
             size = math.sqrt(sum(x * x for x in v))
             out.append([x / size for x in v] if size else v)

@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.functions import cleaning, scoring, text
-from noticeflow.operators import audit, evaluate, feedback, index, ingest, search, taxonomy
+from noticeflow.functions import classify, cleaning, scoring, text
+from noticeflow.operators import ann, audit, evaluate, feedback, index, ingest, reports, search, taxonomy
 from noticeflow.plans import predicates
+from noticeflow.providers import local
 from noticeflow.providers.local import LocalProvider
 from noticeflow.schemas import ENRICHMENT, RAW_COLUMNS
 from noticeflow.sources import readers
@@ -226,7 +227,7 @@ def json_fence_parse(spark: SparkSession, d: str) -> DataFrame:
 def jsonl_scan_corrupt(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
-    line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", "), F.substring("props", 2, 10000))
+    line = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", "), F.expr("substr(props, 2)"))
     lines = table(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, F.expr("substr({0}, 1, 8)".format("concat('{\"event', props)"))).otherwise(line).alias("value"))
     return readers.good_json(lines, F.col("value"), StructType([StructField("event_id", LongType()), StructField("k", LongType())]))
 
@@ -424,7 +425,7 @@ def upsert_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 7")
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("doc_id") == 7).select("doc_id", "lang", "n_chars")
+    return index.get(table(spark, d, "documents"), [7], "doc_id", "lang", "n_chars", key="doc_id")
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (3, 14, 15, 92, 65, 100000)")
@@ -434,7 +435,10 @@ def multi_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM documents")
 def collection_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    target = index.Index(spark, new_path(spark, "index"), docs.schema, "doc_id")
+    target.write(docs)
+    return spark.range(1).select(F.lit(target.count()).cast("long").alias("n"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS chunk FROM orders QUALIFY row_idx >= 1000 AND row_idx < 14000")
@@ -453,9 +457,12 @@ def resume_offset(spark: SparkSession, d: str) -> DataFrame:
 # --- files, providers and streams: no SQL -----------------------------------------------------------------
 
 
-@query()
+@query("SELECT md5(octet_length(encode(c)) || '_' || md5(substr(c, 1, 4096))) AS signature FROM (SELECT string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS c FROM customer)")
 def file_signature(spark: SparkSession, d: str) -> DataFrame:
-    return readers.signature(spark.read.format("binaryFile").load(f"{d}/region.parquet"))
+    """Of one file: the customers' names in order, a line each."""
+    path = new_path(spark, "lines")
+    table(spark, d, "customer").coalesce(1).sortWithinPartitions("c_custkey").select("c_name").write.text(path)
+    return readers.signature(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)).select("signature")
 
 
 @query("SELECT (SELECT count(*) FROM nation) AS lines, (SELECT count(*) FROM nation) AS records")
@@ -465,10 +472,32 @@ def count_lines(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(readers.count_lines(spark, path)).cast("long").alias("lines"), F.lit(readers.count_records(spark, path)).cast("long").alias("records"))
 
 
-@query()
+def _any(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _type_sql(text: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_any(text, words)} THEN '{k}'" for k, words in local.TYPE_WORDS) + " ELSE 'Supply' END"
+
+
+def _domains_sql(text: str) -> str:
+    """The domains of a text, joined: a fixed pair for building a hospital, else all whose words it holds."""
+    each = ", ".join(f"CASE WHEN {_any(text, words)} THEN '{k}' END" for k, words in local.DOMAIN_WORDS.items())
+    return f"CASE WHEN contains({text}, 'construction') AND contains({text}, 'hospital') THEN 'Infrastructure|Healthcare' ELSE array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), '|') END"
+
+
+EXPANDED_SQL = "array_to_string(flatten([" + ", ".join(f"CASE WHEN contains(t, '{w}') THEN ['" + "', '".join(more) + "'] ELSE CAST([] AS VARCHAR[]) END" for w, more in local.EXPANSIONS.items()) + "]), '|')"
+
+
+@query(f"""
+SELECT CAST(doc_id AS VARCHAR) AS RefNo, CASE WHEN ok THEN coalesce(nullif(string_split({_domains_sql('t')}, '|')[1], ''), 'Other') ELSE 'Unclassified' END AS core_domain, '' AS project_tags, CASE WHEN ok THEN {_type_sql('t')} ELSE 'Unknown' END AS procurement_type,
+  CASE WHEN ok THEN {EXPANDED_SQL} ELSE '' END AS search_keywords, source AS signal_summary, CASE WHEN NOT ok THEN 'Skipped by Cost Optimizer (Pre-Filter)' END AS note, CAST(NULL AS VARCHAR) AS error, CASE WHEN ok THEN 'Unknown' END AS authority_name
+FROM (SELECT doc_id, source, lower(source || ' ' || text) AS t, {ACCEPT} AS ok FROM documents)
+""")
 def enrich_local(spark: SparkSession, d: str) -> DataFrame:
     e = ingest.enriched(_raw_documents(spark, d), LocalProvider(), taxonomy.as_array(KEYWORDS))
-    return e.select("RefNo", *(f.name for f in ENRICHMENT if f.name != "entities"), "entities.authority_name")
+    lists = {c: F.coalesce(F.array_join(c, "|"), F.lit("")) for c in ("project_tags", "search_keywords")}
+    return e.withColumns(lists).select("RefNo", *(f.name for f in ENRICHMENT if f.name != "entities"), "entities.authority_name")
 
 
 @query()
@@ -476,11 +505,81 @@ def embed_local(spark: SparkSession, d: str) -> DataFrame:
     return ingest.embedded(table(spark, d, "documents").select("doc_id", F.col("text").alias("document")), LocalProvider()).select("doc_id", "embedding")
 
 
-@query()
+ASKED = ("hospital construction", "ear tags", "hiring of vehicles", "supply of solar power", "repair of road", "")
+ASKED_SQL = "[" + ", ".join(f"'{q}'" for q in ASKED) + "]"
+
+
+@query(f"""
+SELECT query, {_domains_sql('query')} AS core_domains, array_to_string(list_filter([{", ".join(f"CASE WHEN {_any('query', words)} THEN '{k}' END" for k, words in local.TYPE_WORDS)}], lambda x: x IS NOT NULL), '|') AS procurement_types,
+  trim(query) AS refined_query, {_any('query', local.BROAD_WORDS)} AS is_broad_query, n
+FROM (SELECT p_name || ' ' || {ASKED_SQL}[p_partkey % {len(ASKED)} + 1] AS query, count(*) AS n FROM part GROUP BY 1)
+""")
 def intent_local(spark: SparkSession, d: str) -> DataFrame:
-    asked = [r["p_name"] for r in table(spark, d, "part").select("p_name").distinct().orderBy("p_name").collect()]
-    provider = LocalProvider()
-    return spark.createDataFrame([(q, *(provider.intent(q)[k] for k in ("core_domains", "procurement_types", "refined_query", "is_broad_query"))) for q in asked], "query string, core_domains array<string>, procurement_types array<string>, refined_query string, is_broad_query boolean")
+    """The intent of each distinct query."""
+    asked = F.concat("p_name", F.lit(" "), F.element_at(F.array(*map(F.lit, ASKED)), (F.col("p_partkey") % len(ASKED) + 1).cast("int")))
+    queries = table(spark, d, "part").groupBy(asked.alias("query")).agg(F.count("*").alias("n"))
+    lists = {c: F.array_join(c, "|") for c in ("core_domains", "procurement_types")}
+    return ingest.intents(queries, LocalProvider()).withColumns(lists).select("query", "core_domains", "procurement_types", "refined_query", "is_broad_query", "n")
+
+
+class Unsteady(LocalProvider):
+    """Fails on notices about rings, and has nothing to say about bolts."""
+
+    def enrich(self, title: str, description: str) -> dict:
+        if "ring" in title:
+            raise RuntimeError("no answer")
+        return super().enrich(title, description) | ({"signal_summary": ""} if "bolt" in title else {})
+
+
+@query("SELECT CASE WHEN contains(p_name, 'ring') THEN 'no answer' ELSE 'empty signal' END AS error, count(*) AS n, min(p_partkey) AS first FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'bolt') GROUP BY 1")
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Notices that a provider fails on: kept with the reason, not indexed."""
+    have = {"RefNo": F.col("p_partkey").cast("string"), "Summary": F.col("p_name"), "Description": F.rpad("p_type", 120, "x")}
+    raw = table(spark, d, "part").select(*(have.get(c, F.lit(None).cast("string")).alias(c) for c in RAW_COLUMNS))
+    lost = ingest.dead_letters(ingest.enriched(raw, Unsteady(), taxonomy.as_array([])))
+    return lost.groupBy("error").agg(F.count("*").alias("n"), F.min(F.col("ref_no").cast("long")).alias("first"))
+
+
+@query()
+def knn_ann(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate neighbours of every vector whose id is divisible by 20, from an inverted file of all."""
+    rows = _embeddings(spark, d)
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return ann.build(rows, new_path(spark, "ann")).nearest_many(queries, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"SELECT count(*) AS results, count_if(flag) AS flagged, count_if(titled) AS titled, count_if(flag) = 0 AND count_if(titled) = 0 AS passed FROM (SELECT a.label = 3 AS flag, a.label % 3 = 0 AS titled FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {SQ}, a.vec_id LIMIT 50)")
+def response_check(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d).withColumn("original_title", F.when(F.col("label") % 3 == 0, F.lit("Corrigendum: x")).otherwise(F.lit("Notice")))
+    return reports.response_check(search.response(search.nearest(rows, _vector(spark, d), 50)))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY {SQ}, a.vec_id) AS INTEGER) AS rank, round({SQ}, 4) AS distance, round(CASE WHEN {SQ} <= 0.5 THEN 100.0 WHEN {SQ} >= 1.15 THEN 0.0 ELSE (1.15 - {SQ}) / 0.65 * 100 END, 1) AS score, coalesce(substr(d.text, 1, 60), 'N/A') AS title FROM embeddings a JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q ON true LEFT JOIN documents d ON d.doc_id = a.vec_id ORDER BY {SQ}, a.vec_id LIMIT 10")
+def score_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _index(spark, d).withColumn("original_title", F.col("description"))
+    return reports.scores(search.nearest(rows, _vector(spark, d), 10))
+
+
+KIND_WORDS = [w for _, words in classify.KEYWORDS for w in words] + ["other", "General"]
+KIND_WORDS_SQL = "[" + ", ".join(f"'{w}'" for w in KIND_WORDS) + "]"
+WORDED = f"p_name || ' ' || {KIND_WORDS_SQL}[p_partkey % {len(KIND_WORDS)} + 1] || ' ' || {KIND_WORDS_SQL}[(p_partkey * 7) % {len(KIND_WORDS)} + 1]"
+
+
+@query("SELECT id, kind AS old_type, new_type, title FROM (SELECT *, CASE WHEN kind = 'Consultancy' THEN 'Services' WHEN kind IN ('Unknown', 'Other', 'Unclassified') THEN CASE " + " ".join("WHEN " + " OR ".join(f"contains(title, '{w}')" for w in words) + f" THEN '{k}'" for k, words in classify.KEYWORDS) + f" END END AS new_type FROM (SELECT p_partkey AS id, lower({WORDED}) AS title, {KIND} AS kind FROM part)) WHERE new_type IS NOT NULL")
+def reclass_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed keywords, in their order, on titles that hold two of them."""
+    word = lambda k: F.element_at(F.array(*map(F.lit, KIND_WORDS)), (k % len(KIND_WORDS) + 1).cast("int"))
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("id"), F.concat_ws(" ", "p_name", word(k), word(k * 7)).alias("original_title"), F.expr(KIND).alias("procurement_type"))
+    return audit.reclassify(rows)
+
+
+@query("SELECT count(*) AS n, count_if(contains(p_name, 'ring')) AS failed, count_if(contains(p_name, 'bolt') AND NOT contains(p_name, 'ring')) AS without_summary, count_if(NOT contains(p_name, 'ring') AND NOT contains(p_name, 'bolt')) AS passed FROM part")
+def enrichment_check(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an unsteady provider against the vocabulary."""
+    raw = table(spark, d, "part").select(*({"Summary": F.col("p_name"), "Description": F.rpad("p_type", 120, "x")}.get(c, F.lit(None).cast("string")).alias(c) for c in RAW_COLUMNS))
+    e = reports.enrichment_check(ingest.enriched(raw, Unsteady(), taxonomy.as_array([])))
+    return e.agg(F.count("*").alias("n"), F.count_if(~F.col("no_error")).alias("failed"), F.count_if(~F.col("has_summary")).alias("without_summary"), F.count_if("passed").alias("passed"))
 
 
 @query("SELECT role AS query, CAST(conv_id AS VARCHAR) AS result_id, CAST(count_if(turn % 2 = 0) AS BIGINT) AS up, CAST(count_if(turn % 2 = 1) AS BIGINT) AS down FROM conversations GROUP BY 1, 2")
@@ -563,7 +662,7 @@ def jsonl_append(spark: SparkSession, d: str) -> DataFrame:
 
     path = new_path(spark, "jsonl")
     for _ in range(2):
-        table(spark, d, "events").select("event_id", "event_type", "value").write.mode("append").json(path)
+        readers.append_jsonl(table(spark, d, "events").select("event_id", "event_type", "value"), path)
     return readers.read_jsonl(spark, path, StructType([StructField("event_id", LongType()), StructField("event_type", StringType()), StructField("value", DoubleType())]))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from noticeflow.schemas import NA_TOKENS, RAW_COLUMNS
 from noticeflow.sources.xlsx import read_xlsx
+from noticeflow.storage import written
 
 ROW = "row_idx"
 ID_COLUMNS = ("tot_id", "id", "tender id", "refno")  # fixed: column names that hold ids, lower-cased
@@ -30,28 +31,30 @@ def as_raw(df: DataFrame) -> DataFrame:
     return df.select(*known, *others)
 
 
-def with_row_index(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Consecutive row numbers from 0 in the order of the input's files and lines.
+def with_row_index(df: DataFrame, name: str = ROW, at: str | None = None) -> DataFrame:
+    """Consecutive row numbers from 0 in the order of the input's files and lines, or of a column of
+    monotonically_increasing_id() that was taken when they were read.
 
     Numbers are given by partition, from the counts of the partitions before: no partition holds all rows.
     """
-    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    marked = df.withColumnRenamed(at, "_at") if at else df.withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftright("_at", 33)
     counts = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return marked.join(F.broadcast(before), part == F.col("_part")).withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before", "_n")
 
 
-def with_rank(df: DataFrame, key: str, *ties: str, width: int = 4096, name: str = ROW) -> DataFrame:
-    """Consecutive row numbers from 0 in the order of an integer key, then ties.
+def with_rank(df: DataFrame, key: str, *ties: str, name: str = ROW) -> DataFrame:
+    """Consecutive row numbers from 0 in the order of a key, then ties; nulls first.
 
-    Ranges of width keys are counted first, so that windows span a range and not the table.
+    Rows are dealt by ranges of the key and sorted in each, whatever its gaps; a range's numbers start at the count of
+    the ranges before it. The dealt rows are written once, so that counts and numbers are of the same ranges.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties))
-    return ranged.withColumn("_in", within).join(before, "_range").withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_range", "_in", "_before", "_n")
+    dealt = df.repartitionByRange(key, *ties).sortWithinPartitions(key, *ties).withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id()})
+    dealt = written(dealt.withColumn("_in", F.col("_in") - F.shiftleft(F.col("_part").cast("long"), 33)), "ranked")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def page(df: DataFrame, offset: int = 0, limit: int | None = None, index: str = ROW) -> DataFrame:
@@ -63,6 +66,8 @@ def page(df: DataFrame, offset: int = 0, limit: int | None = None, index: str =
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A notice file by suffix: csv, or xlsx through its reader; others are refused."""
     suffix = PurePosixPath(path).suffix.lower()
+    if suffix in (".csv", ".xlsx") and not exists(spark, path):
+        raise FileNotFoundError(f"Error: File {path} not found.")
     if suffix == ".csv":
         return read_csv(spark, path)
     if suffix == ".xlsx":
@@ -77,6 +82,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return good_json(spark.read.text(path), F.col("value"), schema)
 
 
+def append_jsonl(rows: DataFrame, path: str) -> None:
+    """Appends rows to a folder of JSON lines; a job that fails leaves none of its rows."""
+    rows.write.mode("append").json(path)
+
+
 def bad_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The malformed lines, for a dead-letter table."""
     parsed = _parsed(spark.read.text(path), F.col("value"), schema)
@@ -132,7 +142,15 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return nested.unionByName(flat)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Golden cases; a file that is not there is named."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"Golden data file not found: {path}")
     schema = "id string, query string, expectations struct<top_k_to_check:int,must_match_domains:array<string>,required_tags:array<string>,required_keywords:array<string>,min_relevant_count:int>"
     return spark.read.schema(schema).option("multiLine", True).json(path)
 

@@ -1,35 +1,51 @@
 """Resumable incremental ingestion with Structured Streaming.
 
 Files that land in a directory are read once each; the stream's checkpoint tells which. A micro-batch is cleaned,
-enriched and upserted by id, so that a batch that is repeated after a failure changes nothing. A batch that
-fails stops the stream, and the next start retries it: nothing is skipped.
+enriched and upserted by id, the last row of an id in the input's order winning, so that a batch that is repeated after a
+failure changes nothing. A batch that fails stops the stream, and the next start retries it: nothing is skipped. Lines
+that are no rows, and notices that the provider fails on, go to a dead-letter folder, by batch, so a repeat replaces
+what it wrote before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StringType, StructField, StructType
 
 from noticeflow.functions import scoring
 from noticeflow.operators.index import Index
-from noticeflow.operators.ingest import index_rows
+from noticeflow.operators.ingest import dead_letters, embedded, enriched_once, index_rows, metadata
 from noticeflow.providers.base import Provider
 from noticeflow.schemas import RAW
 from noticeflow.sources.readers import ROW, as_raw, page, with_row_index
+from noticeflow.storage import written
 
+BAD_LINE = "_corrupt_record"
 
-def landing(spark: SparkSession, directory: str, files_per_batch: int = 16) -> DataFrame:
-    """Raw rows of CSV files as they land; the files' header names the columns of RAW."""
-    options = {"header": "true", "multiLine": "true", "escape": '"', "enforceSchema": "false", "maxFilesPerTrigger": str(files_per_batch)}
-    return spark.readStream.schema(RAW).options(**options).csv(directory)
-
-
-def run(source: DataFrame, index: Index, checkpoint: str, provider: Provider, keywords: Column, chunk: int | None = None) -> StreamingQuery:
-    """Ingests all that is there and stops; start it again for what lands later."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        index.upsert(index_rows(with_row_index(as_raw(rows)), provider, keywords, chunk))
+def landing(spark: SparkSession, directory: str, files_per_batch: int = 16) -> DataFrame:
+    """Raw rows of CSV files as they land; the files' header names the columns of RAW. A line that does not fit them is
+    kept in BAD_LINE."""
+    options = {"header": "true", "multiLine": "true", "escape": '"', "enforceSchema": "false", "maxFilesPerTrigger": str(files_per_batch), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    return spark.readStream.schema(StructType([*RAW, StructField(BAD_LINE, StringType())])).options(**options).csv(directory)
+
+
+def run(source: DataFrame, index: Index, checkpoint: str, provider: Provider, keywords: Column, chunk: int | None = None, dead_letter: str | None = None) -> StreamingQuery:
+    """Ingests all that is there and stops; start it again for what lands later. dead_letter: a folder for what fails."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        # read once: a source's rows count as often as they are read, and a query of bad lines alone must not reach the files
+        raw = with_row_index(written(as_raw(rows).withColumn("_at", F.monotonically_increasing_id()), "landed"), at="_at")
+        e = written(enriched_once(raw.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE) if BAD_LINE in raw.columns else raw, provider, keywords, chunk), "enriched")
+        if dead_letter:
+            lost = dead_letters(e)
+            if BAD_LINE in raw.columns:
+                bad = raw.where(F.col(BAD_LINE).isNotNull())
+                lost = lost.unionByName(bad.select(F.lit(None).cast("string").alias("ref_no"), F.col(BAD_LINE).alias("title"), F.lit("malformed line").alias("error")))
+            lost.write.mode("overwrite").json(f"{dead_letter}/batch={number}")
+        index.upsert(embedded(metadata(e, ROW), provider), ROW)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -39,9 +55,9 @@ def run_file(raw: DataFrame, index: Index, provider: Provider, keywords: Column,
     rows = page(with_row_index(raw), start, end_offset - start if end_offset else None)
     if end_offset is not None and start >= end_offset:
         return 0
-    out = index_rows(rows, provider, keywords, chunk)
+    out = index_rows(rows, provider, keywords, chunk, ROW)
     before = index.version()
-    index.upsert(out)
+    index.upsert(out, ROW)
     return index.read().count() if before != index.version() else 0
 
 
@@ -50,6 +66,28 @@ def resume_from(requested: Column, checkpoint: Column) -> Column:
     return F.greatest(requested, F.coalesce(checkpoint, requested))
 
 
+class Progress(StreamingQueryListener):
+    """Counts rows and batches as they are done and calls back; add it to spark.streams."""
+
+    def __init__(self, tell=lambda done, total: None, total: int | None = None):
+        super().__init__()
+        self.tell, self.total, self.rows, self.batches, self.error = tell, total, 0, 0, None
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.tell(self.rows, self.total)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.rows += event.progress.numInputRows
+        self.batches += 1
+        self.tell(self.rows, self.total)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.error = event.exception
+
+
 def status(query: StreamingQuery, total: int | None = None) -> dict:
     """What a status poll shows: rows so far, percent of the total, and whether the stream runs."""
     done = sum(p["numInputRows"] for p in query.recentProgress)
@@ -58,4 +96,4 @@ def status(query: StreamingQuery, total: int | None = None) -> dict:
     return {"active": query.isActive, "rows": done, "percent": percent, "error": str(query.exception()) if query.exception() else None}
 
 
-__all__ = ["ROW", "landing", "resume_from", "run", "run_file", "status"]
+__all__ = ["BAD_LINE", "Progress", "ROW", "landing", "resume_from", "run", "run_file", "status"]

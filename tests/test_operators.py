@@ -87,7 +87,7 @@ def test_id_column():
 def test_row_index(spark):
     df = readers.with_row_index(spark.range(0, 1000, 1, 7))
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(i, i) for i in range(1000)]
-    ranked = readers.with_rank(spark.range(0, 30000, 3, 5), "id", width=100)
+    ranked = readers.with_rank(spark.range(0, 30000, 3, 5), "id")
     assert ranked.where("row_idx * 3 <> id").isEmpty() and readers.page(ranked, 10, 5).count() == 5 and readers.page(ranked, 9990, 0).count() == 10
 
 
