@@ -14,8 +14,8 @@ is left. The run of backslashes after such a character is then odd and any other
 in the opposite order is exact.
 
 Nulls: a null text or role is empty; a null turn sorts first; rows with a null conversation id form one
-conversation. Rows that tie in turn are ordered by role, then text. An empty table gives no rows. Extra
-columns are ignored.
+conversation. Rows that tie in turn are ordered by role, then text; a turn that is there twice is two turns. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -46,6 +46,8 @@ def test_url_rules(spark):
         assert (x.host, x.path, x.rule) == (host, path, rule), u
         assert x.verdict == (verdicts[rule] if rule else "block" if x.p_block >= 0.5 else "allow")
     assert url_filter.judged(df.limit(0), RULES, model).count() == 0
+    twice = url_filter.judged(df.unionAll(df), RULES, model).groupBy("page_id", "verdict").count().collect()
+    assert len(twice) == len(urls) and all(x["count"] == 2 and x.verdict == got[x.page_id].verdict for x in twice)
 
 
 #: Urls as they are found, written by hand: not of the generator that the trees are trained with.
@@ -244,6 +246,13 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_repeated_turns(spark):
+    """A turn that is there twice is two turns; conversations that are alike are formatted alike."""
+    rows = [(c, t, role, text) for c in (1, 2) for t, role, text in [(0, "user", "same"), (0, "user", "same"), (1, "assistant", "</turn>"), (1, "assistant", "</turn>")]]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [[(p.role, p.text) for p in x.parsed] for x in out] == [[r[2:] for r in rows[:4]]] * 2 and out[0].formatted == out[1].formatted and all(x.round_trip for x in out)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.text(alphabet="\\#<>:/turn e\n", max_size=30)), min_size=1, max_size=4))
 def test_chat_any_text(spark, turns):
@@ -588,3 +597,33 @@ def test_pipeline(spark, tmp_path):
         assert (y.text or "") == x[3].decode() and (y.n_chars or 0) == len(x[3].decode())
     assert set(left["benchmark decontamination"]) == near - {64} == set(left["mixing to target weights"])
     assert len(p.STAGES) == 5 and p.run(spark, str(folder)).count() == len(near) - 1
+
+
+def pipeline_tables(spark, folder, rows, labels, items):
+    spark.createDataFrame(rows, c.SCHEMA).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("which", ["documents", "labels and items", "all"])
+def test_pipeline_on_empty_tables(spark, tmp_path, which):
+    import corpus_pipeline as p
+
+    rows = [(1, "one two three", "en", "a", 13), (2, None, None, None, None)]
+    full = which == "labels and items"
+    folder = pipeline_tables(spark, tmp_path, rows if full else [], [(1, 1, 0)] if which == "documents" else [], [(1, "some item")] if which == "documents" else [])
+    assert sorted(r.doc_id for r in p.run(spark, folder).collect()) == ([1, 2] if full else [])
+
+
+def test_pipeline_on_repeated_rows(spark, tmp_path):
+    """Rows that agree in all columns, null ids and ties of ids: one of each text stays."""
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choices(("an", "ti", "re", "sh"), k=3)) + str(r.randint(0, 999)) for _ in range(80))
+    a, b, d = text(), text(), text()
+    rows = [(1, a, "en", "s", 1)] * 3 + [(None, b, "en", "s", 1)] * 2 + [(7, d, "en", "t", 1), (7, a, "en", "t", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    folder = pipeline_tables(spark, tmp_path, rows, [(1, 1, 0)], [(1, "an item that is nowhere")])
+    got = Counter((x.doc_id, x.source, x.size) for x in p.run(spark, folder).collect())
+    assert got == Counter([(1, "s", 80), (None, "s", 80), (7, "t", 80), (None, None, 0), (None, None, 0)])
