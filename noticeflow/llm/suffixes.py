@@ -44,6 +44,7 @@ LENGTH = 400
 PANEL, SHARD = 1 << 19, 1 << 17
 HOT, CLASS = 512, 25
 CHUNK = 1 << 23
+ROUNDS = 4  # of a merge: letters hold a fourth of a string, or the largest divisor of its length below that
 PLACE = ("ids", "ths", "at", "weights")  # of the places that a text to be merged stands at
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, begins array<int>, ends array<int>"
 #: Kinds of answers: a segment whose text weighs more than 1; the first occurrence of a text that is to be merged, by whether
@@ -112,6 +113,15 @@ def groups(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
     return resolve(decide(deal(docs.select("_id", "_th", "text"), places, n_buckets), choose, n_buckets, extent=2), n_buckets)
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of integers that are not negative: place and value are sorted as one number where they fit."""
+    bits = len(x).bit_length()
+    if len(x) and int(x.max()).bit_length() + bits > 62:
+        return np.argsort(x, kind="stable")
+    both = np.sort((x.astype(np.int64) << np.int64(bits)) | np.arange(len(x)))
+    return both & np.int64((1 << bits) - 1)
+
+
 def suffix_order(letters: np.ndarray, step: int, rounds: int) -> np.ndarray:
     """Suffixes sorted by their first ``rounds`` letters, by doubling; letters[i] stands for bytes i .. i + step."""
     n = len(letters)
@@ -122,21 +132,13 @@ def suffix_order(letters: np.ndarray, step: int, rounds: int) -> np.ndarray:
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - move * step)] = rank[move * step :] + 1
         key = rank * (int(ahead.max()) + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        order = stable_order(key)
         k = key[order]
         dense = np.cumsum(np.r_[0, k[1:] != k[:-1]])
         rank = np.empty(n, np.int64)
         rank[order] = dense
         have += move
-    return np.argsort(rank, kind="stable")
-
-
-def stable_order(x: np.ndarray) -> np.ndarray:
-    """Stable order of small unsigned integers, by halves of 16 bits."""
-    order = np.argsort((x & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
-    if len(x) and x.max() >> 16:
-        order = order[np.argsort((x[order] >> np.uint32(16)).astype(np.uint16), kind="stable")]
-    return order
+    return stable_order(rank)
 
 
 class Transform:
@@ -185,7 +187,9 @@ def repeated(texts: list[np.ndarray], weights: list[int], length: int, step: int
         buf[x : x + len(t)] = t
     h = np.zeros(n, np.uint64)
     h[: max(0, n - step + 1)] = Rolling(BYTE_CODE[1][buf]).windows(step)
-    letters = np.unique(h, return_inverse=True)[1].astype(np.uint32)
+    order = np.argsort(h)
+    letters = np.empty(n, np.uint32)
+    letters[order] = np.cumsum(np.r_[0, h[order][1:] != h[order][:-1]])
     tail = np.arange(n) >= np.repeat(bounds[1:], sizes) - step  # these letters hold a text's end: each is unlike all others
     letters[tail] = n + np.arange(int(tail.sum()), dtype=np.uint32)
     cuts = [0]
@@ -208,7 +212,7 @@ def repeated(texts: list[np.ndarray], weights: list[int], length: int, step: int
 
 def merged_groups(docs: DataFrame, found: DataFrame, length: int, n_buckets: int) -> DataFrame:
     """Step 2: runs of repeated strings by document, a row for each segment that has any."""
-    step = next(k for k in range(max(1, length // 8), 0, -1) if length % k == 0)
+    step = next(k for k in range(max(1, length // ROUNDS), 0, -1) if length % k == 0)
 
     def chosen_segments(s: Slice, batch: pa.RecordBatch):
         """The segments of a slice in the runs that the batch names, with the document of each."""
