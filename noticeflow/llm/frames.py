@@ -74,6 +74,15 @@ def _delete(spark: SparkSession, path: str, now: bool = True) -> None:
     files.delete(where, True) if now else files.deleteOnExit(where)
 
 
+def _lean(spark: SparkSession) -> None:
+    """Lets the driver's JVM give memory back if it has taken most of its heap: an iterative job is many short plans, and what
+    is left of each is kept until a collection happens to come. Also drops the shuffle files of what is now on disk."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > 0.6 * runtime.maxMemory():
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 _scopes: list[list[str]] = []
 
 
@@ -86,6 +95,7 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _delete(spark, path, now=False)
+    _lean(spark)
     if _scopes:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -109,8 +119,6 @@ def scoped(f):
             _scopes[-1] += kept
         for path in own:
             _delete(spark, path)
-        gc.collect()
-        spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now on disk
         return result
 
     return wrapped
