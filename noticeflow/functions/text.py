@@ -47,7 +47,7 @@ def parse_model_json(c: Column, schema: StructType) -> Column:
 
 
 def chat_context(title, description, authority, city, state, country, closing, url, document, page) -> Column:
-    """What a chat about one notice may use."""
+    """What a chat about one notice may use. Its labels and what stands for missing values are fixed values."""
     known = lambda c: F.coalesce(c, F.lit("Unknown"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return F.concat_ws(

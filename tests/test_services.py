@@ -57,7 +57,7 @@ def test_answers_of_a_batch():
     assert [x["core_domain"] for x in enrich_batch(LocalProvider(), [("solar", ""), ("drone", "")])] == ["Energy", "Technology"]
 
 
-#: The notices and stated answers of a walk through the whole path.
+# The notices and stated answers of a walk through the whole path.
 NOTICES = [("Construction of 50-bed Maternity Ward", "Delhi", "5 Cr", "12-01-2024"), ("Supply of MRI Machines", "Mumbai", "20 Lakhs", "15/01/2024"), ("Repair of Highway near Hospital", "Pune", "10 K", "2024-02-01")]
 ANSWERS = {
     "Construction of 50-bed Maternity Ward": ("Infrastructure", "Works", ["Clinic", "Healthcare", "Building"], "PWD", "Construction of Maternity Ward"),
