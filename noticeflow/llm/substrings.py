@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.exchange import Combined, Places, as_uint64, deal, decide, groups_of, low_bytes, resolve
 from noticeflow.llm.frames import attached, keyed, partitions, saved, scoped
-from noticeflow.llm.textkit import Rolling, Slice, column, covered, slices, text_buffers, tidy, valid_windows
+from noticeflow.llm.textkit import Rolling, Slice, column, slices, text_buffers, tidy, valid_windows
 
 WINDOW = 50
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, begins array<int>, ends array<int>"

@@ -186,14 +186,6 @@ def valid_windows(first: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def covered(first: np.ndarray, length: int, total: int) -> np.ndarray:
-    """Which of total places lie in [s, s + length) of some s in first."""
-    edge = np.zeros(total + 1, np.int32)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, np.minimum(first + length, total), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each maximal run of consecutive integers in a sorted array."""
     if not len(places):
@@ -211,7 +203,3 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.r_[True, begin[1:] > end[:-1]]
     at = np.flatnonzero(new)
     return begin[at], end[np.r_[at[1:] - 1, len(end) - 1]]
-
-
-def binary(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
