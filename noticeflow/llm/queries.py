@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, decontamination, mixing, near_dups, quality_net, quality_rules, substrings, suffixes, toxicity, url_filter
+from noticeflow.llm import chat, decontamination, mixing, near_dups, quality_net, quality_rules, spot_sigs, substrings, suffixes, toxicity, url_filter
 from noticeflow.llm.frames import documents
 
 #: A conversation that holds the template's own control strings; added to the table's.
@@ -156,7 +156,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, labels))
 
 
+def op11_spot_sigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_sigs.compared(documents(spark, sf_dir))
+
+
+_LIST = "[" + ", ".join(f"'{w}'" for w in spot_sigs.COMMON) + "]"
+_SIGNED = f"""
+  SELECT i, v, n, t, CASE WHEN len(s) > 0 THEN s ELSE e END AS s FROM (
+    SELECT *,
+      list_transform(list_filter(range(1, len(p) + 1), lambda j: p[j] - j < len(c)), lambda j: array_to_string([w[p[j]]] || c[p[j] - j + 1:p[j] - j + {spot_sigs.CHAIN}], ' ')) AS s,
+      list_transform(range(1, 1 + greatest(len(w) - {spot_sigs.CHAIN - 1}, least(len(w), 1))), lambda j: array_to_string(w[j:j + {spot_sigs.CHAIN - 1}], ' ')) AS e
+    FROM (SELECT *, list_filter(range(1, len(w) + 1), lambda j: list_contains({_LIST}, w[j])) AS p, list_filter(w, lambda x: NOT list_contains({_LIST}, x)) AS c
+      FROM (SELECT *, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM texts)))
+"""
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS i, doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents
+), pairs AS (
+  SELECT a.i, a.doc_id, a.n, a.t, left(a.t, a.n - a.n // 4) || left(b.t, a.n // 4) AS e, b.i AS following
+  FROM d a JOIN d b ON b.i = a.i % (SELECT count(*) FROM d) + 1
+), texts AS (
+  SELECT i, 0 AS v, n, t FROM d UNION ALL SELECT i, 1, n, e FROM pairs
+), signed AS ({_SIGNED}
+), f AS (
+  SELECT i, v, list_sort(list_distinct(list_transform(s, lambda x: substr(md5(x), 1, {spot_sigs.CODE_HEX})))) AS f FROM signed
+), met AS (
+  SELECT pairs.doc_id, pairs.n, pairs.e, a.f AS a, b.f AS b, c.f AS c
+  FROM pairs JOIN f a ON a.i = pairs.i AND a.v = 0 JOIN f b ON b.i = pairs.i AND b.v = 1 JOIN f c ON c.i = following AND c.v = 0
+)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(len(a) = len(b) AS INT)::DOUBLE ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END AS near_edited,
+  CASE WHEN len(a) = 0 OR len(c) = 0 THEN CAST(len(a) = len(c) AS INT)::DOUBLE ELSE len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c)))::DOUBLE END AS near_next,
+  len(a) AS n_codes
+FROM met
+"""
+
+
 QUERIES = {
+    "op11_spot_sigs": op11_spot_sigs,
     "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
     "op8_decontamination": op8_decontamination,
@@ -165,4 +202,4 @@ QUERIES = {
     "op3_near_dups": op3_near_dups,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules}
-ORACLE_SQL = {"op6_suffix_dedup": OP6_SQL, "op3_near_dups": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL}
+ORACLE_SQL = {"op6_suffix_dedup": OP6_SQL, "op3_near_dups": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op11_spot_sigs": OP11_SQL}
