@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
 import gc
-import shutil
-import tempfile
-import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeflow.storage import new_path
+
 NO_ID = (1 << 63) - 1  # stands for a null doc_id; above every other
 #: Bytes of a table that may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
@@ -54,19 +53,6 @@ def partitions(df: DataFrame) -> int:
     return max(least, min(1_000_000, size // PARTITION_BYTES)) if size < 1 << 60 else least
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one of this machine, which
-    only a local session can use."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="noticeflow-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str, now: bool = True) -> None:
     """Deletes a folder, now or when the session's JVM ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,21 +69,28 @@ def _lean(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
-_scopes: list[list[str]] = []
+#: Tables saved since the innermost scoped function of this thread began; None outside of any.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+def new_table(spark: SparkSession) -> str:
+    """Path of a table in the shared folder; it goes when its scope ends (see scoped), or else with the session."""
+    path = new_path(spark, "table")
+    _delete(spark, path, now=False)
+    if (own := _scope.get()) is not None:
+        own.append(path)
+    return path
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once: written to the shared folder and read back, so that a lost executor costs no recomputation.
 
-    checkpoint() would run the last stage twice. The table goes when its scope ends (see scoped), or else with the session.
+    checkpoint() would run the last stage twice.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_table(spark)
     df.write.parquet(path)
-    _delete(spark, path, now=False)
     _lean(spark)
-    if _scopes:
-        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,19 +99,15 @@ def scoped(f):
 
     @functools.wraps(f)
     def wrapped(*args, **kwargs):
-        _scopes.append([])
+        own: list[str] = []
+        token = _scope.set(own)
         try:
             out = f(*args, **kwargs)
-            spark = out.sparkSession
-            own, _scopes[-1] = _scopes[-1], []
-            result = saved(out)
-            kept = _scopes[-1]
         finally:
-            _scopes.pop()
-        if _scopes:
-            _scopes[-1] += kept
+            _scope.reset(token)
+        result = saved(out)
         for path in own:
-            _delete(spark, path)
+            _delete(result.sparkSession, path)
         return result
 
     return wrapped

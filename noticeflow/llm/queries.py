@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import chat, decontamination, mixing, near_dups, quality_net, quality_rules, spot_sigs, substrings, suffixes, toxicity, url_filter
+from noticeflow.llm import chat, decontamination, hard_negatives, mixing, near_dups, quality_net, quality_rules, spot_sigs, substrings, suffixes, toxicity, url_filter, vector_codes
 from noticeflow.llm.frames import documents
 
 #: A conversation that holds the template's own control strings; added to the table's.
@@ -192,7 +192,66 @@ FROM met
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _rounds() -> str:
+    """SQL of the rounds: codebooks b<r>, nearest entries a<r> (distance * 256 + index, whose least is the nearest of lowest index)."""
+    near = "SELECT vec_id, p.k, min(list_sum(list_transform(list_zip(p.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + e) AS m FROM p JOIN b{r} b ON b.k = p.k GROUP BY vec_id, p.k"
+    moved = """SELECT b.k, b.e, coalesce(m.q, b.q) AS q FROM b{r} b LEFT JOIN (
+      SELECT k, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM (
+        SELECT k, e, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM (SELECT p.k, m % 256 AS e, q, unnest(range(1, len(q) + 1)) AS i FROM a{r} JOIN p USING (vec_id, k)) GROUP BY k, e, i
+      ) GROUP BY k, e) m USING (k, e)"""
+    out = []
+    for r in range(vector_codes.ROUNDS + 1):
+        out.append(f"a{r} AS MATERIALIZED (" + near.format(r=r) + ")")
+        if r < vector_codes.ROUNDS:
+            out.append(f"b{r + 1} AS MATERIALIZED (" + moved.format(r=r) + ")")
+    return ", ".join(out)
+
+
+OP12_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, k, q[k * (len(q) // {vector_codes.PARTS}) + 1:(k + 1) * (len(q) // {vector_codes.PARTS})] AS q FROM (SELECT vec_id, q, unnest(range({vector_codes.PARTS})) AS k FROM v)
+), b0 AS MATERIALIZED (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, q FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {vector_codes.ENTRIES})
+), {_rounds()}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY k) AS code, sum(m // 256)::BIGINT AS error FROM a{vector_codes.ROUNDS} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY k, e)) FROM b{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT a, b, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
     "op11_spot_sigs": op11_spot_sigs,
     "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
@@ -202,4 +261,4 @@ QUERIES = {
     "op3_near_dups": op3_near_dups,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format, "op7_mixing": op7_mixing, "op9_quality_rules": op9_quality_rules}
-ORACLE_SQL = {"op6_suffix_dedup": OP6_SQL, "op3_near_dups": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op11_spot_sigs": OP11_SQL}
+ORACLE_SQL = {"op6_suffix_dedup": OP6_SQL, "op3_near_dups": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op11_spot_sigs": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_hard_negatives": OP13_SQL}

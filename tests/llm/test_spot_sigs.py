@@ -76,12 +76,12 @@ def test_no_long_text_is_slow(spark):
     assert {r.doc_id: r.n_codes for r in spot_sigs.compared(got).collect()} == {1: len(signatures("the old house of a " * 20)), 2: 1, 3: 1}
 
 
-def test_near_pairs(spark, corpus):
-    rows, _ = corpus
+def test_near_pairs(spark):
+    rows = c.made(3, 150)
     docs = spark.createDataFrame([(i, t) for i, (_, t, *_) in enumerate(rows)], "doc_id long, text string").repartition(3)
     prints = spot_sigs.fingerprinted(docs)
     sets = {r.set_id: frozenset(r.codes) for r in prints.collect()}
     wanted = {(min(a, b), max(a, b)) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.75}
     got = spot_sigs.near_pairs(prints).collect()
-    assert len(wanted) > 5 and Counter((min(r.a, r.b), max(r.a, r.b)) for r in got) == Counter(wanted)
+    assert len(wanted) > 10 and Counter((min(r.a, r.b), max(r.a, r.b)) for r in got) == Counter(wanted)
     assert all(abs(r.similarity - jaccard(sets[r.a], sets[r.b])) < 1e-9 for r in got)
