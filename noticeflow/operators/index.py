@@ -98,8 +98,9 @@ class Index:
                 self._fs.delete(self._at(f"part-{k}"), True)
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> int:
-        """Inserts rows or overwrites those with the same id; of several new rows with one id the last by order."""
-        return self._append(last_of_each(rows, self.key, F.col(order) if order else F.monotonically_increasing_id()))
+        """Inserts rows or overwrites those with the same id; of several new rows with one id the last by order, or, without
+        one, by content (see by_content)."""
+        return self._append(last_of_each(rows, self.key, *([F.col(order)] if order else []), by_content(rows)))
 
     def update(self, changes: DataFrame) -> int:
         """Lays the non-null values of changes over the rows they name; other ids in changes are ignored."""
@@ -113,6 +114,11 @@ def index_rows_of(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
     return table.join(ids.select(key), key, "left_semi")
 
 
+def by_content(rows: DataFrame) -> Column:
+    """An order of rows that depends on nothing but their values, so that a repeated run chooses alike."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in sorted(rows.columns)))
+
+
 def last_of_each(rows: DataFrame, key: str = "id", *order: Column) -> DataFrame:
     """The last row of each key; the aggregate combines before the shuffle."""
     top = rows.select(F.col(key).alias("_key"), F.struct(*order).alias("_order"), F.struct("*").alias("_row"))
@@ -120,7 +126,7 @@ def last_of_each(rows: DataFrame, key: str = "id", *order: Column) -> DataFrame:
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    new = last_of_each(rows, key, F.col(order) if order else F.monotonically_increasing_id())
+    new = last_of_each(rows, key, *([F.col(order)] if order else []), by_content(rows))
     return table.join(new, key, "left_anti").unionByName(new.select(*table.columns))
 
 

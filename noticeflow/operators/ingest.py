@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 from noticeflow.functions import cleaning, text
+from noticeflow.operators.answers import Answers
 from noticeflow.providers.base import Provider, enrich_batch, opened
 from noticeflow.schemas import ENRICHMENT, INDEX, INTENT, NO_DESCRIPTION, SKIPPED_NOTE
 from noticeflow.sources.readers import ROW
+from noticeflow.storage import written
 
 CHUNK_ROWS, MODEL_ROWS = 500, 50
 LEAST_CHARS, LONG_CHARS = 20, 100
@@ -46,35 +50,69 @@ def _stub(title: Column, note: str) -> Column:
     return F.struct(F.lit("Unclassified").alias("core_domain"), none.alias("project_tags"), F.lit("Unknown").alias("procurement_type"), none.alias("search_keywords"), blank.alias("entities"), title.alias("signal_summary"), F.lit(note).alias("note"), F.lit(None).cast("string").alias("error"))
 
 
-def enriched(rows: DataFrame, provider: Provider, keywords: Column) -> DataFrame:
+def enriched(rows: DataFrame, provider: Provider, keywords: Column, answers: Answers | None = None) -> DataFrame:
     """rows with their enrichment's columns laid over them. Rejected rows get a stub and never reach the provider, which is
-    opened once a partition and asked for MODEL_ROWS notices at a time. A notice that it fails on keeps the error."""
+    opened once a partition and asked for MODEL_ROWS notices at a time. A notice that it fails on keeps the error.
+
+    Without ``answers`` all is one pass without a shuffle: rows travel through as Arrow structs, of which Python reads titles and
+    descriptions alone. With them the provider is asked once for each notice that they don't know, and rows meet their answers by
+    a join on the notice's hash, whose hot keys adaptive execution splits.
+    """
     title = cleaning.title_of(F.col("Summary"), F.col("Title"))
     description = F.coalesce(cleaning.present(F.col("Description")), F.lit(NO_DESCRIPTION))
-    fields = [f.name for f in ENRICHMENT]
-    kept = rows.drop(*fields)
-    packed = kept.select(F.struct("*").alias("row"), title.alias("title"), description.alias("description"))
-    wanted = worth_enriching(F.col("title"), F.col("description"), keywords)
-    stubs = packed.where(~wanted).select("row", _stub(F.col("title"), SKIPPED_NOTE).alias("e"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = rows.drop(*(f.name for f in ENRICHMENT))
+    packed = kept.select(F.struct("*").alias("row"), title.alias("title"), description.alias("description")).withColumn("wanted", worth_enriching(F.col("title"), F.col("description"), keywords))
+    if answers is None:
+        return _asked(packed, ["row"], provider).select("row.*", "e.*")
+    packed = written(packed.withColumn("key", F.when(F.col("wanted"), answers.key(F.col("title"), F.col("description")))), "packed")
+    known = answers.known()
+    unknown = packed.where("wanted").groupBy("key").agg(F.first("title").alias("title"), F.first("description").alias("description")).join(known, "key", "left_anti")
+    new = written(_asked(unknown.withColumn("wanted", F.lit(True)), ["key"], provider), "answers")
+    met = packed.join(new.unionByName(known.join(new.select("key"), "key", "left_anti")), "key", "left")
+    out = written(met.select("row.*", F.when(F.col("wanted"), F.col("e")).otherwise(_stub(F.col("title"), SKIPPED_NOTE)).alias("e")).select(*(f"`{c}`" for c in kept.columns), "e.*"), "enriched")
+    answers.add(new)
+    return out
+
+
+def _asked(notices: DataFrame, through: list[str], provider: Provider) -> DataFrame:
+    """The columns of ``through`` as they are, and the answer e to title and description where wanted; elsewhere a stub."""
+    kind = to_arrow_type(ENRICHMENT)
+    blank = {f.name: None for f in ENRICHMENT["entities"].dataType}
+
+    def answer(title: str, got: dict | Exception | None) -> dict:
+        stub = {"core_domain": "Unclassified", "project_tags": [], "procurement_type": "Unknown", "search_keywords": [], "signal_summary": title, "note": None, "error": None, "entities": blank}
+        if got is None:
+            return stub | {"note": SKIPPED_NOTE}
+        if isinstance(got, Exception):
+            return stub | {"error": str(got) or type(got).__name__}
+        entities = got.get("entities") or {}
+        return {f.name: got.get(f.name) for f in ENRICHMENT} | {"entities": {n: entities.get(n) for n in blank}, "note": None, "error": None}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(provider)
         for batch in batches:
-            answers = []
-            notices = list(zip(batch["title"], batch["description"], strict=True))
-            for i in range(0, len(notices), MODEL_ROWS):
-                part = notices[i : i + MODEL_ROWS]
-                for (t, _), got in zip(part, enrich_batch(model, part), strict=True):
-                    if isinstance(got, Exception):
-                        a = {"core_domain": "Unclassified", "project_tags": [], "procurement_type": "Unknown", "search_keywords": [], "entities": {}, "signal_summary": t, "note": None, "error": str(got) or type(got).__name__}
-                    else:
-                        a = got | {"note": None, "error": None}
-                    a["entities"] = {f.name: (a.get("entities") or {}).get(f.name) for f in ENRICHMENT["entities"].dataType}
-                    answers.append({n: a.get(n) for n in fields})
-            yield pd.DataFrame({"row": batch["row"], "e": answers})
-
-    answered = packed.where(wanted).mapInPandas(run, StructType([StructField("row", nullable(packed.schema["row"].dataType)), StructField("e", ENRICHMENT)]))
-    return answered.unionByName(stubs).select("row.*", "e.*")
+            titles, descriptions, wanted = (batch.column(batch.num_columns - 3 + k).to_pylist() for k in range(3))
+            asked = [i for i, w in enumerate(wanted) if w]
+            got: list[dict | Exception | None] = [None] * len(titles)
+            for i in range(0, len(asked), MODEL_ROWS):
+                part = asked[i : i + MODEL_ROWS]
+                for j, a in zip(part, enrich_batch(model, [(titles[j], descriptions[j]) for j in part]), strict=True):
+                    got[j] = a
+            e = pa.array([answer(t, g) for t, g in zip(titles, got, strict=True)], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(through)], e], [*through, "e"])
+
+    schema = StructType([*(StructField(c, nullable(notices.schema[c].dataType)) for c in through), StructField("e", ENRICHMENT)])
+    return notices.select(*through, "title", "description", "wanted").mapInArrow(run, schema)
+
+
+def counted(e: DataFrame, observation: Observation) -> DataFrame:
+    """Enriched rows, whose numbers the observation has as soon as an action on them is done: rows, stubbed (not sent to the
+    provider), failed (the provider gave an error), empty (no signal) and indexed. They cost no pass of their own."""
+    failed = F.col("error").isNotNull()
+    empty = ~failed & (F.coalesce("signal_summary", F.lit("")) == "")
+    return e.observe(
+        observation, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("note").isNotNull()).alias("stubbed"), F.count_if(failed).alias("failed"), F.count_if(empty).alias("empty"), F.count_if(~failed & ~empty).alias("indexed")
+    )
 
 
 def nullable(kind: DataType) -> DataType:
@@ -152,9 +190,9 @@ def authority_name(authority: Column, purchaser: Column) -> Column:
     return F.when(authority.isin("Unknown", "N/A") & (F.coalesce(purchaser, F.lit("")) != ""), text.prefix(purchaser, text.PURCHASER_CHARS)).otherwise(authority)
 
 
-def enriched_once(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None) -> DataFrame:
+def enriched_once(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None, answers: Answers | None = None) -> DataFrame:
     """Indexed raw rows, cleaned, de-duplicated and enriched; they keep their row number."""
-    return enriched(first_of_each(cleaned(raw), chunk=chunk), provider, keywords)
+    return enriched(first_of_each(cleaned(raw), chunk=chunk), provider, keywords, answers)
 
 
 def index_rows(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None, *more: str) -> DataFrame:

@@ -9,18 +9,21 @@ what it wrote before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StringType, StructField, StructType
 
 from noticeflow.functions import scoring
+from noticeflow.operators.answers import Answers
 from noticeflow.operators.index import Index
-from noticeflow.operators.ingest import dead_letters, embedded, enriched_once, index_rows, metadata
+from noticeflow.operators.ingest import counted, dead_letters, embedded, enriched_once, metadata
 from noticeflow.providers.base import Provider
 from noticeflow.schemas import RAW
 from noticeflow.sources.readers import ROW, as_raw, page, with_row_index
-from noticeflow.storage import written
+from noticeflow.storage import temporary, written
 
 BAD_LINE = "_corrupt_record"
 
@@ -32,33 +35,67 @@ def landing(spark: SparkSession, directory: str, files_per_batch: int = 16) -> D
     return spark.readStream.schema(StructType([*RAW, StructField(BAD_LINE, StringType())])).options(**options).csv(directory)
 
 
-def run(source: DataFrame, index: Index, checkpoint: str, provider: Provider, keywords: Column, chunk: int | None = None, dead_letter: str | None = None) -> StreamingQuery:
-    """Ingests all that is there and stops; start it again for what lands later. dead_letter: a folder for what fails."""
+@dataclass
+class Counters:
+    """What became of the rows of a stream or a file: sums over its batches (see ingest.counted); duplicates are left out before."""
+
+    rows: int = 0
+    stubbed: int = 0
+    failed: int = 0
+    empty: int = 0
+    indexed: int = 0
+    malformed: int = 0
+
+    def add(self, **more: int) -> None:
+        for name, n in more.items():
+            setattr(self, name, getattr(self, name) + n)
+
+
+def run(
+    source: DataFrame, index: Index, checkpoint: str, provider: Provider, keywords: Column, chunk: int | None = None, dead_letter: str | None = None, answers: Answers | None = None, counters: Counters | None = None
+) -> StreamingQuery:
+    """Ingests all that is there and stops; start it again for what lands later. dead_letter: a folder for what fails; answers:
+    what the provider said before; counters: gets the numbers of each batch that is done. The tables of a batch go with it."""
 
     def batch(rows: DataFrame, number: int) -> None:
+        with temporary(rows.sparkSession):
+            ingest(rows, number)
+
+    def ingest(rows: DataFrame, number: int) -> None:
         # read once: a source's rows count as often as they are read, and a query of bad lines alone must not reach the files
         raw = with_row_index(written(as_raw(rows).withColumn("_at", F.monotonically_increasing_id()), "landed"), at="_at")
-        e = written(enriched_once(raw.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE) if BAD_LINE in raw.columns else raw, provider, keywords, chunk), "enriched")
+        seen = Observation()
+        good = raw.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE) if BAD_LINE in raw.columns else raw
+        e = written(counted(enriched_once(good, provider, keywords, chunk, answers), seen), "enriched")
+        malformed = 0
         if dead_letter:
             lost = dead_letters(e)
             if BAD_LINE in raw.columns:
                 bad = raw.where(F.col(BAD_LINE).isNotNull())
                 lost = lost.unionByName(bad.select(F.lit(None).cast("string").alias("ref_no"), F.col(BAD_LINE).alias("title"), F.lit("malformed line").alias("error")))
-            lost.write.mode("overwrite").json(f"{dead_letter}/batch={number}")
+            told = Observation()
+            lost.observe(told, F.count_if((F.col("error") == "malformed line") & F.col("ref_no").isNull()).alias("n")).write.mode("overwrite").json(f"{dead_letter}/batch={number}")
+            malformed = told.get["n"]
         index.upsert(embedded(metadata(e, ROW), provider), ROW)
+        if counters:
+            counters.add(**seen.get, malformed=malformed)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_file(raw: DataFrame, index: Index, provider: Provider, keywords: Column, start: int = 0, end_offset: int | None = None, chunk: int | None = None) -> int:
-    """One batch over rows start .. end_offset of a file (an end, not a count); the rows ingested."""
-    rows = page(with_row_index(raw), start, end_offset - start if end_offset else None)
+def run_file(raw: DataFrame, index: Index, provider: Provider, keywords: Column, start: int = 0, end_offset: int | None = None, chunk: int | None = None, answers: Answers | None = None, counters: Counters | None = None) -> int:
+    """One batch over rows start .. end_offset of a file (an end, not a count); the rows of it that reached the index, those that
+    overwrite one included."""
     if end_offset is not None and start >= end_offset:
         return 0
-    out = index_rows(rows, provider, keywords, chunk, ROW)
-    before = index.version()
-    index.upsert(out, ROW)
-    return index.read().count() if before != index.version() else 0
+    rows = page(with_row_index(raw), start, end_offset - start if end_offset else None)
+    seen = Observation()
+    with temporary(raw.sparkSession):
+        e = counted(enriched_once(rows, provider, keywords, chunk, answers), seen)
+        index.upsert(embedded(metadata(e, ROW), provider), ROW)
+    if counters:
+        counters.add(**seen.get)
+    return seen.get["indexed"]
 
 
 def resume_from(requested: Column, checkpoint: Column) -> Column:
@@ -96,4 +133,4 @@ def status(query: StreamingQuery, total: int | None = None) -> dict:
     return {"active": query.isActive, "rows": done, "percent": percent, "error": str(query.exception()) if query.exception() else None}
 
 
-__all__ = ["BAD_LINE", "Progress", "ROW", "landing", "resume_from", "run", "run_file", "status"]
+__all__ = ["BAD_LINE", "Counters", "Progress", "ROW", "landing", "resume_from", "run", "run_file", "status"]
