@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import functools
 import gc
-from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.storage import new_path
+from noticeflow.storage import new_table, temporary
 
 NO_ID = (1 << 63) - 1  # stands for a null doc_id; above every other
 #: Bytes of a table that may be broadcast; a larger one is joined by a shuffle.
@@ -53,13 +52,6 @@ def partitions(df: DataFrame) -> int:
     return max(least, min(1_000_000, size // PARTITION_BYTES)) if size < 1 << 60 else least
 
 
-def _delete(spark: SparkSession, path: str, now: bool = True) -> None:
-    """Deletes a folder, now or when the session's JVM ends."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(where, True) if now else files.deleteOnExit(where)
-
-
 def _lean(spark: SparkSession) -> None:
     """Lets the driver's JVM give memory back if it has taken most of its heap: an iterative job is many short plans, and what
     is left of each is kept until a collection happens to come. Also drops the shuffle files of what is now on disk."""
@@ -69,19 +61,6 @@ def _lean(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
-#: Tables saved since the innermost scoped function of this thread began; None outside of any.
-_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
-
-
-def new_table(spark: SparkSession) -> str:
-    """Path of a table in the shared folder; it goes when its scope ends (see scoped), or else with the session."""
-    path = new_path(spark, "table")
-    _delete(spark, path, now=False)
-    if (own := _scope.get()) is not None:
-        own.append(path)
-    return path
-
-
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once: written to the shared folder and read back, so that a lost executor costs no recomputation.
 
@@ -95,20 +74,17 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def scoped(f):
-    """f, whose result is saved and whose own saved tables are then deleted."""
+    """f(table, ...), whose result is saved and whose own saved tables are then deleted."""
 
     @functools.wraps(f)
-    def wrapped(*args, **kwargs):
-        own: list[str] = []
-        token = _scope.set(own)
-        try:
-            out = f(*args, **kwargs)
-        finally:
-            _scope.reset(token)
-        result = saved(out)
-        for path in own:
-            _delete(result.sparkSession, path)
-        return result
+    def wrapped(table, *args, **kwargs):
+        spark = table.sparkSession
+        path = new_table(spark)  # outside of the scope
+        with temporary(spark):
+            out = f(table, *args, **kwargs)
+            out.write.parquet(path)
+        _lean(spark)
+        return spark.read.schema(out.schema).parquet(path)
 
     return wrapped
 

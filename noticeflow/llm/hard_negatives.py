@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.frames import NO_ID, new_table, partitions, saved, scoped
+from noticeflow.llm.frames import NO_ID, partitions, saved, scoped
 from noticeflow.llm.vector_codes import integers
 from noticeflow.sources.readers import with_rank
+from noticeflow.storage import new_table
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256
 SAMPLE, CELLS = 20000, 256
