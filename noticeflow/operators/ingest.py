@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 from noticeflow.functions import cleaning, text
+from noticeflow.functions.keywords import Keywords
 from noticeflow.operators.answers import Answers
 from noticeflow.providers.base import Provider, enrich_batch, opened
 from noticeflow.schemas import ENRICHMENT, INDEX, INTENT, NO_DESCRIPTION, SKIPPED_NOTE
@@ -38,10 +39,15 @@ def first_of_each(df: DataFrame, key: str = "DedupHash", order: str = ROW, chunk
     return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
-def worth_enriching(title: Column, description: Column, keywords: Column) -> Column:
-    """Texts below LEAST_CHARS are not; those below LONG_CHARS only with a keyword."""
+def worth_enriching(title: Column, description: Column, keywords: Column | Keywords) -> Column:
+    """Texts below LEAST_CHARS are not; those below LONG_CHARS only with a keyword. keywords: an array column, or Keywords, which
+    see those texts alone that they decide about."""
     low = F.lower(F.concat(title, F.lit(" "), description))
-    return (F.length(low) >= LEAST_CHARS) & ((F.length(low) >= LONG_CHARS) | text.any_keyword(low, keywords))
+    if isinstance(keywords, Keywords):
+        hit = keywords.any_in(F.when((F.length(low) >= LEAST_CHARS) & (F.length(low) < LONG_CHARS), low))
+    else:
+        hit = text.any_keyword(low, keywords)
+    return (F.length(low) >= LEAST_CHARS) & ((F.length(low) >= LONG_CHARS) | hit)
 
 
 def _stub(title: Column, note: str) -> Column:
@@ -50,7 +56,7 @@ def _stub(title: Column, note: str) -> Column:
     return F.struct(F.lit("Unclassified").alias("core_domain"), none.alias("project_tags"), F.lit("Unknown").alias("procurement_type"), none.alias("search_keywords"), blank.alias("entities"), title.alias("signal_summary"), F.lit(note).alias("note"), F.lit(None).cast("string").alias("error"))
 
 
-def enriched(rows: DataFrame, provider: Provider, keywords: Column, answers: Answers | None = None) -> DataFrame:
+def enriched(rows: DataFrame, provider: Provider, keywords: Column | Keywords, answers: Answers | None = None) -> DataFrame:
     """rows with their enrichment's columns laid over them. Rejected rows get a stub and never reach the provider, which is
     opened once a partition and asked for MODEL_ROWS notices at a time. A notice that it fails on keeps the error.
 
@@ -190,12 +196,12 @@ def authority_name(authority: Column, purchaser: Column) -> Column:
     return F.when(authority.isin("Unknown", "N/A") & (F.coalesce(purchaser, F.lit("")) != ""), text.prefix(purchaser, text.PURCHASER_CHARS)).otherwise(authority)
 
 
-def enriched_once(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None, answers: Answers | None = None) -> DataFrame:
+def enriched_once(raw: DataFrame, provider: Provider, keywords: Column | Keywords, chunk: int | None = None, answers: Answers | None = None) -> DataFrame:
     """Indexed raw rows, cleaned, de-duplicated and enriched; they keep their row number."""
     return enriched(first_of_each(cleaned(raw), chunk=chunk), provider, keywords, answers)
 
 
-def index_rows(raw: DataFrame, provider: Provider, keywords: Column, chunk: int | None = None, *more: str) -> DataFrame:
+def index_rows(raw: DataFrame, provider: Provider, keywords: Column | Keywords, chunk: int | None = None, *more: str) -> DataFrame:
     """The whole path from indexed raw rows to index rows; more: columns that travel along (the row number, say)."""
     e = enriched_once(raw, provider, keywords, chunk)
     return embedded(metadata(e, *more), provider).select(*(f.name for f in INDEX), *more)

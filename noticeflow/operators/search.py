@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,16 +35,17 @@ def nearest(table: DataFrame, query: list[float], k: int, where: Column | None =
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
 
 
-def nearest_many(table: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2", key: str = "id", cells_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def nearest_many(table: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2", key: str = "id", cells_of: Callable[[pd.DataFrame, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The k nearest rows for each query (query_id, query_embedding), with distance and rank; ties go to the smaller key.
 
     Queries are compared with all rows, a block of at most MAX_QUERIES and QUERY_BYTES at a time: more are dealt by a hash
     of query_id into blocks, each of which is run and written before the next, so one block at a time is broadcast. Rows
     are read as Arrow batches; a task multiplies blocks of them with the block of queries and keeps its k best for each
     query, which alone are shuffled. Exact: near candidates' distances are taken again from the differences.
-    cells_of: of each query vector the cells that it looks at; rows then have a ``cell`` and meet the queries of theirs.
+    cells_of: given queries with all their columns, and their vectors, the cells that each looks at (-1: none); rows then have
+    a ``cell`` and meet the queries of theirs.
     """
-    queries = written(queries.select("query_id", "query_embedding"), "queries")
+    queries = written(queries if cells_of is not None else queries.select("query_id", "query_embedding"), "queries")
     by_id = queries.groupBy("query_id").agg(F.count("*").alias("n"))
     n, most = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     width = queries.agg(F.max(F.size("query_embedding"))).first()[0] or 1
@@ -76,17 +78,19 @@ def _exact(rows: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(d) if metric == "l2" else d
 
 
-def _nearest_block(table: DataFrame, queries: DataFrame, k: int, metric: str, key: str, cells_of: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+def _nearest_block(table: DataFrame, queries: DataFrame, k: int, metric: str, key: str, cells_of: Callable[[pd.DataFrame, np.ndarray], np.ndarray] | None) -> DataFrame:
     asked = queries.where("query_embedding is not null").toPandas()
     ids = asked["query_id"].tolist()
     vectors = np.array([np.asarray(v, float) for v in asked["query_embedding"]]) if len(asked) else np.zeros((0, 0))
     of_cell: dict[int, np.ndarray] | None = None
     if cells_of is not None:
-        cells = cells_of(vectors) if len(ids) else np.zeros((0, 0), int)
-        table = table.where(F.col("cell").isin([int(c) for c in np.unique(cells)]))
-        order = np.argsort(cells.ravel(), kind="stable")
-        named, first = np.unique(cells.ravel()[order], return_index=True)
-        of_cell = dict(zip(named.tolist(), np.split(order // max(1, cells.shape[1] if cells.ndim > 1 else 1), first[1:]), strict=True)) if len(named) else {}
+        cells = cells_of(asked, vectors) if len(ids) else np.zeros((0, 1), int)
+        asker, place = np.nonzero(cells >= 0)
+        cell = cells[asker, place]
+        order = np.argsort(cell, kind="stable")
+        named, first = np.unique(cell[order], return_index=True)
+        table = table.where(F.col("cell").isin(named.tolist()))
+        of_cell = dict(zip(named.tolist(), np.split(asker[order], first[1:]), strict=True)) if len(named) else {}
     shared = table.sparkSession.sparkContext.broadcast((ids, vectors, of_cell))
 
     def meetings(cells: np.ndarray | None, of_cell: dict[int, np.ndarray] | None, n: int) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.functions import classify, cleaning, scoring, text
+from noticeflow.functions.keywords import Keywords
 from noticeflow.operators import ann, audit, evaluate, feedback, index, ingest, reports, search, taxonomy
+from noticeflow.operators.answers import Answers
 from noticeflow.plans import predicates
 from noticeflow.providers import local
+from noticeflow.providers.concurrent import Concurrent
 from noticeflow.providers.local import LocalProvider
 from noticeflow.schemas import ENRICHMENT, RAW_COLUMNS
 from noticeflow.sources import readers
@@ -232,6 +235,17 @@ def jsonl_scan_corrupt(spark: SparkSession, d: str) -> DataFrame:
     return readers.good_json(lines, F.col("value"), StructType([StructField("event_id", LongType()), StructField("k", LongType())]))
 
 
+BENCHMARK_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark"
+
+
+@query(f"SELECT doc_id, len(k) AS n_keywords, len(k) > 0 AS hit, coalesce(k[1], '') AS first FROM (SELECT doc_id, list_sort(list_filter(words, lambda w: contains(lower(text), w))) AS k FROM documents, (SELECT list(w) AS words FROM ({BENCHMARK_WORDS}) WHERE length(w) >= 5))")
+def keyword_automaton(spark: SparkSession, d: str) -> DataFrame:
+    """Every document against all longer words of the benchmark table at once."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).where("length(w) >= 5").distinct()
+    found = Keywords(r["w"] for r in words.collect()).all_in(F.lower("text"))
+    return table(spark, d, "documents").select("doc_id", found.alias("k")).select("doc_id", F.size("k").cast("long").alias("n_keywords"), (F.size("k") > 0).alias("hit"), F.coalesce(F.get("k", F.lit(0)), F.lit("")).alias("first"))
+
+
 # --- scores ---------------------------------------------------------------------------------------------
 
 DISTANCE = "(l_quantity * 0.03 + l_discount)"
@@ -540,6 +554,44 @@ def dead_letters(spark: SparkSession, d: str) -> DataFrame:
     return lost.groupBy("error").agg(F.count("*").alias("n"), F.min(F.col("ref_no").cast("long")).alias("first"))
 
 
+@query("SELECT CASE WHEN contains(p_name, 'ring') THEN 'no answer' ELSE 'empty signal' END AS error, count(*) AS n, min(p_partkey) AS first FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'bolt') GROUP BY 1")
+def enrich_concurrent(spark: SparkSession, d: str) -> DataFrame:
+    """The dead letters of a provider that is called up to 50 times at once, each failure tried twice."""
+    have = {"RefNo": F.col("p_partkey").cast("string"), "Summary": F.col("p_name"), "Description": F.rpad("p_type", 120, "x")}
+    raw = table(spark, d, "part").select(*(have.get(c, F.lit(None).cast("string")).alias(c) for c in RAW_COLUMNS))
+    lost = ingest.dead_letters(ingest.enriched(raw, Concurrent(Unsteady(), attempts=2, pause=0.001), taxonomy.as_array([])))
+    return lost.groupBy("error").agg(F.count("*").alias("n"), F.min(F.col("ref_no").cast("long")).alias("first"))
+
+
+@query(f"SELECT run, CASE run WHEN 1 THEN count(DISTINCT coalesce(source, '') || chr(0) || coalesce(text, '')) ELSE 0 END AS asked, count(*) AS answered FROM documents, (SELECT unnest([1, 2]) AS run) WHERE {ACCEPT} GROUP BY run")
+def answers_kept(spark: SparkSession, d: str) -> DataFrame:
+    """How many notices the provider was asked about, and how many got an answer, in a first run over all documents and in a second."""
+    kept = Answers(spark, new_path(spark, "answers"), ttl=None)
+    out, before = None, 0
+    for run in (1, 2):
+        e = ingest.enriched(_raw_documents(spark, d), LocalProvider(), taxonomy.as_array(KEYWORDS), kept)
+        held = spark.read.parquet(kept.path).count()
+        one = e.where("note is null").agg(F.lit(run).alias("run"), F.lit(held - before).cast("long").alias("asked"), F.count("*").alias("answered"))
+        out, before = one if out is None else out.unionByName(one), held
+    return out
+
+
+SHORT = "p_brand LIKE '%1'"
+
+
+@query(f"""
+SELECT count(*) AS rows, CAST(count_if(short) AS BIGINT) AS stubbed, CAST(count_if(NOT short AND ring) AS BIGINT) AS failed, CAST(count_if(NOT short AND bolt AND NOT ring) AS BIGINT) AS empty, CAST(count_if(short OR NOT (ring OR bolt)) AS BIGINT) AS indexed
+FROM (SELECT DISTINCT p_name, p_brand, {SHORT} AS short, contains(p_name, 'ring') AS ring, contains(p_name, 'bolt') AS bolt FROM part)
+""")
+def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What became of all notices of a batch, counted while they were written."""
+    have = {"Summary": F.col("p_name"), "Country": F.col("p_brand"), "Description": F.when(F.expr(SHORT), F.lit("ordinary notice")).otherwise(F.rpad("p_type", 120, "x"))}
+    raw = table(spark, d, "part").select(*(have.get(c, F.lit(None).cast("string")).alias(c) for c in RAW_COLUMNS))
+    counters = streaming.Counters()
+    streaming.run_file(raw, index.Index(spark, new_path(spark, "index")), Unsteady(), taxonomy.as_array([]), counters=counters)
+    return spark.range(1).select(*(F.lit(getattr(counters, c)).cast("long").alias(c) for c in ("rows", "stubbed", "failed", "empty", "indexed")))
+
+
 @query()
 def knn_ann(spark: SparkSession, d: str) -> DataFrame:
     """Approximate neighbours of every vector whose id is divisible by 20, from an inverted file of all."""
@@ -548,6 +600,15 @@ def knn_ann(spark: SparkSession, d: str) -> DataFrame:
     return ann.build(rows, new_path(spark, "ann")).nearest_many(queries, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(f"SELECT query_id, id, label, distance, rank FROM (SELECT q.vec_id AS query_id, a.vec_id AS id, a.label, round({SQ}, 6) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {SQ}, a.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings q WHERE q.vec_id % 20 = 0 AND a.label = 3 AND a.vec_id % 10 = 7) WHERE rank <= 5")
+def knn_ann_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same queries with a predicate that one row in a hundred meets: cells are read until no unread one can hold a nearer row."""
+    rows = _embeddings(spark, d)
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    hits, _ = ann.build(rows, new_path(spark, "ann")).exact_many(queries, 5, (F.col("label") == 3) & (F.col("id") % 10 == 7))
+    return hits.join(rows.select("id", "label"), "id").select("query_id", "id", "label", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(f"SELECT count(*) AS results, count_if(flag) AS flagged, count_if(titled) AS titled, count_if(flag) = 0 AND count_if(titled) = 0 AS passed FROM (SELECT a.label = 3 AS flag, a.label % 3 = 0 AS titled FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {SQ}, a.vec_id LIMIT 50)")
 def response_check(spark: SparkSession, d: str) -> DataFrame:
     rows = _index(spark, d).withColumn("original_title", F.when(F.col("label") % 3 == 0, F.lit("Corrigendum: x")).otherwise(F.lit("Notice")))
