@@ -23,7 +23,7 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_filter.judged(pages, URL_RULES, url_filter.fit(url_filter.seed_urls())).select("page_id", "host", "path", "rule", "verdict", "p_block")
+    return url_filter.judged(pages, URL_RULES, url_filter.default_trees()).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
