@@ -4,15 +4,16 @@ Every byte position of a text is an input with two parts: the byte, and whether
 place of the word before. Learned filters of WIDTH positions run over the whole text; after a rectifier their
 responses are max-pooled over chunks of 2 * BLOCK bytes that overlap by BLOCK; the means and maxima over a text's
 chunks go into one logistic unit. The filters and the unit are trained together by Adam, on the driver, on at
-most MAX_ROWS labelled texts (those least by a hash of the id), whole ones. Scoring covers every byte of every text,
-slice by slice, without a shuffle.
+most MAX_ROWS labelled texts (those least by a hash of the id) and MAX_BYTES of them: a text that doesn't fit in what is left of
+these is passed over, the others are learnt from whole. Scoring covers every byte of every text, slice by slice and piece by
+piece, without a shuffle.
 
 Nulls: a null or empty text has no chunks; its score is that of the unit's bias. Null labels, and labels of unknown
 ids, teach nothing; with labels of one kind only, every score is that kind's. Null ids and repeated rows are
 scored like others (a labelled text that is repeated teaches each time). Ties: of labels with one hash those of the
 smaller id, then of the smaller label, are learnt from; a maximum that several blocks reach is the first one's. Very
-long texts: a text is never split, and takes some 60 bytes of memory a byte while it is scored. An empty table gives
-no rows. Extra columns are ignored.
+long texts: responses are taken for PIECE positions at a time, with the same result; what grows with a text are its bytes and
+the places of its words, some 8 bytes a byte. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,42 +23,48 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.llm.frames import small_batches
 from noticeflow.llm.textkit import Slice, column, slices, text_buffers, tidy, trimmed
 
 FILTERS, WIDTH, BLOCK = 12, 8, 128
-MAX_ROWS = 3000
-NET_SLICE = 1 << 18
+MAX_ROWS, MAX_BYTES = 3000, 64 << 20  # learnt from; the driver holds twice the bytes
+NET_SLICE = PIECE = 1 << 18
 
 
-def repeats(s: Slice) -> np.ndarray:
+def repeats(s: Slice, piece: int | None = None) -> np.ndarray:
     """Whether each byte of a word equals the byte at the same place of the word before it in its text."""
+    piece = piece or PIECE
     starts, ends, first = s.words()
     out = np.zeros(len(s.buf), np.uint8)
     if len(starts) < 2:
         return out
     has = np.ones(len(starts), bool)
     has[first[:-1][first[:-1] < len(starts)]] = False
-    prior = np.r_[0, starts[:-1]]
-    shift = np.where(has, starts - prior, 0)
-    length = np.where(has, np.minimum(ends - starts, np.r_[0, (ends - starts)[:-1]]), 0)
-    at = np.repeat(starts, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    back = np.repeat(shift, length)
-    out[at] = s.buf[at] == s.buf[at - back]
+    size = ends - starts
+    length = np.where(has, np.minimum(size, np.r_[0, size[:-1]]), 0)  # bytes to compare
+    done = np.r_[0, np.cumsum(length)]
+    for p in range(0, int(done[-1]), piece):  # of these, some at a time
+        i, j = np.searchsorted(done, p, "right") - 1, np.searchsorted(done, min(p + piece, done[-1]), "left")
+        word = np.repeat(np.arange(i, j), np.minimum(done[i + 1 : j + 1], p + piece) - np.maximum(done[i:j], p))
+        at = starts[word] + np.arange(p, p + len(word)) - done[word]
+        out[at] = s.buf[at] == s.buf[at - (starts[word] - starts[word - 1])]
     return out
 
 
 def padded(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes and repeats of a slice with WIDTH zeros behind every text, and where the texts begin."""
     n = s.n
-    shift = np.repeat(np.arange(n) * WIDTH, s.lengths)
-    at = np.arange(len(s.buf)) + shift
+    begins = s.bounds[:-1] + np.arange(n) * WIDTH
     buf, rep = np.zeros(len(s.buf) + n * WIDTH, np.uint8), np.zeros(len(s.buf) + n * WIDTH, np.uint8)
-    buf[at], rep[at] = s.buf, repeats(s)
-    return buf, rep, s.bounds[:-1] + np.arange(n) * WIDTH
+    if n == 1:
+        buf[: len(s.buf)], rep[: len(s.buf)] = s.buf, repeats(s)
+    else:
+        at = np.arange(len(s.buf)) + np.repeat(np.arange(n) * WIDTH, s.lengths)
+        buf[at], rep[at] = s.buf, repeats(s)
+    return buf, rep, begins
 
 
 @dataclass
@@ -115,16 +122,29 @@ def pooled(blocks: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def document_features(tables, s: Slice) -> np.ndarray:
+def document_features(tables, s: Slice, piece: int | None = None) -> np.ndarray:
+    """Means and maxima over the chunks of each text. Responses are taken for about ``piece`` positions at a time, which end
+    where a block does; the positions behind a piece that its last windows need are read with it."""
+    piece = piece or PIECE
     buf, rep, begins = padded(s)
-    r = responses(tables, buf, rep)
-    r[(begins + s.lengths)[:, None] + np.arange(WIDTH)] = 0  # what stands behind a text is none of its positions
     counts = -(-s.lengths // BLOCK)
     of = np.r_[0, np.cumsum(counts)]
-    starts = np.repeat(begins, counts) + (np.arange(of[-1]) - np.repeat(of[:-1], counts)) * BLOCK
+    text = np.repeat(np.arange(s.n), counts)
+    starts = begins[text] + (np.arange(of[-1]) - of[text]) * BLOCK
     if not len(starts):
         return np.zeros((s.n, 2 * FILTERS), np.float32)
-    blocks = np.maximum.reduceat(r, starts, axis=0)
+    stops = np.minimum(starts + BLOCK, (begins + s.lengths)[text])  # what stands behind a text is none of its positions
+    blocks = np.empty((len(starts), FILTERS), np.float32)
+    k = 0
+    while k < len(starts):
+        to = max(k + 1, int(np.searchsorted(stops, starts[k] + piece, "right")))
+        a, b = int(starts[k]), int(stops[to - 1])
+        r = responses(tables, buf[a : b + WIDTH], rep[a : b + WIDTH])
+        last = np.r_[starts[k + 1 : to], b] != stops[k:to]  # of a text that others follow
+        behind = (stops[k:to][last] - a)[:, None] + np.arange(WIDTH)
+        r[behind[behind < len(r)]] = 0
+        blocks[k:to] = np.maximum.reduceat(r[: b - a], starts[k:to] - a, axis=0)
+        k = to
     return pooled(blocks, of, s.n)
 
 
@@ -150,11 +170,18 @@ def training_blocks(docs: DataFrame) -> DataFrame:
 
 
 @trimmed
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1, steps: int = 240, batch: int = 64) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 1, steps: int = 240, batch: int = 64, max_bytes: int = MAX_BYTES) -> Net:
     """docs: doc_id, text; labels: doc_id, label (1 good, 0 not)."""
     rng = np.random.default_rng(seed)
     chosen = labels.select("doc_id", F.col("label").cast("int").alias("label")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = training_blocks(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label")))), "doc_id")
+    sizes = texts.groupBy("place").agg(F.sum(F.octet_length("text")).alias("n"))
+    taken, room = [], max_bytes
+    for r in sizes.orderBy("place").collect():  # at most max_rows
+        if (r["n"] or 0) <= room:
+            taken.append(r["place"])
+            room -= r["n"] or 0
+    rows = training_blocks(texts.where(F.col("place").isin(taken)).select("text", "label"))
     data = []
     for label, b, r, sizes in rows.toLocalIterator():
         k = len(sizes) // 4

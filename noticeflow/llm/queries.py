@@ -137,7 +137,7 @@ FROM d LEFT JOIN pieces USING (doc_id) GROUP BY d.doc_id, n, x
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.in_order(mixing.mix(documents(spark, sf_dir)))
-    return m.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
+    return m.select("doc_id", "size", "source_size", "target", "taken", "source", "positions")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

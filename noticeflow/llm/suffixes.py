@@ -14,7 +14,10 @@ A string of ``length`` bytes that starts at two places of the corpus is found at
    suffixes that begin with it, is right to j + 1. No suffixes of different shards are compared. The round
    in which a boundary between neighbours appears gives their common prefix; suffixes between which none appears in
    length / step rounds share ``length`` bytes and are an interval. An interval whose texts weigh more than 1 together is
-   a repeated string. The other occurrences of a text take the answer of the one that was merged.
+   a repeated string. Common prefixes are known to a letter (a fourth of ``length``), which is all that the rule needs.
+   A text that weighs more than 1 needs no answer for itself: all of its strings repeat, as the equality of its segments tells,
+   and each of them is cut whole. It is merged, once, for the sake of other texts that share strings with it. On the 0.1 tables
+   that equality tells of 90 % of the bytes that are cut, the merge of 60 %: 10 % by the merge alone, 40 % by equality alone.
    A group of more than HOT texts is split first: its strings by their offset from the anchor, CLASS offsets each,
    and by the bytes that all strings of such a class hold; equal parts are one text a task with the sum of their weights.
 3. The bytes that repeated strings cover are cut.

@@ -749,3 +749,29 @@ def test_pipeline_on_repeated_rows(spark, tmp_path):
     folder = pipeline_tables(spark, tmp_path, rows, [(1, 1, 0)], [(1, "an item that is nowhere")])
     got = Counter((x.doc_id, x.source, x.size) for x in p.run(spark, folder).collect())
     assert got == Counter([(1, "s", 80), (None, "s", 80), (7, "t", 80), (None, None, 0), (None, None, 0)])
+
+
+def test_pieces_of_a_text_score_like_the_whole():
+    """Features and repeats of long texts at small piece sizes equal those of one piece."""
+    r = np.random.default_rng(3)
+    texts = ["", "a", "word word word", "tick tock " * 200, " ".join(str(x) * 7 for x in r.integers(0, 99, 400)), "x" * 5000, "é" * 900, "end"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    net = quality_net.Net(r.normal(size=(quality_net.WIDTH, 256, quality_net.FILTERS)), r.normal(size=(quality_net.WIDTH, quality_net.FILTERS)), r.normal(size=quality_net.FILTERS), np.ones(2 * quality_net.FILTERS), 0.0)
+    for i, j in [(0, len(texts)), *((k, k + 1) for k in range(len(texts)))]:
+        s = quality_net.Slice(i, j, data, offsets)
+        whole, same = quality_net.document_features(net.tables(), s, 1 << 30), quality_net.repeats(s, 1 << 30)
+        for piece in (1, 100, 128, 300, 1000):
+            assert np.array_equal(quality_net.repeats(s, piece), same) and np.array_equal(quality_net.document_features(net.tables(), s, piece), whole)
+
+
+def test_training_takes_no_more_bytes_than_allowed(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "zz#%& ") * (3000 if i == 4 else 10)) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) label")
+    seen = []
+    plain = quality_net.training_blocks
+    monkeypatch.setattr(quality_net, "training_blocks", lambda d: plain(d if seen.append(d.agg(F.sum(F.octet_length("text")), F.count("*")).first()) is None else d))
+    quality_net.fit(docs, labels, steps=2, max_bytes=5000)
+    assert seen[0][0] <= 5000 and seen[0][1] == 39  # the long one alone is passed over
+    quality_net.fit(docs, labels, steps=2)
+    assert seen[1][1] == 40
