@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from noticeflow.functions import classify, text
 from noticeflow.operators import ingest
 from noticeflow.operators.index import Index, missing, sample
-from noticeflow.operators.search import nearest
+from noticeflow.operators.search import nearest, ranks
+from noticeflow.plans import predicates
 from noticeflow.plans.predicates import from_intent
 from noticeflow.providers.base import Provider
 from noticeflow.sources.readers import append_jsonl
@@ -66,3 +67,15 @@ def explain_miss(table: DataFrame, notice_id: str, query: str, provider: Provide
     vector = provider.embed([intent.get("refined_query") or query])[0]
     hit = nearest(table, vector, k, where).where(F.col("id") == notice_id).first()
     return {"verdict": "shown" if hit else "ranked below", "intent": intent, "rank": hit["rank"] if hit else None, "distance": hit["distance"] if hit else None}
+
+
+def explain_misses(table: DataFrame, asked: DataFrame, provider: Provider, k: int = 100, include_corrigendum: bool = True, metric: str = "squared_l2") -> DataFrame:
+    """The same for a table of questions (query, id): query, id, verdict (absent, excluded, shown, ranked below), rank and
+    distance. All of them take one pass over the table."""
+    questions = asked.select("query", "id").distinct()
+    known = predicates.asked(ingest.intents(questions.select("query").distinct(), provider), include_corrigendum)
+    vectors = ingest.embedded(known.withColumn("document", F.coalesce(F.nullif("refined_query", F.lit("")), "query", F.lit(""))), provider)
+    rows = questions.join(vectors, questions["query"].eqNullSafe(vectors["query"])).select(questions["query"].alias("query_id"), "id", F.col("embedding").alias("query_embedding"), *predicates.AMONG.values())
+    found = ranks(predicates.searchable(table), rows, metric, among=predicates.AMONG)
+    verdict = F.when(F.col("verdict") != "ranked", F.col("verdict")).when(F.col("rank") <= k, F.lit("shown")).otherwise(F.lit("ranked below"))
+    return found.select(F.col("query_id").alias("query"), "id", verdict.alias("verdict"), "rank", "distance")

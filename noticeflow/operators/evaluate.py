@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.operators.search import search
+from noticeflow.operators.ingest import embedded, intents
+from noticeflow.operators.search import nearest_many
+from noticeflow.plans import predicates
 from noticeflow.providers.base import Provider
+from noticeflow.storage import written
 
 
 def judged(hits: DataFrame) -> DataFrame:
@@ -28,21 +31,24 @@ def summary(hits: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("relevant") >= F.col("required"))
 
 
-def benchmark(table: DataFrame, cases: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
-    """Results by case, and the number of cases passed and in all. Cases are a stated, small set."""
-    frames, names = [], []
-    for case in cases.collect():
-        e = case["expectations"]
-        words = lambda x: F.array(*(F.lit(w) for w in x)) if x else F.array().cast("array<string>")
-        hits = search(table, case["query"], provider, k=e["top_k_to_check"] or 10)
-        frames.append(hits.select(F.lit(case["id"]).alias("case_id"), "rank", "core_domain", "project_tags", "original_title", "description", words(e["must_match_domains"]).alias("must_match_domains"), words(e["required_tags"]).alias("required_tags"), words(e["required_keywords"]).alias("required_keywords"), F.lit(e["min_relevant_count"] or 1).alias("min_relevant_count")))
-        names.append((case["id"], e["min_relevant_count"] or 1))
-    spark = table.sparkSession
-    every = spark.createDataFrame(names, "case_id string, needed int")
-    if not frames:
-        return every, every.selectExpr("0 as passed", "0 as total").limit(1)
-    hits = frames[0]
-    for f in frames[1:]:
-        hits = hits.unionByName(f)
-    out = every.join(summary(hits), "case_id", "left").select("case_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("domain_hits", "tag_hits", "keyword_hits", "relevant")), F.col("needed").alias("required"), (F.coalesce("relevant", F.lit(0)) >= F.col("needed")).alias("passed"))
+def benchmark(table: DataFrame, cases: DataFrame, provider: Provider, metric: str = "squared_l2") -> tuple[DataFrame, DataFrame]:
+    """Results by case, and the number of cases passed and in all.
+
+    Cases (id, query, expectations) are rows like others: their intents and vectors are taken in tasks, and one blocked search
+    answers them all, each under its own predicate; each case is cut to its own k.
+    """
+    e = F.col("expectations")
+    cases = cases.select(
+        F.col("id").alias("case_id"), "query", F.coalesce(F.nullif(e["top_k_to_check"], F.lit(0)), F.lit(10)).alias("k"), e["must_match_domains"].alias("must_match_domains"), e["required_tags"].alias("required_tags"),
+        e["required_keywords"].alias("required_keywords"), F.coalesce(F.nullif(e["min_relevant_count"], F.lit(0)), F.lit(1)).alias("min_relevant_count"),
+    )
+    cases = written(cases, "cases")
+    k = cases.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
+    asked = predicates.asked(intents(cases.select("case_id", "query"), provider))
+    vectors = embedded(asked.withColumn("document", F.coalesce(F.nullif("refined_query", F.lit("")), "query", F.lit(""))), provider)
+    queries = vectors.select(F.col("case_id").alias("query_id"), F.col("embedding").alias("query_embedding"), *predicates.AMONG.values())
+    hits = nearest_many(predicates.searchable(table), queries, k, metric, among=predicates.AMONG)
+    shown = hits.join(table.select("id", "core_domain", "project_tags", "original_title", "description"), "id").withColumnRenamed("query_id", "case_id").join(cases, "case_id").where(F.col("rank") <= F.col("k"))
+    out = cases.select("case_id", F.col("min_relevant_count").alias("needed")).join(summary(shown), "case_id", "left")
+    out = out.select("case_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("domain_hits", "tag_hits", "keyword_hits", "relevant")), F.col("needed").alias("required"), (F.coalesce("relevant", F.lit(0)) >= F.col("needed")).alias("passed"))
     return out, out.agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))

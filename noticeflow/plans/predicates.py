@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,20 @@ def from_intent(intent: dict, include_corrigendum: bool = True, by_type: bool =
         *procurement_filter(intent.get("procurement_types") or [], by_type),
         *without_corrigenda(include_corrigendum),
     ])
+
+
+#: Columns of the index, and the columns of asked() that list what a query may see of them.
+AMONG = {"core_domain": "domains", "is_corrigendum": "corrigenda"}
+
+
+def asked(intents: DataFrame, include_corrigendum: bool = True) -> DataFrame:
+    """from_intent for many queries at once: their rows with ``domains`` and ``corrigenda``, the values that each may see, null for
+    any. The rows searched must have no null corrigendum flag (see searchable)."""
+    wall = (F.size("core_domains") > 0) & ~F.coalesce("is_broad_query", F.lit(False))
+    allowed = F.lit(None).cast("array<boolean>") if include_corrigendum else F.array(F.lit(False))
+    return intents.withColumns({"domains": F.when(wall, F.col("core_domains")), "corrigenda": allowed})
+
+
+def searchable(table: DataFrame) -> DataFrame:
+    """Null counts as no corrigendum."""
+    return table.withColumn("is_corrigendum", F.coalesce("is_corrigendum", F.lit(False)))

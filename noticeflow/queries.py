@@ -19,7 +19,7 @@ from noticeflow.providers import local
 from noticeflow.providers.concurrent import Concurrent
 from noticeflow.providers.local import LocalProvider
 from noticeflow.schemas import ENRICHMENT, RAW_COLUMNS
-from noticeflow.sources import readers
+from noticeflow.sources import paging, readers
 from noticeflow.storage import new_path
 from noticeflow.streaming import ingest as streaming
 
@@ -366,6 +366,70 @@ def relevance_eval(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.summary(hits.select("case_id", "rank", "core_domain", "description", *(c.alias(n) for n, c in case.items())))
 
 
+class Recalled(LocalProvider):
+    """Stands for a model whose vectors are stored: a query names one of them, and its domain is that one's and the next."""
+
+    def __init__(self, vectors: dict[str, tuple[int, list[float]]]):
+        super().__init__(len(next(iter(vectors.values()))[1]))
+        self.vectors = vectors
+
+    def intent(self, query: str) -> dict:
+        label = self.vectors[query][0]
+        return {"core_domains": [f"D{label}", f"D{(label + 1) % 10}"], "refined_query": query, "is_broad_query": int(query) % 3 == 0}
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [self.vectors[t][1] for t in texts]
+
+
+def _golden(spark: SparkSession, d: str) -> tuple[DataFrame, Recalled]:
+    """Golden cases: the vectors whose ids are divisible by 50, each with what is expected of its search."""
+    rows = table(spark, d, "embeddings").where("vec_id % 50 = 0")
+    words = lambda *x: F.array(*(F.lit(w) for w in x))
+    k, needed = F.lit(5) + (F.col("vec_id") % 7).cast("int"), F.lit(2) + (F.col("vec_id") % 4).cast("int")
+    expected = F.struct(k.alias("top_k_to_check"), words("D0", "D1", "D2", "D3").alias("must_match_domains"), words("SRC1").alias("required_tags"), words("The").alias("required_keywords"), needed.alias("min_relevant_count"))
+    cases = rows.select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("string").alias("query"), expected.alias("expectations"))
+    return cases, Recalled({str(r.vec_id): (r.label, [float(x) for x in r.embedding]) for r in rows.collect()})
+
+
+@query(f"""
+WITH h AS (
+  SELECT q.vec_id AS q, 5 + q.vec_id % 7 AS k, 2 + q.vec_id % 4 AS needed, a.label, d.text, d.source, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SQ}, a.vec_id) AS rank
+  FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings a ON q.vec_id % 3 = 0 OR a.label IN (q.label, (q.label + 1) % 10) LEFT JOIN documents d ON d.doc_id = a.vec_id
+), c AS (
+  SELECT q, any_value(needed) AS needed, count_if(label IN (0, 1, 2, 3) OR coalesce(contains(source, 'src1'), false)) AS relevant FROM h WHERE rank <= k GROUP BY q
+)
+SELECT CAST(count_if(coalesce(relevant, 0) >= 2 + vec_id % 4) AS BIGINT) AS passed, count(*) AS total FROM embeddings LEFT JOIN c ON c.q = vec_id WHERE vec_id % 50 = 0
+""")
+def golden_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """All golden cases, each under the predicate of its own intent, in one search."""
+    cases, provider = _golden(spark, d)
+    rows = _index(spark, d).withColumn("project_tags", F.col("original_title")).withColumn("original_title", F.lit(None).cast("string"))
+    return evaluate.benchmark(rows, cases, provider)[1]
+
+
+@query(f"""
+WITH q AS (
+  SELECT vec_id, label, embedding, (vec_id * 37 + 11) % (SELECT max(vec_id) + 5 FROM embeddings) AS wanted FROM embeddings WHERE vec_id % 50 = 0
+), o AS (
+  SELECT q.*, t.embedding AS own, t.label AS own_label, q.vec_id % 3 = 0 OR t.label IN (q.label, (q.label + 1) % 10) AS seen FROM q LEFT JOIN embeddings t ON t.vec_id = q.wanted
+), dist AS (
+  SELECT o.vec_id AS q, o.wanted, a.vec_id AS id, {SQ.replace('q.embedding', 'o.embedding')} AS distance FROM o JOIN embeddings a ON o.vec_id % 3 = 0 OR a.label IN (o.label, (o.label + 1) % 10) WHERE o.seen
+), r AS (
+  SELECT q, id, distance, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank, wanted FROM dist
+)
+SELECT CAST(o.vec_id AS VARCHAR) AS query, o.wanted AS id, CASE WHEN own IS NULL THEN 'absent' WHEN NOT seen THEN 'excluded' WHEN rank <= 20 THEN 'shown' ELSE 'ranked below' END AS verdict, coalesce(rank, -1) AS rank, coalesce(round(distance, 6), -1.0) AS distance
+FROM o LEFT JOIN r ON r.q = o.vec_id AND r.id = o.wanted
+""")
+def miss_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Why, or where, the search of each golden case shows a given row: absent, excluded, shown among 20, or its place below."""
+    cases, provider = _golden(spark, d)
+    rows = _index(spark, d).withColumn("is_corrigendum", F.lit(None).cast("boolean"))
+    last = rows.agg(F.max("id") + 5).first()[0]
+    asked = cases.select("query", ((F.col("query").cast("long") * 37 + 11) % last).alias("id"))
+    found = audit.explain_misses(rows, asked, provider, 20, include_corrigendum=False)
+    return found.withColumns({"rank": F.coalesce("rank", F.lit(-1)), "distance": F.coalesce(F.round("distance", 6), F.lit(-1.0))})
+
+
 # --- repair and reports ---------------------------------------------------------------------------------
 
 PART_WORDS = (("Works", ("ring", "plate")), ("Supply", ("bolt", "gear")), ("Services", ("widget",)))
@@ -462,6 +526,16 @@ def row_paging(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", readers.ROW, F.floor(F.col(readers.ROW) / ingest.CHUNK_ROWS).alias("chunk"))
 
 
+@query("SELECT row_idx, o_orderkey, o_orderpriority FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, o_orderkey, o_orderpriority || ' says \"' || o_orderstatus || chr(10) || '\", end' AS o_orderpriority FROM orders) WHERE row_idx >= 12300 AND row_idx < 13700")
+def csv_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Rows 12300 .. 13700 of a CSV file of all orders, with line breaks and quotes in a field, sought by a sparse index."""
+    path = new_path(spark, "csv")
+    said = F.concat(F.col("o_orderpriority"), F.lit(' says "'), F.col("o_orderstatus"), F.lit('\n", end'))
+    table(spark, d, "orders").select("o_orderkey", said.alias("o_orderpriority")).coalesce(1).sortWithinPartitions("o_orderkey").write.option("header", True).option("escape", '"').csv(path)
+    pages = paging.Pages(spark, [f for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").first()][0])
+    return pages.page(12300, 1400).select(readers.ROW, F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority")
+
+
 @query("SELECT o_orderkey, greatest(o_orderkey % 1000, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END, o_orderkey % 1000)) AS start FROM orders")
 def resume_offset(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -476,7 +550,7 @@ def file_signature(spark: SparkSession, d: str) -> DataFrame:
     """Of one file: the customers' names in order, a line each."""
     path = new_path(spark, "lines")
     table(spark, d, "customer").coalesce(1).sortWithinPartitions("c_custkey").select("c_name").write.text(path)
-    return readers.signature(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)).select("signature")
+    return spark.range(1).select(F.lit(readers.file_signature(spark, path)).alias("signature"))
 
 
 @query("SELECT (SELECT count(*) FROM nation) AS lines, (SELECT count(*) FROM nation) AS records")

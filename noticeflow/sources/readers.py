@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,15 +113,24 @@ def count_records(spark: SparkSession, path: str) -> int:
     return read_csv(spark, path, raw=False).count()
 
 
-def signature(files: DataFrame) -> DataFrame:
-    """path and md5 of size and first bytes, of a binaryFile frame."""
-    head = F.md5(F.substring("content", 1, SIGNATURE_BYTES))
-    return files.select("path", F.md5(F.concat_ws("_", F.col("length").cast("string"), head).cast("binary")).alias("signature"))
-
-
 def file_signature(spark: SparkSession, path: str) -> str | None:
-    row = signature(spark.read.format("binaryFile").load(path)).first()
-    return row["signature"] if row else None
+    """md5 of the size and the first bytes of a file, or of the first of a folder; null if there is none. No more is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return None
+    if files.getFileStatus(where).isDirectory():
+        found = sorted((f for f in files.listStatus(where) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().getName())
+        if not found:
+            return None
+        where = found[0].getPath()
+    length = files.getFileStatus(where).getLen()
+    stream = files.open(where)
+    try:
+        head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(length, SIGNATURE_BYTES)))
+    finally:
+        stream.close()
+    return hashlib.md5(f"{length}_{hashlib.md5(head).hexdigest()}".encode()).hexdigest()  # noqa: S324
 
 
 def id_column(columns: list[str]) -> str:
