@@ -13,8 +13,14 @@
    ones) are compared with all others: pairs that the signatures don't exclude (estimate at least FLOOR) are confirmed
    or refuted on full sets, each in the first tree where it shares a region. So each pair that shares a region is
    linked, refuted or inside one component. A region is dealt out in blocks of about BLOCK classes; its open
-   classes visit all of its blocks, in parties of about BLOCK, so no task gets more than two blocks at a time, rows
-   are 2 * n * open / BLOCK at most, and no pairs are made.
+   classes visit all of its blocks, in parties of about BLOCK, so no task gets more than two blocks at a time, and no
+   pairs are made.
+5. Regions that would take more than DENSE such visits (many classes that are alike but not linked) are not visited. Their
+   classes' sets are joined exactly by prefixes instead: shingles are ordered by how many of these classes have them, the
+   rarest first. Of two sets that are similar enough the smaller, x, shows one of its first |x| - ceil(2t / (1 + t) * |x|) + 1
+   shingles among the first |y| - ceil(t * |y|) + 1 of the other; and what is left of both behind it must suffice. Shingles of one
+   class alone take places but make no rows, so alike texts whose own parts differ meet nowhere: work grows with the sets, not with
+   their pairs. Only pairs of two components, one of them open, are confirmed.
 
 Two sets of similarity 0.75 share a region unless all trees miss: (1 - 0.75**3)**20 = 1.7e-5; FLOOR is 4.8
 standard deviations below 0.75.
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow.llm.frames import NO_ID, attached, keyed, packed, partitions, saved, scoped, unpacked
@@ -41,6 +47,7 @@ WORDS, PERCENT = 5, 75
 TREES, DEPTH, LEAST = 20, 6, 3
 WIDTH = 4
 BLOCK = 256
+DENSE = 16  # visits of a party to a block that a region may take
 PROPOSE, FLOOR = 0.68, 0.56
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -298,6 +305,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one.hint("shuffle_merge"), "a").join(two.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
+def alike(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 5: the pairs (a, b) of classes (c, comp, open) whose sets can be similar enough, of two components, one open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(column(batch, "shingles"))
+            n = np.diff(offs) // 8
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(column(batch, "c").to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(data[offs[0] : offs[-1]].view(np.int64))], ["c", "n", "token"])
+
+    tokens = sets.select("c", "shingles").mapInArrow(tidy(run), "c long, n long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    met = tokens.join(often, "token")
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "token"))
+    of_class = met.groupBy("c").agg(F.count("*").alias("m"))
+    at = met.withColumn("rank", rank).join(of_class, "c").withColumn("pos", F.col("n") - F.col("m") + F.col("rank"))
+    least = lambda part, whole: F.col("n") - F.expr(f"({part} * n + {whole - 1}) div {whole}") + 1
+    prefix = at.where(F.col("pos") <= least(percent, 100)).withColumn("first", F.col("pos") <= least(2 * percent, 100 + percent))
+    prefix = saved(prefix.select("c", "n", "token", "pos", "first").join(classes, "c"))
+    x, y = (prefix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "pos", "comp", "open", "first"))) for s in "xy")
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("c_x") < F.col("c_y")))
+    needed = F.expr(f"({percent} * (n_x + n_y) + {100 + percent - 1}) div {100 + percent}")
+    enough = (100 * F.col("n_x") >= percent * F.col("n_y")) & (1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
+    pairs = x.where("first_x").join(y, "token").where(smaller & enough & (F.col("comp_x") != F.col("comp_y")) & (F.col("open_x") | F.col("open_y")))
+    return saved(pairs.select(F.col("c_x").alias("a"), F.col("c_y").alias("b")).distinct())
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """c and the sorted shingle hashes of its representative's text. wanted: c, _id, _th."""
 
@@ -355,12 +388,16 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     def with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
         return rows.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
-    def in_blocks(rows: DataFrame) -> DataFrame:
-        """Rows (key, c, comp) of regions of several components, each in its block, open ones as visitors in all blocks."""
+    def regions_of(rows: DataFrame) -> DataFrame:
+        """Regions of several components of rows (key, c, comp): blocks, parties of open classes, the largest component."""
         by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
         regions = by_comp.groupBy("key").agg(F.sum("k").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1")
         count = lambda x: F.ceil(x / BLOCK).cast("int")
-        regions = saved(regions.select("key", count(F.col("size")).alias("blocks"), count(F.col("size") - F.col("most.k")).alias("parties"), F.col("most.comp").alias("largest")))
+        return saved(regions.select("key", count(F.col("size")).alias("blocks"), count(F.col("size") - F.col("most.k")).alias("parties"), F.col("most.comp").alias("largest")))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Rows (key, c, comp) of regions of several components, each in its block, open ones as visitors in all blocks."""
+        regions = regions_of(rows)
         dealt = attached(rows, regions, F.lit(24), "inner", ("key",)).withColumn("open", F.col("comp") != F.col("largest"))
         one_of = lambda x, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(x)).cast("int")
         each = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
@@ -378,7 +415,18 @@ def clustered(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     pairs = saved(proposed())
     links = saved(confirmed(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c"))), percent))
     comp = components(links)
-    looked_at = in_blocks(saved(with_component(shared.select("key", "c"), comp))).join(signatures, "c")
+    placed = saved(with_component(shared.select("key", "c"), comp))
+    dense = saved(regions_of(placed).where(F.col("blocks") * F.col("parties") > DENSE).select("key", "largest"))
+    if not dense.isEmpty():
+        own = attached(placed, dense, F.lit(16), "inner", ("key",)).groupBy("c").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("largest")).alias("open"))
+        own = saved(own)
+        sets = sets_of(own.select("c"))
+        more = saved(confirmed(alike(own, sets, percent), sets, percent))
+        if not more.isEmpty():
+            links = saved(links.unionByName(more))
+            comp = components(links)
+        placed = saved(with_component(attached(placed.drop("comp"), dense, F.lit(16), "left_anti", ("key",)), comp))
+    looked_at = in_blocks(placed).join(signatures, "c")
     columns = ("key", "block", "party", "c", "comp", "visitor", "open", "minima")
     left = saved(together(looked_at.select(*columns)).mapInArrow(tidy(open_rows), "key long, c long").distinct())
     if not left.isEmpty():

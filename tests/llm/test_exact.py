@@ -21,6 +21,43 @@ def test_near_dups(spark, corpus):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("propose", [near_dups.PROPOSE, 2.0])
+def test_near_dups_of_dense_regions(spark, corpus, monkeypatch, propose):
+    """Every region is joined by prefixes; with nothing proposed before, that join alone finds all links."""
+    monkeypatch.setattr(near_dups, "DENSE", 0)
+    monkeypatch.setattr(near_dups, "PROPOSE", propose)
+    rows, df = corpus
+    comp, sizes = c.components(rows)
+    got = near_dups.clustered(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((row[0], n, k) for row, n, k in zip(rows, sizes, comp, strict=True))
+
+
+def alike_texts(n, seed=1, own=36, shared=150):
+    """Texts of one template, each with words of its own: about 0.62 similar. Some are near copies of the one before."""
+    r = np.random.default_rng(seed)
+    template = [f"t{i}" for i in range(shared)]
+    texts = []
+    for i in range(n):
+        if i % 100 == 99:
+            w = texts[-1].split(" ")
+            w[int(r.integers(len(w)))] = f"changed{i}"
+        else:
+            w = template + [f"own{i}x{j}" for j in range(own)]
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_alike_texts_make_no_pairs(spark, monkeypatch):
+    """Of a thousand texts that are alike but not linked only near copies are confirmed."""
+    monkeypatch.setattr(near_dups, "DENSE", 1)
+    asked = []
+    plain = near_dups.confirmed
+    monkeypatch.setattr(near_dups, "confirmed", lambda pairs, *more: plain(pairs if asked.append(pairs.count()) is None else pairs, *more))
+    df = spark.createDataFrame(list(enumerate(alike_texts(1000))), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dups.clustered(df).collect()}
+    assert got == {i: i - 1 if i % 100 == 99 else i for i in range(1000)} and sum(asked[1:]) < 100
+
+
 def test_one_of_each(spark, corpus):
     rows, df = corpus
     comp, sizes = c.components(rows)
