@@ -22,6 +22,7 @@ from noticeflow.schemas import ENRICHMENT, RAW_COLUMNS
 from noticeflow.sources import paging, readers
 from noticeflow.storage import new_path
 from noticeflow.streaming import ingest as streaming
+from noticeflow.streaming.seen import Seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -744,6 +745,20 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return target.read().select("id", "original_title", "country")
 
 
+@query("SELECT min(CAST(p_partkey AS VARCHAR)) AS id, lower('Supply of ' || p_name) AS title FROM (SELECT *, min(p_partkey % 3) OVER (PARTITION BY p_name, p_brand) AS first FROM part) WHERE p_partkey % 3 = first GROUP BY p_name, p_brand")
+def stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """Notices land in three parts, with a start of the stream for each; copies of what an earlier one brought are dropped."""
+    landing, path, checkpoint = new_path(spark, "landing"), new_path(spark, "index"), new_path(spark, "stream")
+    target, seen = index.Index(spark, path), Seen(spark, new_path(spark, "seen"))
+    k = F.col("p_partkey")
+    have = {"RefNo": k.cast("string"), "Summary": F.concat(F.lit("Supply of "), F.col("p_name")), "Description": F.col("p_type"), "Country": F.col("p_brand")}
+    for part in range(3):
+        rows = table(spark, d, "part").where(k % 3 == part).orderBy(k.cast("string")).select(*(have.get(c, F.lit(None).cast("string")).alias(c) for c in RAW_COLUMNS))
+        rows.coalesce(1).write.mode("append").option("header", True).csv(landing)
+        streaming.run(streaming.landing(spark, landing), target, checkpoint, LocalProvider(), taxonomy.as_array(["supply"]), seen=seen).awaitTermination()
+    return target.read().select("id", F.lower("original_title").alias("title"))
+
+
 @query(STREAM_SQL)
 def batch_ingest(spark: SparkSession, d: str) -> DataFrame:
     rows = readers.with_row_index(_notices(spark, d))

@@ -19,11 +19,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from noticeflow.functions import scoring
 from noticeflow.operators.answers import Answers
 from noticeflow.operators.index import Index
-from noticeflow.operators.ingest import counted, dead_letters, embedded, enriched_once, metadata
+from noticeflow.operators.ingest import cleaned, counted, dead_letters, embedded, enriched, enriched_once, first_of_each, metadata
 from noticeflow.providers.base import Provider
 from noticeflow.schemas import RAW
 from noticeflow.sources.readers import ROW, as_raw, page, with_row_index
 from noticeflow.storage import temporary, written
+from noticeflow.streaming.seen import Seen
 
 BAD_LINE = "_corrupt_record"
 
@@ -52,10 +53,12 @@ class Counters:
 
 
 def run(
-    source: DataFrame, index: Index, checkpoint: str, provider: Provider, keywords: Column, chunk: int | None = None, dead_letter: str | None = None, answers: Answers | None = None, counters: Counters | None = None
-) -> StreamingQuery:
+    source: DataFrame, index: Index, checkpoint: str, provider: Provider, keywords: Column, chunk: int | None = None, dead_letter: str | None = None, answers: Answers | None = None, counters: Counters | None = None,
+    seen: Seen | None = None,
+) -> StreamingQuery:
     """Ingests all that is there and stops; start it again for what lands later. dead_letter: a folder for what fails; answers:
-    what the provider said before; counters: gets the numbers of each batch that is done. The tables of a batch go with it."""
+    what the provider said before; counters: gets the numbers of each batch that is done; seen: drops copies of what earlier batches
+    ingested. The tables of a batch go with it."""
 
     def batch(rows: DataFrame, number: int) -> None:
         with temporary(rows.sparkSession):
@@ -64,9 +67,12 @@ def run(
     def ingest(rows: DataFrame, number: int) -> None:
         # read once: a source's rows count as often as they are read, and a query of bad lines alone must not reach the files
         raw = with_row_index(written(as_raw(rows).withColumn("_at", F.monotonically_increasing_id()), "landed"), at="_at")
-        seen = Observation()
+        numbers = Observation()
         good = raw.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE) if BAD_LINE in raw.columns else raw
-        e = written(counted(enriched_once(good, provider, keywords, chunk, answers), seen), "enriched")
+        unique = first_of_each(cleaned(good), chunk=chunk)
+        if seen:
+            unique = seen.unseen(unique, checkpoint, number)
+        e = written(counted(enriched(unique, provider, keywords, answers), numbers), "enriched")
         malformed = 0
         if dead_letter:
             lost = dead_letters(e)
@@ -77,8 +83,10 @@ def run(
             lost.observe(told, F.count_if((F.col("error") == "malformed line") & F.col("ref_no").isNull()).alias("n")).write.mode("overwrite").json(f"{dead_letter}/batch={number}")
             malformed = told.get["n"]
         index.upsert(embedded(metadata(e, ROW), provider), ROW)
+        if seen:
+            seen.add(e.where("error is null"), checkpoint, number)  # what failed may come again
         if counters:
-            counters.add(**seen.get, malformed=malformed)
+            counters.add(**numbers.get, malformed=malformed)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -89,13 +97,13 @@ def run_file(raw: DataFrame, index: Index, provider: Provider, keywords: Column,
     if end_offset is not None and start >= end_offset:
         return 0
     rows = page(with_row_index(raw), start, end_offset - start if end_offset else None)
-    seen = Observation()
+    numbers = Observation()
     with temporary(raw.sparkSession):
-        e = counted(enriched_once(rows, provider, keywords, chunk, answers), seen)
+        e = counted(enriched_once(rows, provider, keywords, chunk, answers), numbers)
         index.upsert(embedded(metadata(e, ROW), provider), ROW)
     if counters:
-        counters.add(**seen.get)
-    return seen.get["indexed"]
+        counters.add(**numbers.get)
+    return numbers.get["indexed"]
 
 
 def resume_from(requested: Column, checkpoint: Column) -> Column:

@@ -24,6 +24,7 @@ from noticeflow.providers.local import LocalProvider
 from noticeflow.schemas import RAW, RAW_COLUMNS
 from noticeflow.sources import readers
 from noticeflow.streaming import ingest as streaming
+from noticeflow.streaming.seen import Seen
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't import tests
@@ -67,6 +68,31 @@ def test_counters_and_tables_of_a_stream(spark, tmp_path):
     assert idx.count() == 40 and set(Path(storage.shared_folder(spark)).iterdir()) <= spent  # ten batches left no table
 
 
+def test_copies_that_land_later_are_dropped(spark, tmp_path):
+    landing, words = tmp_path / "in", taxonomy.as_array([])
+    landing.mkdir()
+    idx, seen = index.Index(spark, str(tmp_path / "i")), Seen(spark, str(tmp_path / "seen"))
+
+    def land(name, rows, provider=None, seen=seen, checkpoint="c"):
+        (landing / f"{name}.csv").write_text(",".join(RAW_COLUMNS) + "\n" + "".join(f"{t},,{'x' * 120},,,,,{k},,,,\n" for k, t in rows))
+        counters = streaming.Counters()
+        streaming.run(streaming.landing(spark, str(landing), 1), idx, str(tmp_path / checkpoint), provider or LocalProvider(), words, counters=counters, seen=seen).awaitTermination()
+        return counters.rows
+
+    assert land("a", [("A1", "Supply of thing 1"), ("A2", "Supply of thing 2"), ("A3", "Supply of thing 2")]) == 2
+    assert land("b", [("B1", "SUPPLY OF THING 1 "), ("B4", "Supply of thing 4")]) == 1  # a restart: the state is read again
+    assert {r.id for r in idx.read().collect()} == {"A1", "A2", "B4"}
+    batch = {r.batch for r in seen.alive().collect()}
+    assert len(batch) == 2 and land("c", [("C13", "Supply of thing 13")], Unsteady()) == 1 and land("d", [("D13", "Supply of thing 13")]) == 1  # a failure comes again
+    # a repeat of the first batch sees what the others brought, not itself
+    rows = ingest.cleaned(raw(spark, [{"RefNo": k, "Summary": t, "Country": None} for k, t in (("A1", "Supply of thing 1"), ("B4", "Supply of thing 4"), ("Z", "Supply of thing 9"))]))
+    assert {r.RefNo for r in seen.unseen(rows, str(tmp_path / "c"), 0).collect()} == {"A1", "Z"}
+    assert {r.RefNo for r in seen.unseen(rows, "another stream", 0).collect()} == {"Z"}
+    short = Seen(spark, seen.path, keep=0.0)
+    assert short.alive().isEmpty() and land("e", [("E1", "Supply of thing 1")], seen=short) == 1  # too old to count
+    assert seen.forget() == 1 and short.forget() > 0  # first the batch that left no hash and seen.alive().isEmpty() and Seen(spark, str(tmp_path / "none")).forget() == 0
+
+
 def test_counters_cost_no_job(spark, tmp_path):
     jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
     counts = []
