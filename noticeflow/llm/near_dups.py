@@ -28,7 +28,8 @@ standard deviations below 0.75.
 Nulls: a null text has no shingles and is linked with nothing, as are empty texts. A null id counts as above
 all others: such a row is in its component, but only names it where all ids are null (component null). Repeated
 rows and rows with the same id are documents of their own. Ties: classes with equal minima are ordered by their
-hash. An empty table gives no rows; extra columns are ignored.
+hash. Very long texts: a task holds one text, some 30 bytes a byte (measured: 0.6 GB for 20 MB). An empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,13 +3,14 @@
 Compression bands: zstandard ratios (compressed bytes by bytes) of the whole text and of fixed chunks. A text
 is rejected if its whole ratio lies outside the band for its length, or if at least half of its chunks lie
 outside the chunk band: too low is repetitive, too high is noise such as encoded binary. The limits come from the
-ratios of texts labelled good (sf0.1): the upper ones are a tenth above the greatest of a length, the lower ones
+ratios of texts labelled good (``fit_bands`` takes them from a table; the defaults are of sf0.1): the upper ones are a tenth above the greatest of a length, the lower ones
 a quarter (from 2 KB and for chunks a third) below the least. For 64 KB and more, where no text is labelled, the
 least is that of good texts of one language joined. Texts under 256 bytes, where the format's own bytes weigh, are
 not judged. Chunks cover the whole text: a tail of less than half a chunk belongs to the chunk before it. A text of less
 than half a chunk has no chunks, as the bands for its length judge all of it.
 
-A text is judged by itself, so there is no shuffle and no skew; memory is that of one slice of texts.
+A text is judged by itself, so there is no shuffle and no skew; memory is that of one slice of texts, or of one text that is
+longer: some 30 bytes a byte (measured: 0.6 GB for 20 MB).
 
 Nulls: a null text is an empty text (no words, so base_failed). Null ids are kept as rows. Repeated rows are judged
 each. Ties: a ratio that equals a limit is inside the band; of equal lines the first is no duplicate. An empty table
@@ -18,7 +19,7 @@ gives no rows. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from noticeflow.llm.frames import small_batches
 from noticeflow.llm.textkit import SPACE, Rolling, Slice, column, mix, slices, text_buffers, tidy, valid_windows
 
+MAX_ROWS = 5000  # labelled texts that bands are fitted to
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -136,6 +138,23 @@ def measures(docs: DataFrame, bands: Bands = BANDS, text_col: str = "text") -> D
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
+def fit_bands(docs: DataFrame, labels: DataFrame, bands: Bands = BANDS, above: float = 0.1, below: float = 0.25, least: int = 20, max_rows: int = MAX_ROWS) -> Bands:
+    """Bands from the ratios of texts labelled good (labels: doc_id, label 1): ``above`` over the greatest of a length, ``below``
+    under the least. A length of which fewer than ``least`` such texts are known keeps the limits of ``bands``, as do chunks.
+
+    The ratios of at most max_rows labelled texts, those least by a hash of the id, are taken; the driver gets a row a length.
+    """
+    good = labels.where("label = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(good), "doc_id")
+    steps = [n for n, _, _ in bands.whole]
+    size = F.octet_length("text")
+    length = F.size(F.filter(F.array(*map(F.lit, steps)), lambda n: n <= size)) - 1
+    rows = measures(texts.where(size > 0).select(length.alias("doc_id"), "text"), bands).groupBy("doc_id")  # a row a length
+    found = {r["doc_id"]: r for r in rows.agg(F.count("*").alias("n"), F.min("whole_ratio").alias("low"), F.max("whole_ratio").alias("high")).collect()}
+    whole = tuple((n, (1 - below) * found[i]["low"], (1 + above) * found[i]["high"]) if i and i in found and found[i]["n"] >= least else (n, a, b) for i, (n, a, b) in enumerate(bands.whole))
+    return replace(bands, whole=whole)
+
+
 def judged(docs: DataFrame, bands: Bands = BANDS, least_words: int = 50, most_repeat_percent: int = 50) -> DataFrame:
     """measures() with base_failed and kept."""
     m = measures(docs, bands)

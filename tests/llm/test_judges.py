@@ -579,6 +579,22 @@ def test_chunks_cover_the_text(spark, tail):
         assert x.bands_failed == (n > 0 and (not low <= whole <= high or bool(parts) and 2 * bad >= len(parts)))
 
 
+def test_bands_fitted_to_labels(spark):
+    """Limits stand as far from the ratios of good texts as asked, by length; lengths without enough of them keep theirs."""
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(r.choice((70, 150)))) for _ in range(120)] + ["w " * 400, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i != 120)) for i in range(len(texts))] + [(999, 1), (None, 1)], "doc_id long, label int")
+    fitted = quality_rules.fit_bands(docs, labels)
+    ratios = {x.doc_id: x.whole_ratio for x in quality_rules.measures(docs).collect()}
+    for n, top, (least, low, high) in ((350, 512, fitted.whole[1]), (750, 1024, fitted.whole[2])):
+        own = [ratios[i] for i in range(120) if least <= len(texts[i]) < top]
+        assert len(own) >= 20 and len(texts[0]) and n < top and (low, high) == (pytest.approx(0.75 * min(own)), pytest.approx(1.1 * max(own)))
+    assert fitted.whole[3:] == quality_rules.BANDS.whole[3:] and fitted.whole[0] == quality_rules.BANDS.whole[0]
+    assert quality_rules.fit_bands(docs, labels.limit(0)) == quality_rules.BANDS
+    assert quality_rules.judged(docs, fitted).where("bands_failed").count() == 1  # the repetitive one
+
+
 def test_bands_alone(spark):
     """Short encoded noise, and texts of 1 to 30 KB made of one half twice, whatever the base rule says."""
     import base64
