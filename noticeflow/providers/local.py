@@ -7,6 +7,8 @@ import hashlib
 import math
 import re
 
+import numpy as np
+
 from noticeflow.schemas import DOMAINS
 
 # Words that point to a domain, in the order in which domains are tried; expansions; type words.
@@ -29,9 +31,24 @@ BROAD_WORDS = ("drone", "computer", "security guard", "vehicle", "laptop")
 WORD = re.compile(r"\w+")
 
 
-@functools.lru_cache(maxsize=1 << 17)
-def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+class _Slots(dict):
+    """Of each word the place that it counts at: below the dimension for it, above against it. Words are hashed once a process."""
+
+    def __init__(self, dimension: int, most: int = 1 << 17):
+        super().__init__()
+        self.dimension, self.most = dimension, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+        self[word] = slot = h % self.dimension + (0 if h >> 63 else self.dimension)
+        return slot
+
+
+@functools.lru_cache(maxsize=4)
+def _slots(dimension: int) -> _Slots:
+    return _Slots(dimension)
 
 
 class LocalProvider:
@@ -60,14 +77,13 @@ class LocalProvider:
         return {"core_domains": self._domains(low), "procurement_types": [k for k, words in TYPE_WORDS if any(w in low for w in words)], "refined_query": query.strip(), "is_broad_query": any(w in low for w in BROAD_WORDS)}
 
     def embed(self, texts: list[str]) -> list[list[float]]:
+        slots, n = _slots(self.dimension), self.dimension
         out = []
         for text in texts:
-            v = [0.0] * self.dimension
-            for w in WORD.findall((text or "").lower()):
-                h = _hash(w)
-                v[h % self.dimension] += 1.0 if h >> 63 else -1.0
-            size = math.sqrt(sum(x * x for x in v))
-            out.append([x / size for x in v] if size else v)
+            counts = np.bincount(np.array([slots[w] for w in WORD.findall((text or "").lower())], np.int64), minlength=2 * n)
+            v = (counts[:n] - counts[n:]).astype(float)
+            size = math.sqrt(float(v @ v))
+            out.append((v / size if size else v).tolist())
         return out
 
     def chat(self, context: str, question: str) -> str:
