@@ -17,9 +17,9 @@
    pairs are made.
 5. Regions that would take more than DENSE such visits (many classes that are alike but not linked) are not visited. Their
    classes' sets are joined exactly by prefixes instead: shingles are ordered by how many of these classes have them, the
-   rarest first. Of two sets that are similar enough the smaller, x, shows one of its first |x| - ceil(2t / (1 + t) * |x|) + 1
+   rarest first, after those that no open class has. Of two sets that are similar enough the smaller, x, shows one of its first |x| - ceil(2t / (1 + t) * |x|) + 1
    shingles among the first |y| - ceil(t * |y|) + 1 of the other; and what is left of both behind it must suffice. Shingles of one
-   class alone take places but make no rows, so alike texts whose own parts differ meet nowhere: work grows with the sets, not with
+   class alone, or of no open one, take the first places but make no rows, so alike texts whose own parts differ meet nowhere: work grows with the sets, not with
    their pairs. Only pairs of two components, one of them open, are confirmed.
 
 Two sets of similarity 0.75 share a region unless all trees miss: (1 - 0.75**3)**20 = 1.7e-5; FLOOR is 4.8
@@ -48,7 +48,7 @@ WORDS, PERCENT = 5, 75
 TREES, DEPTH, LEAST = 20, 6, 3
 WIDTH = 4
 BLOCK = 256
-DENSE = 16  # visits of a party to a block that a region may take
+DENSE = 64  # visits of a party to a block that a region may take
 PROPOSE, FLOOR = 0.68, 0.56
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -315,12 +315,12 @@ def alike(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             n = np.diff(offs) // 8
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(column(batch, "c").to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(data[offs[0] : offs[-1]].view(np.int64))], ["c", "n", "token"])
 
-    tokens = sets.select("c", "shingles").mapInArrow(tidy(run), "c long, n long, token long")
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = tokens.join(often, "token")
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "token"))
-    of_class = met.groupBy("c").agg(F.count("*").alias("m"))
-    at = met.withColumn("rank", rank).join(of_class, "c").withColumn("pos", F.col("n") - F.col("m") + F.col("rank"))
+    open_ = saved(classes.where("open").select("c", "open"))
+    tokens = attached(sets.select("c", "shingles").mapInArrow(tidy(run), "c long, n long, token long"), open_, F.lit(1), "left", ("c",))
+    stats = saved(tokens.groupBy("token").agg(F.count("*").alias("df"), F.count("open").alias("k")).where("df > 1 and k > 0").select("token", "df"))
+    met = attached(tokens.select("c", "n", "token"), stats, F.lit(0), "inner", ("token",))
+    own = Window.partitionBy("c")
+    at = met.withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))
     least = lambda part, whole: F.col("n") - F.expr(f"({part} * n + {whole - 1}) div {whole}") + 1
     prefix = at.where(F.col("pos") <= least(percent, 100)).withColumn("first", F.col("pos") <= least(2 * percent, 100 + percent))
     prefix = saved(prefix.select("c", "n", "token", "pos", "first").join(classes, "c"))
