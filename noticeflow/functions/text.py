@@ -30,10 +30,14 @@ def is_corrigendum(title: Column, word: str = CORRIGENDUM) -> Column:
     return F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(word))
 
 
+# What counts as a script or style, and as a tag.
+SCRIPT, TAG = r"(?s)<(script|style)[^>]*>.*?</\1>", r"<[^>]+>"
+
+
 def html_to_text(html: Column, limit: int = PAGE_CHARS) -> Column:
     """Visible text: scripts and styles go, other tags become spaces, white space collapses."""
-    s = F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</\1>", "")
-    s = F.regexp_replace(s, r"<[^>]+>", " ")
+    s = F.regexp_replace(html, SCRIPT, "")
+    s = F.regexp_replace(s, TAG, " ")
     return prefix(F.btrim(F.regexp_replace(s, r"(?U)\s+", " ")), limit)
 
 
@@ -47,7 +51,8 @@ def parse_model_json(c: Column, schema: StructType) -> Column:
 
 
 def chat_context(title, description, authority, city, state, country, closing, url, document, page) -> Column:
-    """What a chat about one notice may use. Its labels and what stands for missing values are fixed values."""
+    """What a chat about one notice may use. Its labels and what stands for missing values are fixed values, but for the
+    heading PAGE, which is our own."""
     known = lambda c: F.coalesce(c, F.lit("Unknown"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return F.concat_ws(
