@@ -18,7 +18,7 @@ ID_COLUMNS = ("tot_id", "id", "tender id", "refno")  # fixed: column names that
 SIGNATURE_BYTES = 4096
 
 
-def read_csv(spark: SparkSession, path: str, raw: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], raw: bool = True) -> DataFrame:
     """All columns as strings; with raw, missing raw columns are added as nulls and NA tokens become null."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
     return as_raw(df) if raw else df

@@ -107,6 +107,38 @@ def test_late_pages_read_no_more_bytes(spark, tmp_path, monkeypatch):
         pages.page(0, 5)
 
 
+def test_pages_of_a_folder(spark, tmp_path, monkeypatch):
+    """Records are numbered over the files by name, whatever their sizes; one has no records, one nothing at all."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        want, folder = [], tmp_path / "a b"
+        folder.mkdir()
+        for i, n in enumerate((100, 0, 1, 1300, 250)):
+            want += csv_file(folder / f"part-{i}.csv", n, i)
+        (folder / "part-9.csv").write_bytes(b"")
+        want = [(i, *r[1:]) for i, r in enumerate(want)]
+        pages = paging.Pages(spark, str(folder), 100)
+        assert pages.records == len(want) == 1651
+        cases = ((0, 5), (0, None), (99, 3), (95, 400), (1399, 5), (1640, 50), (1651, 1))
+        read = lambda: [[tuple(r) for r in pages.page(*c).orderBy(readers.ROW).collect()] for c in cases]
+        assert read() == [want[a : a + n if n else None] for a, n in cases]
+        monkeypatch.setattr(paging, "MAX_PAGE_BYTES", 100)
+        assert read() == [want[a : a + n if n else None] for a, n in cases]
+        (folder / "part-4.csv").write_text("k,last,text\nx,y,z\n")
+        with pytest.raises(ValueError, match="not the file"):
+            pages.page(1640, 5)
+        with pytest.raises(ValueError, match="other columns"):
+            paging.Pages(spark, str(folder)).page(1400, 5)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_line_is_shuffled_for_the_index(spark, tmp_path):
+    csv_file(tmp_path / "a.csv", 300, 1)
+    plan = paging.record_index(spark, str(tmp_path / "a.csv"))[1]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_signature_reads_the_head_alone(spark, tmp_path):
     import hashlib
 
