@@ -56,28 +56,37 @@ def _stub(title: Column, note: str) -> Column:
     return F.struct(F.lit("Unclassified").alias("core_domain"), none.alias("project_tags"), F.lit("Unknown").alias("procurement_type"), none.alias("search_keywords"), blank.alias("entities"), title.alias("signal_summary"), F.lit(note).alias("note"), F.lit(None).cast("string").alias("error"))
 
 
+def _notice(at: str = "") -> tuple[Column, Column]:
+    """Title and description of a raw row, whose columns have a prefix."""
+    return cleaning.title_of(F.col(f"{at}Summary"), F.col(f"{at}Title")), F.coalesce(cleaning.present(F.col(f"{at}Description")), F.lit(NO_DESCRIPTION))
+
+
 def enriched(rows: DataFrame, provider: Provider, keywords: Column | Keywords, answers: Answers | None = None) -> DataFrame:
     """rows with their enrichment's columns laid over them. Rejected rows get a stub and never reach the provider, which is
     opened once a partition and asked for MODEL_ROWS notices at a time. A notice that it fails on keeps the error.
 
     Without ``answers`` all is one pass without a shuffle: rows travel through as Arrow structs, of which Python reads titles and
-    descriptions alone. With them the provider is asked once for each notice that they don't know, and rows meet their answers by
-    a join on the notice's hash, whose hot keys adaptive execution splits.
+    descriptions alone. With them the provider is asked, before this returns, once for each notice that they don't know. Rows are
+    written once, and what is known is looked up by hashes alone; texts are shuffled only if so many notices are unknown that their row numbers
+    are no broadcast. The result is a join of the written rows and their answers on the notice's hash, whose hot keys adaptive execution
+    splits; it is computed when it is used, and nothing that happens to ``answers`` later changes it.
     """
-    title = cleaning.title_of(F.col("Summary"), F.col("Title"))
-    description = F.coalesce(cleaning.present(F.col("Description")), F.lit(NO_DESCRIPTION))
+    title, description = _notice()
     kept = rows.drop(*(f.name for f in ENRICHMENT))
     packed = kept.select(F.struct("*").alias("row"), title.alias("title"), description.alias("description")).withColumn("wanted", worth_enriching(F.col("title"), F.col("description"), keywords))
     if answers is None:
         return _asked(packed, ["row"], provider).select("row.*", "e.*")
-    packed = written(packed.withColumn("key", F.when(F.col("wanted"), answers.key(F.col("title"), F.col("description")))), "packed")
-    known = answers.known()
-    unknown = packed.where("wanted").groupBy("key").agg(F.first("title").alias("title"), F.first("description").alias("description")).join(known, "key", "left_anti")
-    new = written(_asked(unknown.withColumn("wanted", F.lit(True)), ["key"], provider), "answers")
-    met = packed.join(new.unionByName(known.join(new.select("key"), "key", "left_anti")), "key", "left")
-    out = written(met.select("row.*", F.when(F.col("wanted"), F.col("e")).otherwise(_stub(F.col("title"), SKIPPED_NOTE)).alias("e")).select(*(f"`{c}`" for c in kept.columns), "e.*"), "enriched")
+    key = F.when(F.col("wanted"), answers.key(F.col("title"), F.col("description")))
+    packed = written(packed.select("row", "wanted", key.alias("key"), F.monotonically_increasing_id().alias("at")), "packed")
+    title, description = _notice("row.")
+    one_each = packed.where("wanted").groupBy("key").agg(F.min("at").alias("at"))
+    matched = written(one_each.join(answers.known(), "key", "left"), "matched")
+    chosen = written(matched.where("e is null").select("at"), "chosen")  # a table of its own, so that its size is known
+    unknown = packed.join(chosen, "at", "left_semi").select("key", title.alias("title"), description.alias("description"), F.lit(True).alias("wanted"))
+    new = written(_asked(unknown, ["key"], provider), "answers")
     answers.add(new)
-    return out
+    met = packed.join(new.unionByName(matched.where("e is not null").select("key", "e")), "key", "left")
+    return met.select("row.*", F.when(F.col("wanted"), F.col("e")).otherwise(_stub(title, SKIPPED_NOTE)).alias("e")).select(*(f"`{c}`" for c in kept.columns), "e.*")
 
 
 def _asked(notices: DataFrame, through: list[str], provider: Provider) -> DataFrame:

@@ -275,6 +275,21 @@ def test_answers_are_paid_for_once(spark, tmp_path):
     assert none.isEmpty() and none.columns == more.columns
 
 
+def test_texts_of_known_notices_are_written_once(spark, tmp_path):
+    """A second run writes the rows, and beside them no more than hashes and answers."""
+    r = np.random.default_rng(3)
+    rows = raw(spark, [{"RefNo": f"N{i}", "Summary": f"Supply of thing {i}", "Description": r.bytes(20000).hex()} for i in range(40)]).repartition(4)
+    kept, words = Answers(spark, str(tmp_path / "answers")), taxonomy.as_array([])
+    first = ingest.enriched(rows, LocalProvider(), words, kept)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+    before = size()
+    again = ingest.enriched(rows, LocalProvider(), words, kept)
+    assert size() - before < 1.6 * 40 * 40000  # the texts' bytes
+    (tmp_path / "answers").rename(tmp_path / "gone")  # what was answered stays answered
+    assert sorted(again.collect()) == sorted(first.collect()) == sorted(ingest.enriched(rows, LocalProvider(), words).collect())
+
+
 def test_keywords_as_contains_has_them(spark):
     texts = ["a road to the sea", "ROAD", "", None, "été à la plage", "ab" * 50, "xaby", "the"]
     words = ["road", "the", "té", "abab", "b", "", "à la", "zz", "the", None, "ro"]
