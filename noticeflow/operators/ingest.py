@@ -67,8 +67,8 @@ def enriched(rows: DataFrame, provider: Provider, keywords: Column | Keywords, a
 
     Without ``answers`` all is one pass without a shuffle: rows travel through as Arrow structs, of which Python reads titles and
     descriptions alone. With them the provider is asked, before this returns, once for each notice that they don't know. Rows are
-    written once, and what is known is looked up by hashes alone; texts are shuffled only if so many notices are unknown that their row numbers
-    are no broadcast. The result is a join of the written rows and their answers on the notice's hash, whose hot keys adaptive execution
+    written once, and what is known is looked up by hashes alone; texts are not shuffled: tasks get the numbers of the rows that are to be
+    asked about as a bit a row (4 KB for 32,768 rows; beyond Spark's broadcast limit, some 80 million rows, they are joined by a shuffle). The result is a join of the written rows and their answers on the notice's hash, whose hot keys adaptive execution
     splits; it is computed when it is used, and nothing that happens to ``answers`` later changes it.
     """
     title, description = _notice()
@@ -76,15 +76,19 @@ def enriched(rows: DataFrame, provider: Provider, keywords: Column | Keywords, a
     packed = kept.select(F.struct("*").alias("row"), title.alias("title"), description.alias("description")).withColumn("wanted", worth_enriching(F.col("title"), F.col("description"), keywords))
     if answers is None:
         return _asked(packed, ["row"], provider).select("row.*", "e.*")
-    key = F.when(F.col("wanted"), answers.key(F.col("title"), F.col("description")))
+    key = F.when(F.col("wanted"), F.unhex(answers.key(F.col("title"), F.col("description"))))  # half as long as its digits
     packed = written(packed.select("row", "wanted", key.alias("key"), F.monotonically_increasing_id().alias("at")), "packed")
     title, description = _notice("row.")
     one_each = packed.where("wanted").groupBy("key").agg(F.min("at").alias("at"))
-    matched = written(one_each.join(answers.known(), "key", "left"), "matched")
-    chosen = written(matched.where("e is null").select("at"), "chosen")  # a table of its own, so that its size is known
-    unknown = packed.join(chosen, "at", "left_semi").select("key", title.alias("title"), description.alias("description"), F.lit(True).alias("wanted"))
+    known = answers.known().select(F.unhex("key").alias("key"), "e")
+    matched = written(one_each.join(known, "key", "left"), "matched")
+    bucket, bit = F.bitmap_bucket_number("at"), F.bitmap_bit_position("at")
+    chosen = matched.where("e is null").groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    chosen = written(chosen, "chosen")  # a table of its own, so that its size is known
+    byte = F.conv(F.hex(F.substr("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    unknown = packed.join(chosen, bucket == F.col("bucket")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).select("key", title.alias("title"), description.alias("description"), F.lit(True).alias("wanted"))
     new = written(_asked(unknown, ["key"], provider), "answers")
-    answers.add(new)
+    answers.add(new.withColumn("key", F.lower(F.hex("key"))))
     met = packed.join(new.unionByName(matched.where("e is not null").select("key", "e")), "key", "left")
     return met.select("row.*", F.when(F.col("wanted"), F.col("e")).otherwise(_stub(title, SKIPPED_NOTE)).alias("e")).select(*(f"`{c}`" for c in kept.columns), "e.*")
 
