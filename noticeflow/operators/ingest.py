@@ -56,14 +56,16 @@ def _stub(title: Column, note: str) -> Column:
     return F.struct(F.lit("Unclassified").alias("core_domain"), none.alias("project_tags"), F.lit("Unknown").alias("procurement_type"), none.alias("search_keywords"), blank.alias("entities"), title.alias("signal_summary"), F.lit(note).alias("note"), F.lit(None).cast("string").alias("error"))
 
 
-def _notice(at: str = "") -> tuple[Column, Column]:
-    """Title and description of a raw row, whose columns have a prefix."""
-    return cleaning.title_of(F.col(f"{at}Summary"), F.col(f"{at}Title")), F.coalesce(cleaning.present(F.col(f"{at}Description")), F.lit(NO_DESCRIPTION))
+def _notice(missing: str, at: str = "") -> tuple[Column, Column]:
+    """Title and description of a raw row, whose columns have a prefix; missing: see enriched."""
+    return cleaning.title_of(F.col(f"{at}Summary"), F.col(f"{at}Title")), F.coalesce(cleaning.present(F.col(f"{at}Description")), F.lit(missing))
 
 
-def enriched(rows: DataFrame, provider: Provider, keywords: Column | Keywords, answers: Answers | None = None) -> DataFrame:
+def enriched(rows: DataFrame, provider: Provider, keywords: Column | Keywords, answers: Answers | None = None, missing: str = NO_DESCRIPTION) -> DataFrame:
     """rows with their enrichment's columns laid over them. Rejected rows get a stub and never reach the provider, which is
-    opened once a partition and asked for MODEL_ROWS notices at a time. A notice that it fails on keeps the error.
+    opened once a partition and asked for MODEL_ROWS notices at a time. A notice that it fails on keeps the error. missing: what
+    pre-filter and provider see for a null or empty description. The default has words of its own, so that a keyword among them
+    lets a notice without a description pass.
 
     Without ``answers`` all is one pass without a shuffle: rows travel through as Arrow structs, of which Python reads titles and
     descriptions alone. With them the provider is asked, before this returns, once for each notice that they don't know. Rows are
@@ -71,14 +73,14 @@ def enriched(rows: DataFrame, provider: Provider, keywords: Column | Keywords, a
     asked about as a bit a row (4 KB for 32,768 rows; beyond Spark's broadcast limit, some 80 million rows, they are joined by a shuffle). The result is a join of the written rows and their answers on the notice's hash, whose hot keys adaptive execution
     splits; it is computed when it is used, and nothing that happens to ``answers`` later changes it.
     """
-    title, description = _notice()
+    title, description = _notice(missing)
     kept = rows.drop(*(f.name for f in ENRICHMENT))
     packed = kept.select(F.struct("*").alias("row"), title.alias("title"), description.alias("description")).withColumn("wanted", worth_enriching(F.col("title"), F.col("description"), keywords))
     if answers is None:
         return _asked(packed, ["row"], provider).select("row.*", "e.*")
     key = F.when(F.col("wanted"), F.unhex(answers.key(F.col("title"), F.col("description"))))  # half as long as its digits
     packed = written(packed.select("row", "wanted", key.alias("key"), F.monotonically_increasing_id().alias("at")), "packed")
-    title, description = _notice("row.")
+    title, description = _notice(missing, "row.")
     one_each = packed.where("wanted").groupBy("key").agg(F.min("at").alias("at"))
     known = answers.known().select(F.unhex("key").alias("key"), "e")
     matched = written(one_each.join(known, "key", "left"), "matched")
