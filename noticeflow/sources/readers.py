@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,11 +17,18 @@ from noticeflow.storage import written
 ROW = "row_idx"
 ID_COLUMNS = ("tot_id", "id", "tender id", "refno")  # fixed: column names that hold ids, lower-cased
 SIGNATURE_BYTES = 4096
+ABSENT = uuid.uuid4().hex  # what Spark's CSV reader takes for null, beside an empty field, when that must not be "": no file holds it
 
 
-def read_csv(spark: SparkSession, path: str | list[str], raw: bool = True) -> DataFrame:
-    """All columns as strings; with raw, missing raw columns are added as nulls and NA tokens become null."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str | list[str], raw: bool = True, empty: bool = False) -> DataFrame:
+    """All columns as strings; with raw, missing raw columns are added as nulls and NA tokens become null. Empty fields are null; with
+    empty, those in quotes are empty strings, as Spark writes them.
+
+    Quotes are escaped by quotes. Where that isn't said of the escape itself (charToEscapeQuoteEscaping), Spark takes a NUL before a
+    quote for an escape and drops it.
+    """
+    quoted = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"')
+    df = quoted.option("nullValue", ABSENT if empty else "").option("inferSchema", False).csv(path)
     return as_raw(df) if raw else df
 
 
