@@ -48,6 +48,10 @@ def test_enrich_local_without_texts(spark, odd):
     assert differences(spark, odd, "enrich_local") == (Counter(), Counter())
 
 
+def test_prefilter_stub_union_without_texts(spark, odd):
+    assert differences(spark, odd, "prefilter_stub_union") == (Counter(), Counter())
+
+
 def test_what_stands_for_a_missing_description(spark):
     rows = spark.createDataFrame([tuple({"Summary": "Radio", "Description": d, "RefNo": f"{d}"}.get(c) for c in RAW_COLUMNS) for d in (None, "")], RAW)
     notes = lambda **more: [r.note for r in ingest.enriched(rows, LocalProvider(), taxonomy.as_array(["tion"]), **more).collect()]
